@@ -65,7 +65,7 @@ def charm_round(price: str | Column) -> Column:
     return F.when(p > 1000, p - p % 100 + tail).otherwise(p)
 
 
-def fare_estimate(base, airline_factor, days, departure, cabin, noise=F.lit(1.0)) -> Column:
+def fare_estimate(base, airline_factor, days, departure, cabin, noise=None) -> Column:
     """Whole-currency fare; ``noise`` is a caller's column where the source used a random draw."""
     raw = (
         F.coalesce(col(base), F.lit(DEFAULT_BASE))
@@ -74,7 +74,7 @@ def fare_estimate(base, airline_factor, days, departure, cabin, noise=F.lit(1.0)
         * F.when(is_weekend(departure, 4), 1.15).otherwise(1.0)
         * seasonality(departure)
         * cabin_factor(cabin)
-        * col(noise)
+        * (F.lit(1.0) if noise is None else col(noise))
     )
     return charm_round(raw.cast("bigint"))
 

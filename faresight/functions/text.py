@@ -129,8 +129,9 @@ def alert_text(origin, destination, current, target, limit: int = 160) -> Column
     )
 
 
-def format_amount(amount: str | Column, currency: str | Column = F.lit("INR")) -> Column:
-    return F.concat(col(currency), F.lit(" "), F.format_number(col(amount), 2))
+def format_amount(amount: str | Column, currency: str | Column | None = None) -> Column:
+    unit = F.lit("INR") if currency is None else col(currency)
+    return F.concat(unit, F.lit(" "), F.format_number(col(amount), 2))
 
 
 def format_lakh(amount: str | Column, symbol: str = "₹") -> Column:
@@ -190,11 +191,11 @@ def hash_equals(code: str | Column, stored: str | Column) -> Column:
     return F.sha2(col(code).cast("string"), 256) == col(stored)
 
 
-def reason_text(recommendation, probability, confidence, peak=F.lit(False)) -> Column:
+def reason_text(recommendation, probability, confidence, peak=None) -> Column:
     """One-line explanation of a canonical recommendation, percentages rounded half up."""
     pct = half_up(col(probability) * 100).cast("string")
     conf = half_up(col(confidence) * 100).cast("string")
-    season = F.when(col(peak), " Peak season demand is elevated.").otherwise("")
+    season = F.when(F.lit(False) if peak is None else col(peak), " Peak season demand is elevated.").otherwise("")
     book = F.concat(pct, F.lit("% probability of price increase detected. Model confidence: "), conf, F.lit("%."),
                     season, F.lit(" Lock in this fare now."))
     wait = F.concat(F.lit("Prices may soften — only "), pct, F.lit("% chance of an increase. Model confidence: "),
