@@ -49,3 +49,22 @@ def half_up(c: Column) -> Column:
 def non_blank(c: str | Column) -> Column:
     """Trimmed text, with blank treated as missing."""
     return F.nullif(F.trim(col(c).cast("string")), F.lit(""))
+
+
+def round_even(c: Column, digits: int) -> Column:
+    """Round half to even on the exact binary value, as Python's ``round`` does.
+
+    ``bround`` works on the shortest decimal text, where 1.34875 is a tie although the stored
+    number lies beside it. Here the product with 10^digits is split into its rounded value and its
+    exact error (a float-sized head and the remainder multiply without loss), and only a true tie
+    goes to the even neighbour. Meant for up to four digits.
+    """
+    if digits == 0:
+        return F.bround(c, 0)
+    scale = float(10**digits)
+    head = c.cast("float").cast("double")
+    product = c * scale
+    error = (head * scale - product) + (c - head) * scale
+    below = F.floor(product)
+    side = F.signum((product - below - 0.5) + error)
+    return F.bround(below + (side + 1) / 2, 0) / scale

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..columns import col, names
+from ..columns import col, names, round_even
 from ..schemas import RAW_OFFER
 from .text import safe_number
 
@@ -144,7 +144,7 @@ def assemble_offers(
     return itineraries.groupBy(*k).agg(
         F.struct(
             F.max("_total").alias("total"),
-            F.bround(F.max("_total") * share, 2).alias("base"),
+            round_even(F.max("_total") * share, 2).alias("base"),
             F.lit(currency).alias("currency"),
         ).alias("price"),
         F.transform(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from ..columns import clip, col, pick
+from ..columns import clip, col, pick, round_even
 from .dates import beside_holiday, is_weekend, on_holiday
 
 # Month factors of the two seasonality rules, weekday factors, cabin factors.
@@ -23,7 +23,7 @@ def sigmoid_demand(days: str | Column) -> Column:
 
 def inventory_pressure(seats: str | Column) -> Column:
     empty = (60 - clip(col(seats), 1, 60)) / 60
-    return F.bround(1.0 + empty * empty * 0.62, 4)
+    return round_even(1.0 + empty * empty * 0.62, 4)
 
 
 def seasonality(d: str | Column, months: dict[int, float] = SEASON) -> Column:
@@ -42,7 +42,7 @@ def demand_score(days: str | Column, d: str | Column, seats: str | Column) -> Co
     pull = F.least(F.lit(1.0), sigmoid_demand(days) - 1.0) * 0.58
     season = (seasonality(d) - 1.0) * 1.05
     stock = (inventory_pressure(seats) - 1.0) * 0.72
-    return F.bround(F.least(F.lit(1.0), pull + season + stock), 4)
+    return round_even(F.least(F.lit(1.0), pull + season + stock), 4)
 
 
 def advance_factor(days: str | Column) -> Column:
@@ -86,7 +86,7 @@ def trip_total(out_fare, in_fare, hour, adults) -> Column:
 
 
 def base_share(total: str | Column, share: float = 0.82) -> Column:
-    return F.bround(col(total) * share, 2)
+    return round_even(col(total) * share, 2)
 
 
 def fare_split(total: str | Column, base: str | Column | None = None, share: float = 0.85) -> dict[str, Column]:

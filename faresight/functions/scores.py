@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from ..columns import clip, col
+from ..columns import clip, col, round_even
 
 
 def delta_percent(average: str | Column, current: str | Column) -> Column:
@@ -17,7 +17,7 @@ def pricing_trend(delta: str | Column) -> Column:
 
 def pricing_score(delta: str | Column) -> Column:
     score = F.when(F.abs(col(delta)) >= 4.0, clip(col(delta) / 16, -1.0, 1.0)).otherwise(0.0)
-    return F.bround(score, 4)
+    return round_even(score, 4)
 
 
 def pricing_reason(delta: str | Column) -> Column:
@@ -85,7 +85,7 @@ def decision(buy: str | Column, wait: str | Column) -> Column:
 
 
 def decision_confidence(buy: str | Column, wait: str | Column) -> Column:
-    return F.bround(clip(0.56 + F.abs(col(buy) - col(wait)) * 0.55, 0.52, 0.94), 2)
+    return round_even(clip(0.56 + F.abs(col(buy) - col(wait)) * 0.55, 0.52, 0.94), 2)
 
 
 def decision_reason(choice: str | Column) -> Column:

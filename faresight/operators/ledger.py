@@ -172,10 +172,10 @@ def apply_coupon(bookings: DataFrame, coupons: DataFrame, as_of, order: str = "c
     granted = placed.filter(F.col("usage_limit").isNull() | (F.col("coupon_use") <= left))
 
     money = "decimal(10,2)"
-    share = (F.col("total_price") * F.col("discount_value") * F.lit(Decimal("0.01"))).cast(money)
-    percent = F.least(share, F.coalesce(F.col("max_discount").cast(money), share))
+    share = (F.col("total_price") * F.col("discount_value") * F.lit(Decimal("0.01"))).cast("decimal(20,2)")
+    percent = F.least(share, F.coalesce(F.col("max_discount").cast("decimal(20,2)"), share))
     amount = F.when(F.col("discount_type") == "PERCENT", percent).otherwise(F.col("discount_value").cast(money))
-    discount = F.least(amount, F.col("total_price").cast(money)).alias("_discount")
+    discount = F.least(amount, F.col("total_price")).cast(money).alias("_discount")
     got = granted.select("id", discount)
     out = bookings.join(got, "id", "left").withColumn("discount_amount", F.coalesce("_discount", F.lit(Decimal("0.00"))))
     return out.withColumn("payable", (F.col("total_price") - F.col("discount_amount")).cast(money)).drop("_discount")

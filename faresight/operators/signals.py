@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..columns import names
+from ..columns import names, round_even
 from ..functions import scores
 from .aggregates import ROUTE, change_percent, forecast_profile
 
@@ -36,7 +36,7 @@ def demand_signal(df: DataFrame) -> DataFrame:
         "_demand", scores.demand_raw("days_until_departure", "seats_available", "demand_score")
     ).withColumn("demand_level", scores.demand_level("_demand"))
     return raw.withColumns(
-        {"demand_points": F.bround("_demand", 4), "demand_reason": scores.demand_reason("demand_level")}
+        {"demand_points": round_even(F.col("_demand"), 4), "demand_reason": scores.demand_reason("demand_level")}
     ).drop("_demand")
 
 
@@ -50,7 +50,7 @@ def _risk(df: DataFrame) -> DataFrame:
         "risk_level", scores.risk_level("_risk")
     )
     return raw.withColumns(
-        {"risk_score": F.bround("_risk", 4), "risk_reason": scores.risk_reason("risk_level", "points")}
+        {"risk_score": round_even(F.col("_risk"), 4), "risk_reason": scores.risk_reason("risk_level", "points")}
     ).drop("_risk")
 
 
@@ -90,8 +90,8 @@ def intelligence(snapshots: DataFrame, forecast: DataFrame, keys: str | Sequence
     df = trend_probability(booking_decision(snapshots, forecast, keys))
     return df.withColumns(
         {
-            "change_percent": F.bround("change_percent", 2),
-            "prob_increase": F.bround("prob_increase", 2),
+            "change_percent": round_even(F.col("change_percent"), 2),
+            "prob_increase": round_even(F.col("prob_increase"), 2),
             "market_status": scores.market_status("confidence"),
             "confidence_percent": F.col("confidence") * 100,
         }

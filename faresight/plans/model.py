@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..columns import as_date, half_up
+from ..columns import as_date, half_up, round_even
 from ..functions import dates
 from ..functions.text import hash_bucket_estimate, hash_percent, norm_code
 from ..operators.aggregates import ROUTE, regression_metrics
@@ -209,7 +209,7 @@ def predict_fares(df: DataFrame, model: FareModel, out: str = "predicted") -> Da
 def guarded_fare(score: str, origin: str = "origin_code", destination: str = "destination_code") -> Column:
     raw = F.nanvl(F.col(score).cast("double"), F.lit(None).cast("double"))
     lifted = F.when(raw < 800, raw * 1.15).otherwise(raw)
-    return F.coalesce(F.bround(lifted, 2), hash_bucket_estimate(origin, destination))
+    return F.coalesce(round_even(lifted, 2), hash_bucket_estimate(origin, destination))
 
 
 def forecast_grid(snapshots: DataFrame, as_of, days: int = 30) -> DataFrame:
@@ -245,8 +245,8 @@ def forecast_band(price: str = "price") -> dict[str, Column]:
     p = F.col(price)
     width = F.greatest(F.lit(120.0), p * 0.06)
     return {
-        "lower": F.bround(F.greatest(F.lit(800.0), p - width), 2),
-        "upper": F.bround(p + width, 2),
+        "lower": round_even(F.greatest(F.lit(800.0), p - width), 2),
+        "upper": round_even(p + width, 2),
     }
 
 
