@@ -38,8 +38,17 @@ def pick(c: Column, table: Mapping[Any, Any], default: Any) -> Column:
     return fallback if out is None else out.otherwise(fallback)
 
 
+def at_least(c: Column, low: Any) -> Column:
+    """Lower bound that keeps null (``greatest`` alone would turn null into the bound)."""
+    return F.when(c.isNotNull(), F.greatest(c, value(low)))
+
+
+def at_most(c: Column, high: Any) -> Column:
+    return F.when(c.isNotNull(), F.least(c, value(high)))
+
+
 def clip(c: Column, low: Any, high: Any) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), c))
+    return F.when(c.isNotNull(), F.greatest(value(low), F.least(value(high), c)))
 
 
 def half_up(c: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from ..columns import as_date, col
+from ..columns import as_date, at_least, col
 
 # Holidays as month * 100 + day, and the peak hours of a day.
 HOLIDAYS = [101, 126, 815, 1002, 1225]
@@ -19,7 +19,7 @@ def parse_date_default(c: str | Column, as_of, fallback_days: int = 14) -> Colum
 
 def days_until(departure: str | Column, as_of, default: int = 7) -> Column:
     left = F.datediff(col(departure).cast("date"), as_date(as_of))
-    return F.coalesce(F.greatest(left, F.lit(0)), F.lit(default))
+    return F.coalesce(at_least(left, 0), F.lit(default))
 
 
 def calendar_features(d: str | Column) -> dict[str, Column]:

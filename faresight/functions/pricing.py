@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from ..columns import clip, col, pick, round_even
+from ..columns import at_most, clip, col, pick, round_even
 from .dates import beside_holiday, is_weekend, on_holiday
 
 # Month factors of the two seasonality rules, weekday factors, cabin factors.
@@ -39,10 +39,10 @@ def holiday_factor(d: str | Column) -> Column:
 
 
 def demand_score(days: str | Column, d: str | Column, seats: str | Column) -> Column:
-    pull = F.least(F.lit(1.0), sigmoid_demand(days) - 1.0) * 0.58
+    pull = at_most(sigmoid_demand(days) - 1.0, 1.0) * 0.58
     season = (seasonality(d) - 1.0) * 1.05
     stock = (inventory_pressure(seats) - 1.0) * 0.72
-    return round_even(F.least(F.lit(1.0), pull + season + stock), 4)
+    return round_even(at_most(pull + season + stock, 1.0), 4)
 
 
 def advance_factor(days: str | Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from ..columns import clip, col, round_even
+from ..columns import at_most, clip, col, round_even
 
 
 def delta_percent(average: str | Column, current: str | Column) -> Column:
@@ -34,12 +34,12 @@ def demand_raw(days: str | Column, seats: str | Column, demand: str | Column) ->
     """Unrounded demand score; the label is read from this, the reported score is rounded."""
     soon = F.lit(1.0) / F.greatest(col(days) + 1, F.lit(1)) * 2.4
     scarce = clip((32 - col(seats)) / 32, 0.0, 1.0)
-    return F.least(F.lit(1.0), soon + scarce * 0.55 + col(demand) * 0.35)
+    return at_most(soon + scarce * 0.55 + col(demand) * 0.35, 1.0)
 
 
 def risk_raw(stdev: str | Column, spread: str | Column, points: str | Column, current: str | Column) -> Column:
     price = F.greatest(col(current), F.lit(1.0))
-    score = F.least(F.lit(1.0), col(stdev) / price * 4.0 + col(spread) / price * 0.8)
+    score = at_most(col(stdev) / price * 4.0 + col(spread) / price * 0.8, 1.0)
     return F.when(F.coalesce(col(points), F.lit(0)) < 2, 0.0).otherwise(score)
 
 

@@ -5,6 +5,10 @@ non-null column that never decreases along the order (a day, a text prefix). Row
 (key, chunk), a small per-chunk summary is carried forward along the key, and the two are combined.
 The result is exactly that of the plain window; only the unit of work is smaller, and it grows with
 the number of chunks and not with the number of keys.
+
+A chunk can be hot itself, for instance the day of a bulk load. The helpers therefore count the
+(key, chunk) groups first and, where one is above ``max_rows``, cut the table into ranges of the
+full (key, order) tuple instead, which no repeated day or key can unbalance.
 """
 
 from __future__ import annotations
@@ -14,8 +18,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..columns import col, names
+from ..session import ensure_checkpoint_dir
 
 _CHUNK = "_chunk"
+MAX_ROWS = 5_000_000
 
 
 def day_chunk(c: str | Column) -> Column:
@@ -27,6 +33,27 @@ def prefix_chunk(c: str | Column, length: int = 2) -> Column:
     return F.coalesce(F.substring(col(c).cast("string"), 1, length), F.lit(""))
 
 
+def spread(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], chunk: Column, max_rows: int | None = MAX_ROWS
+) -> DataFrame:
+    """``df`` with a ``_chunk`` column such that no (key, chunk) group is far above ``max_rows``.
+
+    The range cut is stored with a reliable checkpoint: range bounds are sampled, and every later
+    read must see the same assignment.
+    """
+    tagged = df.withColumn(_CHUNK, chunk)
+    if max_rows is None:
+        return tagged
+    counts = tagged.groupBy(*keys, _CHUNK).agg(F.count(F.lit(1)).alias("_n"))
+    largest, total = counts.agg(F.max("_n"), F.sum("_n")).first()
+    if largest is None or largest <= max_rows:
+        return tagged
+    ensure_checkpoint_dir(df.sparkSession)
+    parts = max(2, -(-2 * total // max_rows))
+    ranged = df.repartitionByRange(parts, *keys, *order)
+    return ranged.withColumn(_CHUNK, F.spark_partition_id()).checkpoint()
+
+
 def _attach(local: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
     return local.join(summary, [*keys, _CHUNK], "left")
 
@@ -38,6 +65,7 @@ def lag_values(
     value: str,
     lags: Sequence[int],
     chunk: Column | None = None,
+    max_rows: int | None = MAX_ROWS,
 ) -> DataFrame:
     """Adds ``{value}_lag_{n}``: the value n rows earlier within the key."""
     k = names(keys)
@@ -46,7 +74,7 @@ def lag_values(
         return df.select("*", *[F.lag(value, n).over(w).alias(f"{value}_lag_{n}") for n in lags])
 
     reach = max(lags)
-    tagged = df.withColumn(_CHUNK, chunk)
+    tagged = spread(df, k, order, chunk, max_rows)
     # The last rows of each chunk: the limit is applied before the shuffle, so few rows travel.
     newest = Window.partitionBy(*k, _CHUNK).orderBy(*[F.col(c).desc() for c in order])
     tails = (
@@ -82,10 +110,11 @@ def row_index(
     chunk: Column,
     out: str = "row_index",
     total: str | None = None,
+    max_rows: int | None = MAX_ROWS,
 ) -> DataFrame:
     """Exact 1-based position within the key (no keys: within the table), and optionally the key's row count."""
     k = names(keys)
-    tagged = df.withColumn(_CHUNK, chunk)
+    tagged = spread(df, k, order, chunk, max_rows)
     along = Window.partitionBy(*k).orderBy(_CHUNK)
     counts = tagged.groupBy(*k, _CHUNK).agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -111,10 +140,11 @@ def running(
     order: Sequence[str],
     chunk: Column,
     outputs: Mapping[str, tuple[str, str | Column]],
+    max_rows: int | None = MAX_ROWS,
 ) -> DataFrame:
     """Running aggregates up to and including the row; ``outputs`` maps a name to (sum|count|min|max, column)."""
     k = names(keys)
-    tagged = df.withColumn(_CHUNK, chunk)
+    tagged = spread(df, k, order, chunk, max_rows)
     along = Window.partitionBy(*k).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     within = Window.partitionBy(*k, _CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     parts, carries, locals_, results = [], [], [], []

@@ -222,6 +222,8 @@ def forecast_grid(snapshots: DataFrame, as_of, days: int = 30) -> DataFrame:
     offset = F.col("day") - 1
     target = F.date_add(as_date(as_of), F.col("day"))
     calendar = dates.calendar_features("departure_date")
+    seats = F.coalesce(F.col("seats_available").cast("int"), F.lit(50))
+    demand = F.coalesce(F.col("demand_score"), F.lit(0.5))
     return grid.withColumns(
         {
             "date": target,
@@ -231,8 +233,9 @@ def forecast_grid(snapshots: DataFrame, as_of, days: int = 30) -> DataFrame:
             "week_of_year": calendar["week_of_year"],
             "hour_of_day": F.lit(12),
             "is_peak_hour": F.lit(0),
-            "seats_available": F.greatest(F.col("seats_available").cast("int") - F.floor(offset / 2), F.lit(1)).cast("int"),
-            "demand_score": F.least(F.col("demand_score") + offset * 0.01, F.lit(1.0)),
+            "seats_available": F.greatest(seats - F.floor(offset / 2), F.lit(1)).cast("int"),
+            "demand_score": F.least(demand + offset * 0.01, F.lit(1.0)),
+            "seasonality_factor": F.coalesce(F.col("seasonality_factor"), F.lit(1.0)),
             "price_change_1d": F.lit(0.0),
             "price_change_3d": F.lit(0.0),
             "is_live": F.lit(1),
@@ -256,9 +259,9 @@ def forecast_fares(snapshots: DataFrame, model: FareModel, as_of, days: int = 30
 
 
 def fallback_forecast(bases: DataFrame, as_of, base: str = "base_price", trend: str = "trend", days: int = 30) -> DataFrame:
-    """Deterministic forecast from a base fare and a trend, with a weekly wave."""
+    """Deterministic forecast from a base fare (5000 where there is none) and a trend, with a weekly wave."""
     slope = F.when(F.col(trend) == "RISING", 0.006).when(F.col(trend) == "FALLING", -0.004).otherwise(0.001)
-    b = F.col(base)
+    b = F.coalesce(F.nullif(F.col(base), F.lit(0.0)), F.lit(5000.0))
     step = F.col("day") - 1
     wave = b * 0.025 * F.sin(2 * F.pi() * (step + 3) / 7)
     fare = F.greatest(F.lit(800.0), b + b * slope * step + wave)

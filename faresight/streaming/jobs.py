@@ -144,9 +144,14 @@ def challenge_results(attempts: DataFrame, max_attempts: int = 5) -> DataFrame:
 def challenge_stream(attempts: DataFrame, max_attempts: int = 5, lateness: str = "10 minutes") -> DataFrame:
     """The same on a stream, with keyed state that expires with the code. Emits the state after each batch.
 
-    A group is read in Arrow chunks and only its earliest few tries are held, whatever its size.
+    Tries are trimmed to the earliest few per code before the shuffle, and the keyed step again
+    holds no more than that, so a code under attack stays small.
     """
 
+    def trim(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for chunk in chunks:
+            yield chunk.sort_values(["ts", "attempt_id"]).groupby("challenge_id", sort=False).head(max_attempts)
+
     def count(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -156,8 +161,7 @@ def challenge_stream(attempts: DataFrame, max_attempts: int = 5, lateness: str =
         expires = None
         for chunk in chunks:
             expires = chunk["expires_at"].max() if expires is None else max(expires, chunk["expires_at"].max())
-            near = chunk[chunk["ts"] <= chunk["expires_at"]]
-            first = near if first is None else pd.concat([first, near])
+            first = chunk if first is None else pd.concat([first, chunk])
             first = first.nsmallest(max_attempts, ["ts", "attempt_id"])
         for hit in first["is_match"]:
             if used or tried >= max_attempts:
@@ -171,8 +175,10 @@ def challenge_stream(attempts: DataFrame, max_attempts: int = 5, lateness: str =
         yield pd.DataFrame({"challenge_id": [key[0]], "attempts": [tried], "is_used": [used]})
 
     kind = attempts.schema["challenge_id"].dataType.simpleString()
+    in_time = attempts.filter(F.col("ts") <= F.col("expires_at"))
     return (
-        attempts.withWatermark("ts", lateness)
+        in_time.mapInPandas(trim, in_time.schema)
+        .withWatermark("ts", lateness)
         .groupBy("challenge_id")
         .applyInPandasWithState(
             count,
