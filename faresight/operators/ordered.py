@@ -1,19 +1,20 @@
 """Ordered operators that hold when one key owns a large share of all rows.
 
-A plain window sends every row of a key to one task. The helpers here also take a *chunk*: a
+A plain window sends every row of a key to one task. That is the cheapest plan while keys are small,
+so the helpers count the rows per key first and keep it for all keys up to ``max_rows``. Only keys
+above that take the second way, in which they are cut along their order into *chunks*: a chunk is a
 non-null column that never decreases along the order (a day, a text prefix). Rows are windowed per
 (key, chunk), a small per-chunk summary is carried forward along the key, and the two are combined.
-The result is exactly that of the plain window; only the unit of work is smaller, and it grows with
-the number of chunks and not with the number of keys.
+Should a chunk be hot itself, for instance the day of a bulk load, those keys are cut into ranges of
+the full (key, order) tuple instead, which no repeated day or key can unbalance.
 
-A chunk can be hot itself, for instance the day of a bulk load. The helpers therefore count the
-(key, chunk) groups first and, where one is above ``max_rows``, cut the table into ranges of the
-full (key, order) tuple instead, which no repeated day or key can unbalance.
+All three ways give exactly the result of the plain window.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -33,17 +34,30 @@ def prefix_chunk(c: str | Column, length: int = 2) -> Column:
     return F.coalesce(F.substring(col(c).cast("string"), 1, length), F.lit(""))
 
 
-def spread(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], chunk: Column, max_rows: int | None = MAX_ROWS
-) -> DataFrame:
+def split_hot(df: DataFrame, keys: Sequence[str], max_rows: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """(rows of ordinary keys, rows of keys above ``max_rows``); None for a part that is empty.
+
+    There can be at most rows / max_rows hot keys, which bounds the list that is broadcast.
+    """
+    if not keys:
+        return (df, None) if df.count() <= max_rows else (None, df)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_rows).select(*keys)
+    hot = counts.collect()
+    if not hot:
+        return df, None
+    listed = df.sparkSession.createDataFrame(hot, counts.schema).toDF(*[f"_hot_{k}" for k in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
+    side = F.broadcast(listed)
+    return df.join(side, same, "left_anti"), df.join(side, same, "left_semi")
+
+
+def spread(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], chunk: Column, max_rows: int) -> DataFrame:
     """``df`` with a ``_chunk`` column such that no (key, chunk) group is far above ``max_rows``.
 
     The range cut is stored with a reliable checkpoint: range bounds are sampled, and every later
     read must see the same assignment.
     """
     tagged = df.withColumn(_CHUNK, chunk)
-    if max_rows is None:
-        return tagged
     counts = tagged.groupBy(*keys, _CHUNK).agg(F.count(F.lit(1)).alias("_n"))
     largest, total = counts.agg(F.max("_n"), F.sum("_n")).first()
     if largest is None or largest <= max_rows:
@@ -54,8 +68,30 @@ def spread(
     return ranged.withColumn(_CHUNK, F.spark_partition_id()).checkpoint()
 
 
+def _by_size(
+    df: DataFrame,
+    keys: list[str],
+    order: Sequence[str | Column],
+    chunk: Column,
+    max_rows: int,
+    plain: Callable[[DataFrame], DataFrame],
+    chunked: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    ordinary, hot = split_hot(df, keys, max_rows)
+    parts = []
+    if ordinary is not None:
+        parts.append(plain(ordinary))
+    if hot is not None:
+        parts.append(chunked(spread(hot, keys, order, chunk, max_rows)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _attach(local: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
-    return local.join(summary, [*keys, _CHUNK], "left")
+    """Joins the per-chunk summary; null keys match each other, as they do in a window."""
+    on = [*keys, _CHUNK]
+    side = summary.withColumnsRenamed({k: f"_on_{k}" for k in on})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in on])
+    return local.join(side, same, "left")
 
 
 def lag_values(
@@ -64,43 +100,48 @@ def lag_values(
     order: Sequence[str],
     value: str,
     lags: Sequence[int],
-    chunk: Column | None = None,
-    max_rows: int | None = MAX_ROWS,
+    chunk: Column,
+    max_rows: int = MAX_ROWS,
 ) -> DataFrame:
     """Adds ``{value}_lag_{n}``: the value n rows earlier within the key."""
     k = names(keys)
-    if chunk is None:
+    out = [f"{value}_lag_{n}" for n in lags]
+
+    def plain(part: DataFrame) -> DataFrame:
         w = Window.partitionBy(*k).orderBy(*order)
-        return df.select("*", *[F.lag(value, n).over(w).alias(f"{value}_lag_{n}") for n in lags])
-
-    reach = max(lags)
-    tagged = spread(df, k, order, chunk, max_rows)
-    # The last rows of each chunk: the limit is applied before the shuffle, so few rows travel.
-    newest = Window.partitionBy(*k, _CHUNK).orderBy(*[F.col(c).desc() for c in order])
-    tails = (
-        tagged.select(*{*k, _CHUNK, *order, value})
-        .withColumn("_back", F.row_number().over(newest))
-        .filter(F.col("_back") <= reach)
-        .groupBy(*k, _CHUNK)
-        .agg(F.sort_array(F.collect_list(F.struct((-F.col("_back")).alias("at"), F.col(value).alias("v")))).alias("_t"))
-    )
-    along = Window.partitionBy(*k).orderBy(_CHUNK)
-    none = F.slice(F.col("_t"), 1, 0)
-    joined = F.concat(*[F.coalesce(F.lag("_t", n).over(along), none) for n in range(reach, 0, -1)])
-    carry = tails.select(*k, _CHUNK, joined.alias("_c")).select(*k, _CHUNK, F.col("_c")["v"].alias("_carry"))
-
-    within = Window.partitionBy(*k, _CHUNK).orderBy(*order)
-    local = tagged.select(
-        "*",
-        F.row_number().over(within).alias("_pos"),
-        *[F.lag(value, n).over(within).alias(f"_lag_{n}") for n in lags],
-    )
-
-    def lagged(n: int) -> Column:
-        earlier = F.try_element_at("_carry", F.least(F.col("_pos") - n - 1, F.lit(-1)).cast("int"))
-        return F.when(F.col("_pos") > n, F.col(f"_lag_{n}")).otherwise(earlier).alias(f"{value}_lag_{n}")
-
-    return _attach(local, carry, k).select(*df.columns, *[lagged(n) for n in lags])
+        return part.select("*", *[F.lag(value, n).over(w).alias(name) for n, name in zip(lags, out)])
+
+    def chunked(tagged: DataFrame) -> DataFrame:
+        reach = max(lags)
+        # The last rows of each chunk: the limit is applied before the shuffle, so few rows travel.
+        newest = Window.partitionBy(*k, _CHUNK).orderBy(*[F.col(c).desc() for c in order])
+        spot = F.struct((-F.col("_back")).alias("at"), F.col(value).alias("v"))
+        tails = (
+            tagged.select(*{*k, _CHUNK, *order, value})
+            .withColumn("_back", F.row_number().over(newest))
+            .filter(F.col("_back") <= reach)
+            .groupBy(*k, _CHUNK)
+            .agg(F.sort_array(F.collect_list(spot)).alias("_t"))
+        )
+        along = Window.partitionBy(*k).orderBy(_CHUNK)
+        none = F.slice(F.col("_t"), 1, 0)
+        earlier = F.concat(*[F.coalesce(F.lag("_t", n).over(along), none) for n in range(reach, 0, -1)])
+        carry = tails.select(*k, _CHUNK, earlier.alias("_c")).select(*k, _CHUNK, F.col("_c")["v"].alias("_carry"))
+
+        within = Window.partitionBy(*k, _CHUNK).orderBy(*order)
+        local = tagged.select(
+            "*",
+            F.row_number().over(within).alias("_pos"),
+            *[F.lag(value, n).over(within).alias(f"_lag_{n}") for n in lags],
+        )
+
+        def lagged(n: int) -> Column:
+            back = F.least(F.col("_pos") - n - 1, F.lit(-1)).cast("int")
+            return F.when(F.col("_pos") > n, F.col(f"_lag_{n}")).otherwise(F.try_element_at("_carry", back))
+
+        return _attach(local, carry, k).select(*df.columns, *[lagged(n).alias(name) for n, name in zip(lags, out)])
+
+    return _by_size(df, k, order, chunk, max_rows, plain, chunked)
 
 
 def row_index(
@@ -110,20 +151,27 @@ def row_index(
     chunk: Column,
     out: str = "row_index",
     total: str | None = None,
-    max_rows: int | None = MAX_ROWS,
+    max_rows: int = MAX_ROWS,
 ) -> DataFrame:
     """Exact 1-based position within the key (no keys: within the table), and optionally the key's row count."""
     k = names(keys)
-    tagged = spread(df, k, order, chunk, max_rows)
-    along = Window.partitionBy(*k).orderBy(_CHUNK)
-    counts = tagged.groupBy(*k, _CHUNK).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    whole = F.sum("_n").over(Window.partitionBy(*k))
-    summary = counts.select(*k, _CHUNK, before.alias("_before"), *([whole.alias(total)] if total else []))
-    local = tagged.withColumn("_pos", F.row_number().over(Window.partitionBy(*k, _CHUNK).orderBy(*order)))
-    return _attach(local, summary, k).select(
-        *df.columns, (F.col("_pos") + F.col("_before")).alias(out), *([total] if total else [])
-    )
+
+    def plain(part: DataFrame) -> DataFrame:
+        position = F.row_number().over(Window.partitionBy(*k).orderBy(*order)).cast("bigint").alias(out)
+        whole = [F.count(F.lit(1)).over(Window.partitionBy(*k)).alias(total)] if total else []
+        return part.select("*", position, *whole)
+
+    def chunked(tagged: DataFrame) -> DataFrame:
+        along = Window.partitionBy(*k).orderBy(_CHUNK)
+        counts = tagged.groupBy(*k, _CHUNK).agg(F.count(F.lit(1)).alias("_n"))
+        before = F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        whole = [F.sum("_n").over(Window.partitionBy(*k)).alias(total)] if total else []
+        summary = counts.select(*k, _CHUNK, before.alias("_before"), *whole)
+        local = tagged.withColumn("_pos", F.row_number().over(Window.partitionBy(*k, _CHUNK).orderBy(*order)))
+        position = (F.col("_pos") + F.col("_before")).alias(out)
+        return _attach(local, summary, k).select(*df.columns, position, *([total] if total else []))
+
+    return _by_size(df, k, order, chunk, max_rows, plain, chunked)
 
 
 _COMBINE = {
@@ -140,23 +188,30 @@ def running(
     order: Sequence[str],
     chunk: Column,
     outputs: Mapping[str, tuple[str, str | Column]],
-    max_rows: int | None = MAX_ROWS,
+    max_rows: int = MAX_ROWS,
 ) -> DataFrame:
     """Running aggregates up to and including the row; ``outputs`` maps a name to (sum|count|min|max, column)."""
     k = names(keys)
-    tagged = spread(df, k, order, chunk, max_rows)
-    along = Window.partitionBy(*k).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    within = Window.partitionBy(*k, _CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    parts, carries, locals_, results = [], [], [], []
-    for name, (how, c) in outputs.items():
-        agg, combine = _COMBINE[how]
-        merge = F.sum if how == "count" else agg
-        parts.append(agg(col(c)).alias(f"_p_{name}"))
-        carries.append(merge(f"_p_{name}").over(along).alias(f"_b_{name}"))
-        locals_.append(agg(col(c)).over(within).alias(f"_l_{name}"))
-        results.append(combine(F.col(f"_b_{name}"), F.col(f"_l_{name}")).alias(name))
-    summary = tagged.groupBy(*k, _CHUNK).agg(*parts).select(*k, _CHUNK, *carries)
-    return _attach(tagged.select("*", *locals_), summary, k).select(*df.columns, *results)
+
+    def plain(part: DataFrame) -> DataFrame:
+        w = Window.partitionBy(*k).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return part.select("*", *[_COMBINE[how][0](col(c)).over(w).alias(name) for name, (how, c) in outputs.items()])
+
+    def chunked(tagged: DataFrame) -> DataFrame:
+        along = Window.partitionBy(*k).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+        within = Window.partitionBy(*k, _CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        parts, carries, local, results = [], [], [], []
+        for name, (how, c) in outputs.items():
+            agg, combine = _COMBINE[how]
+            merge = F.sum if how == "count" else agg
+            parts.append(agg(col(c)).alias(f"_p_{name}"))
+            carries.append(merge(f"_p_{name}").over(along).alias(f"_b_{name}"))
+            local.append(agg(col(c)).over(within).alias(f"_l_{name}"))
+            results.append(combine(F.col(f"_b_{name}"), F.col(f"_l_{name}")).alias(name))
+        summary = tagged.groupBy(*k, _CHUNK).agg(*parts).select(*k, _CHUNK, *carries)
+        return _attach(tagged.select("*", *local), summary, k).select(*df.columns, *results)
+
+    return _by_size(df, k, order, chunk, max_rows, plain, chunked)
 
 
 def top_k(

@@ -16,7 +16,7 @@ from ..functions.text import hash_bucket_estimate, hash_percent, norm_code
 from ..operators.aggregates import ROUTE, regression_metrics
 from ..operators.filters import mask_unobserved, within_price_bounds
 from ..operators.joins import bounded, day_grid
-from ..operators.ordered import day_chunk, lag_values, prefix_chunk, row_index
+from ..operators.ordered import MAX_ROWS, day_chunk, lag_values, prefix_chunk, row_index
 from ..operators.quality import fill_defaults
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import fare_history, require_rows
@@ -40,9 +40,14 @@ def price_changes(
     keys: str | Sequence[str] = ROUTE,
     lags: Sequence[int] = (1, 3),
     chunk: Column | None = None,
+    max_rows: int = MAX_ROWS,
 ) -> DataFrame:
-    """Adds ``price_change_{n}d``: price minus the price n rows earlier of the same key, 0 at the start."""
-    lagged = lag_values(df, keys, order, "price", lags, chunk)
+    """Adds ``price_change_{n}d``: price minus the price n rows earlier of the same key, 0 at the start.
+
+    ``chunk`` cuts hot keys and defaults to the day of the first order column.
+    """
+    cut = day_chunk(order[0]) if chunk is None else chunk
+    lagged = lag_values(df, keys, order, "price", lags, cut, max_rows)
     change = {
         f"price_change_{n}d": F.coalesce(F.col("price") - F.col(f"price_lag_{n}"), F.lit(0.0)) for n in lags
     }
@@ -98,8 +103,8 @@ def fare_features(
 ) -> DataFrame:
     """The 16 features, the price and the weight, before category encoding. ``keep`` passes row keys on.
 
-    Lag features follow row order within the key; they are windowed per day so that a route with a
-    large share of the history is spread over many tasks.
+    Lag features follow row order within the key; routes with a large share of the history are cut
+    by day so that they are spread over many tasks.
     """
     df = history.withColumn("price", F.col("price").cast("double"))
     df = fare_history(df)
@@ -107,7 +112,7 @@ def fare_features(
     days = dates.days_until("departure_date", as_of) if "departure_date" in df.columns else F.lit(7)
     live = F.coalesce(F.col("is_live"), F.lit(False)) if "is_live" in df.columns else F.lit(False)
     df = df.withColumns({"days_until_dep": days, "is_live": live, "weight": sample_weight(df)})
-    df = price_changes(df, order, keys, chunk=day_chunk(order[0]))
+    df = price_changes(df, order, keys)
     df = fill_defaults(df, DEFAULTS)
     df = mask_unobserved(df, "is_live", live_value)
     df = df.withColumns({"urgency": dates.urgency("days_until_dep"), "is_live": F.col("is_live").cast("int")})

@@ -29,7 +29,7 @@ _ORDER = "recorded_at, l_orderkey, l_linenumber, departure_date, l_partkey, l_su
 )
 def price_changes(spark, sf):
     history = star.bounded_history(spark, sf).select(*ROUTE, *star.ORDER, "price")
-    out = model.price_changes(history, star.ORDER, chunk=ordered.day_chunk("recorded_at"))
+    out = model.price_changes(history, star.ORDER)
     return out.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "departure_date", "price",
         F.round("price_change_1d", 4).alias("price_change_1d"), F.round("price_change_3d", 4).alias("price_change_3d"),

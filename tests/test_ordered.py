@@ -30,8 +30,8 @@ def expected(fn):
     return out
 
 
-# None skips the count; 10 forces the range cut; the default finds no hot chunk.
-LIMITS = [None, 10, ordered.MAX_ROWS]
+# 60 forces the range cut of the hot key, 300 its day chunks, the default leaves plain windows.
+LIMITS = [60, 300, ordered.MAX_ROWS]
 
 
 @pytest.mark.parametrize("limit", LIMITS)
@@ -49,16 +49,29 @@ def test_lags(table, limit):
 def test_lags_across_short_chunks(spark):
     # One row per chunk: a lag reaches several chunks back.
     df = spark.createDataFrame([("a", d, float(d)) for d in range(6)], "key string, day int, v double")
-    got = ordered.lag_values(df, "key", ["day"], "v", [1, 3], F.col("day"))
+    got = ordered.lag_values(df, "key", ["day"], "v", [1, 3], F.col("day"), 5)
     assert [(r["v_lag_1"], r["v_lag_3"]) for r in got.orderBy("day").collect()] == [
         (None, None), (0.0, None), (1.0, None), (2.0, 0.0), (3.0, 1.0), (4.0, 2.0)
     ]
 
 
-def test_lags_keep_null_values(spark):
-    df = spark.createDataFrame([("a", 0, 1.0), ("a", 1, None), ("a", 2, 3.0)], "key string, day int, v double")
-    got = ordered.lag_values(df, "key", ["day"], "v", [1], F.col("day")).orderBy("day").collect()
-    assert [r["v_lag_1"] for r in got] == [None, 1.0, None]
+@pytest.mark.parametrize("limit", [2, 9])
+def test_null_values_and_null_keys(spark, limit):
+    data = [("a", 0, 1.0), ("a", 1, None), ("a", 2, 3.0), (None, 0, 5.0), (None, 1, 6.0), (None, 2, 7.0), ("b", 0, 8.0)]
+    df = spark.createDataFrame(data, "key string, day int, v double")
+    got = ordered.lag_values(df, "key", ["day"], "v", [1], F.col("day"), limit).collect()
+    assert {(r["key"], r["day"]): r["v_lag_1"] for r in got} == {
+        ("a", 0): None, ("a", 1): 1.0, ("a", 2): None, (None, 0): None, (None, 1): 5.0, (None, 2): 6.0, ("b", 0): None
+    }
+    got = ordered.row_index(df, "key", ["day"], F.col("day"), max_rows=limit).collect()
+    assert {(r["key"], r["day"]): r["row_index"] for r in got} == {(k, d): d + 1 for k, d, _ in data}
+
+
+def test_only_hot_keys_are_cut(table):
+    ordinary, hot = ordered.split_hot(table, ["key"], 300)
+    assert {r[0] for r in hot.select("key").distinct().collect()} == {"hot"}
+    assert ordinary.count() + hot.count() == len(ROWS) and ordinary.filter("key = 'hot'").isEmpty()
+    assert ordered.split_hot(table, ["key"], 5000)[1] is None and ordered.split_hot(table, [], 10)[0] is None
 
 
 @pytest.mark.parametrize("limit", LIMITS)
