@@ -16,22 +16,25 @@ CHANNELS = ("EMAIL", "SMS", "WHATSAPP")
 
 
 def price_alerts_now(alerts: DataFrame, base_fares: DataFrame, as_of) -> DataFrame:
-    """Adds ``current_price`` by the alert rule. ``base_fares`` holds one ``base`` per route."""
+    """Adds ``current_price`` by the alert rule; null for an alert without a route.
+
+    ``base_fares`` holds one ``base`` per route.
+    """
+    has_route = non_blank("origin_code").isNotNull() & non_blank("destination_code").isNotNull()
     with_base = lookup_default(alerts, base_fares, ["origin_code", "destination_code"], {"base": ALERT_BASE})
     days = days_until("departure_date", as_of, default=30)
-    return with_base.withColumn("current_price", alert_fare("base", days)).drop("base")
+    return with_base.withColumn("current_price", F.when(has_route, alert_fare("base", days))).drop("base")
 
 
 def evaluate_alerts(priced: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(updated alerts, triggers) for active alerts carrying ``current_price``."""
     met = F.coalesce(F.col("is_active") & (F.col("current_price") <= F.col("target_price").cast("double")), F.lit(False))
     count = F.coalesce(F.col("triggered_count"), F.lit(0))
+    before = F.col("last_price").cast("double") if "last_price" in priced.columns else F.lit(None).cast("double")
     checked = priced.withColumn("is_met", met)
     updated = checked.withColumns(
         {
-            "last_price": F.when(F.col("is_active"), F.col("current_price")).otherwise(
-                F.col("last_price").cast("double") if "last_price" in priced.columns else F.lit(None).cast("double")
-            ),
+            "last_price": F.coalesce(F.when(F.col("is_active"), F.col("current_price")), before),
             "triggered_count": F.when(F.col("is_met"), count + 1).otherwise(count),
         }
     ).drop("is_met", "current_price")

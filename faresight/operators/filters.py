@@ -44,13 +44,17 @@ def departures_for(
     flights: DataFrame, searches: DataFrame, status: str = "SCHEDULED", limit: int = 20,
     order: Sequence[str] = ("departure_time", "id"),
 ) -> DataFrame:
-    """The same for a whole table of searches (origin_code, destination_code, departure_date)."""
+    """The same for a whole table of searches (origin_code, destination_code, departure_date).
+
+    Flights are cut to the first ones of each route and day before they meet the searches, so that a
+    crowded day never travels whole.
+    """
     route = ["origin_code", "destination_code", "departure_date"]
     wanted = searches.select(*route).distinct()
     offered = flights.filter(F.col("status") == status).withColumn(
         "departure_date", F.col("departure_time").cast("date")
     )
-    return top_k(offered.join(wanted, route, "left_semi"), route, list(order), limit, rank="position")
+    return top_k(offered, route, list(order), limit, rank="position").join(wanted, route, "left_semi")
 
 
 def is_live_alert(as_of) -> Column:

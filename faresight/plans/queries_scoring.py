@@ -459,9 +459,8 @@ def fallback_forecast(spark, sf):
 
 @query(
     "complete_forecast", "M9", "forecast", "snapshots",
-    sql=f"""SELECT {R}, count(*) AS points FROM (
-              SELECT {R} FROM forecast WHERE origin_code >= destination_code AND day <= 20
-              UNION ALL SELECT {R} FROM (SELECT {R}, unnest(range(30)) FROM snapshots WHERE origin_code < destination_code)) GROUP BY 1, 2""",
+    sql=f"""SELECT {R}, CASE WHEN n >= 7 THEN n ELSE 30 END AS points FROM snapshots LEFT JOIN
+              (SELECT {R}, count(*) AS n FROM forecast WHERE day <= CASE WHEN origin_code < destination_code THEN 5 ELSE 20 END GROUP BY 1, 2) USING ({R})""",
 )
 def complete_forecast(spark, sf):
     short = F.when(F.col("origin_code") < F.col("destination_code"), 5).otherwise(20)

@@ -422,10 +422,10 @@ def test_channels(spark):
 
 
 def test_alert_evaluation(spark):
-    df = spark.createDataFrame([(1, "A", "B", dt.date(2026, 5, 1), D("6750.00"), True, 1, None), (2, "A", "B", dt.date(2026, 5, 1), D("6749.99"), True, None, None), (3, "A", "C", None, D("5000.00"), True, 0, None), (4, "A", "B", dt.date(2026, 5, 1), D("9999.00"), False, 0, D("7.00"))], "id int, origin_code string, destination_code string, departure_date date, target_price decimal(10,2), is_active boolean, triggered_count int, last_price decimal(10,2)")
+    df = spark.createDataFrame([(1, "A", "B", dt.date(2026, 5, 1), D("6750.00"), True, 1, None), (2, "A", "B", dt.date(2026, 5, 1), D("6749.99"), True, None, None), (3, "A", "C", None, D("5000.00"), True, 0, None), (4, "A", "B", dt.date(2026, 5, 1), D("9999.00"), False, 0, D("7.00")), (5, "", "B", None, D("9999.00"), True, 0, D("8.00"))], "id int, origin_code string, destination_code string, departure_date date, target_price decimal(10,2), is_active boolean, triggered_count int, last_price decimal(10,2)")
     bases = spark.createDataFrame([("A", "B", 5000.0)], "origin_code string, destination_code string, base double")
     updated, triggers = alerts.evaluate_alerts(alerts.price_alerts_now(df, bases, NOW))
-    assert rows(updated, "id", "last_price", "triggered_count") == [(1, 6750.0, 2), (2, 6750.0, 0), (3, 5000.0, 1), (4, 7.0, 0)]
+    assert rows(updated, "id", "last_price", "triggered_count") == [(1, 6750.0, 2), (2, 6750.0, 0), (3, 5000.0, 1), (4, 7.0, 0), (5, 8.0, 0)]
     assert rows(triggers, "id") == [(1,), (3,)]
 
 
