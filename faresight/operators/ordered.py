@@ -22,7 +22,9 @@ from ..columns import col, names
 from ..session import ensure_checkpoint_dir
 
 _CHUNK = "_chunk"
+# Rows of one key that a single task may sort. A session overrides it with this setting, a call with ``max_rows``.
 MAX_ROWS = 5_000_000
+MAX_ROWS_SETTING = "spark.faresight.maxRowsPerTask"
 
 
 def day_chunk(c: str | Column) -> Column:
@@ -73,16 +75,17 @@ def _by_size(
     keys: list[str],
     order: Sequence[str | Column],
     chunk: Column,
-    max_rows: int,
+    max_rows: int | None,
     plain: Callable[[DataFrame], DataFrame],
     chunked: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
-    ordinary, hot = split_hot(df, keys, max_rows)
+    limit = max_rows or int(df.sparkSession.conf.get(MAX_ROWS_SETTING, str(MAX_ROWS)))
+    ordinary, hot = split_hot(df, keys, limit)
     parts = []
     if ordinary is not None:
         parts.append(plain(ordinary))
     if hot is not None:
-        parts.append(chunked(spread(hot, keys, order, chunk, max_rows)))
+        parts.append(chunked(spread(hot, keys, order, chunk, limit)))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -101,7 +104,7 @@ def lag_values(
     value: str,
     lags: Sequence[int],
     chunk: Column,
-    max_rows: int = MAX_ROWS,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """Adds ``{value}_lag_{n}``: the value n rows earlier within the key."""
     k = names(keys)
@@ -151,7 +154,7 @@ def row_index(
     chunk: Column,
     out: str = "row_index",
     total: str | None = None,
-    max_rows: int = MAX_ROWS,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """Exact 1-based position within the key (no keys: within the table), and optionally the key's row count."""
     k = names(keys)
@@ -188,7 +191,7 @@ def running(
     order: Sequence[str],
     chunk: Column,
     outputs: Mapping[str, tuple[str, str | Column]],
-    max_rows: int = MAX_ROWS,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """Running aggregates up to and including the row; ``outputs`` maps a name to (sum|count|min|max, column)."""
     k = names(keys)

@@ -16,7 +16,7 @@ from ..functions.text import hash_bucket_estimate, hash_percent, norm_code
 from ..operators.aggregates import ROUTE, regression_metrics
 from ..operators.filters import mask_unobserved, within_price_bounds
 from ..operators.joins import bounded, day_grid
-from ..operators.ordered import MAX_ROWS, day_chunk, lag_values, prefix_chunk, row_index
+from ..operators.ordered import day_chunk, lag_values, prefix_chunk, row_index
 from ..operators.quality import fill_defaults
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import fare_history, require_rows
@@ -40,7 +40,7 @@ def price_changes(
     keys: str | Sequence[str] = ROUTE,
     lags: Sequence[int] = (1, 3),
     chunk: Column | None = None,
-    max_rows: int = MAX_ROWS,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """Adds ``price_change_{n}d``: price minus the price n rows earlier of the same key, 0 at the start.
 

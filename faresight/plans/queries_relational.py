@@ -49,7 +49,7 @@ def fare_history(spark, sf):
 @query(
     "offer_json", "S5", "offers",
     sql=f"""SELECT {R}, count(*) AS offers, round(sum(total), 2) AS total,
-                   sum(CASE WHEN flight_number IS NULL THEN 1 ELSE 0 END) AS unnumbered FROM offers GROUP BY 1, 2""",
+                   count(*) FILTER (flight_number IS NULL) AS unnumbered FROM offers GROUP BY 1, 2""",
 )
 def offer_json(spark, sf):
     from ..functions import nested
@@ -333,7 +333,7 @@ def payment_mismatch(spark, sf):
 
 @query(
     "mask_unobserved", "P16", "price_history",
-    sql=f"""SELECT {R}, sum(CASE WHEN is_live THEN least(greatest(seats_available, 1), 100) ELSE 50 END) AS seats,
+    sql=f"""SELECT {R}, CAST(sum(CASE WHEN is_live THEN least(greatest(seats_available, 1), 100) ELSE 50 END) AS BIGINT) AS seats,
               round(sum(CASE WHEN is_live THEN training_weight ELSE 0.5 END), 6) AS demand
             FROM price_history GROUP BY 1, 2""",
 )

@@ -35,11 +35,11 @@ def demand_factors(spark, sf):
 @query(
     "date_factors", "D3", "price_history",
     sql=f"""SELECT departure_date, {season('departure_date')} AS season,
-              CASE WHEN month(departure_date) IN (4,5,10,12) THEN 1.25 ELSE 1.0 END AS search_season,
-              CASE isodow(departure_date) WHEN 1 THEN 0.97 WHEN 5 THEN 1.16 WHEN 6 THEN 1.08 WHEN 7 THEN 1.14 ELSE 1 END AS weekday,
-              CASE WHEN strftime(departure_date, '%m%d') IN ('0101','0126','0815','1002','1225') THEN 1.24
-                   WHEN strftime(departure_date + 1, '%m%d') IN ('0101','0126','0815','1002','1225') THEN 1.1
-                   WHEN strftime(departure_date - 1, '%m%d') IN ('0101','0126','0815','1002','1225') THEN 1.1 ELSE 1 END AS holiday,
+              CASE WHEN month(departure_date) IN (4,5,10,12) THEN 1.25::DOUBLE ELSE 1.0::DOUBLE END AS search_season,
+              CASE isodow(departure_date) WHEN 1 THEN 0.97::DOUBLE WHEN 5 THEN 1.16::DOUBLE WHEN 6 THEN 1.08::DOUBLE WHEN 7 THEN 1.14::DOUBLE ELSE 1 END AS weekday,
+              CASE WHEN strftime(departure_date, '%m%d') IN ('0101','0126','0815','1002','1225') THEN 1.24::DOUBLE
+                   WHEN strftime(departure_date + 1, '%m%d') IN ('0101','0126','0815','1002','1225') THEN 1.1::DOUBLE
+                   WHEN strftime(departure_date - 1, '%m%d') IN ('0101','0126','0815','1002','1225') THEN 1.1::DOUBLE ELSE 1 END AS holiday,
               count(*) AS fares FROM price_history GROUP BY 1""",
 )
 def date_factors(spark, sf):
@@ -357,7 +357,7 @@ def _stored_features(spark, sf):
 @query(
     "fare_features", "M1 M3 P2 P12 P16", "bounded_history",
     sql=f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, departure_date, CAST(days AS DOUBLE) AS days_until_dep, round(1.0 / (days + 1), 8) AS urgency,
-              CASE WHEN is_live THEN CAST(least(greatest(seats_available, 1), 100) AS DOUBLE) ELSE 50 END AS seats_available, 0.5 AS demand_score, 12 AS hour_of_day,
+              CASE WHEN is_live THEN CAST(least(greatest(seats_available, 1), 100) AS DOUBLE) ELSE 50 END AS seats_available, 0.5::DOUBLE AS demand_score, 12 AS hour_of_day,
               round(c1, 4) AS price_change_1d, round(c3, 4) AS price_change_3d, CAST(is_live AS INTEGER) AS is_live, round(greatest(training_weight, 0.01), 6) AS weight
             FROM (SELECT *, greatest(date_diff('day', DATE '{star.AS_OF}', departure_date), 0) AS days, coalesce(price - lag(price, 1) OVER w, 0) AS c1,
                     coalesce(price - lag(price, 3) OVER w, 0) AS c3 FROM bounded_history
@@ -471,12 +471,12 @@ def complete_forecast(spark, sf):
 
 @query(
     "current_fares", "M10", "snapshots",
-    sql=f"SELECT {R}, round(CASE WHEN seats_available >= 10 THEN current_price * 1.1::DOUBLE ELSE current_price END, 4) AS current_price FROM snapshots",
+    sql=f"SELECT {R}, CASE WHEN seats_available >= 10 THEN current_price * 1.1::DOUBLE ELSE current_price END AS current_price FROM snapshots",
 )
 def current_fares(spark, sf):
     shown = star.snapshots(spark, sf)
     predicted = shown.filter("seats_available >= 10").select(*ROUTE, (F.col("current_price") * 1.1).alias("predicted"))
-    return model.current_fare_table(shown, predicted).select(*ROUTE, F.round("current_price", 4).alias("current_price"))
+    return model.current_fare_table(shown, predicted).select(*ROUTE, "current_price")
 
 
 # -- streams ----------------------------------------------------------------------------------------------------------

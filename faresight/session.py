@@ -45,7 +45,7 @@ def work_dir(spark: SparkSession, name: str) -> str:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Iterative training needs a checkpoint folder; keep the cluster's, set one only in local runs."""
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return
-    spark.sparkContext.setCheckpointDir(work_dir(spark, "checkpoint"))
+    """Makes checkpoints possible: the cluster's folder where it names one, else a local session's own."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or work_dir(spark, "checkpoint"))

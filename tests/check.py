@@ -15,6 +15,16 @@ from faresight.session import local_session
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
+STRICT = bool(os.environ.get("CHECK_STRICT"))
+KINDS = {
+    "TINYINT": "int", "INTEGER": "int", "BIGINT": "int", "DOUBLE": "float", "VARCHAR": "text", "BOOLEAN": "bool", "DATE": "date",
+    "tinyint": "int", "int": "int", "bigint": "int", "double": "float", "string": "text", "boolean": "bool", "date": "date",
+}
+
+
+def kinds(pairs):
+    return {name: KINDS.get(str(kind), str(kind)) for name, kind in pairs}
+
 
 def normal(v):
     if v is None or (isinstance(v, float) and math.isnan(v)):
@@ -23,6 +33,8 @@ def normal(v):
         return v
     if isinstance(v, (int, float)) or type(v).__name__ == "Decimal":
         f = float(v)
+        if STRICT:
+            return repr(f + 0.0)
         return repr(round(f, 9) + 0.0) if not f.is_integer() else str(int(f))
     if hasattr(v, "isoformat"):
         return v.isoformat()
@@ -35,13 +47,15 @@ def rows_of(columns, rows):
     return [columns[i] for i in order], sorted(out, key=lambda r: tuple(str(x) for x in r))
 
 
-def compare(spark, con, sf, fn, sql):
-    df = fn(spark, sf)
+def compare(con, df, sql):
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     if sql is None:
         return "rows", len(got[1]), ""
     rel = con.sql(sql)
     want = rows_of(list(rel.columns), rel.fetchall())
+    left, right = kinds(df.dtypes), kinds(zip(rel.columns, rel.dtypes))
+    if left != right:
+        return "TYPES", len(got[1]), str({c: (left.get(c), right.get(c)) for c in {*left, *right} if left.get(c) != right.get(c)})
     if got[0] != want[0]:
         return "COLUMNS", len(got[1]), f"{got[0]} / {want[0]}"
     if got[1] == want[1]:
@@ -65,8 +79,9 @@ def main() -> int:
 
     size = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     parts = sys.argv[2:]
-    sf = f"/root/testdata/sf{size}"
-    spark = local_session("check", 8)
+    sf = size if size.startswith("/") else f"/root/testdata/sf{size}"
+    settings = dict(s.split("=", 1) for s in os.environ.get("CHECK_CONF", "").split() if s)
+    spark = local_session("check", 8, **settings)
     con = connect(sf)
     queries, oracles = entry.queries(), entry.oracle_sql()
     bad = 0
@@ -75,7 +90,7 @@ def main() -> int:
             continue
         start = time.time()
         try:
-            verdict, n, note = compare(spark, con, sf, fn, oracles.get(name))
+            verdict, n, note = compare(con, fn(spark, sf), oracles.get(name))
         except Exception as err:
             verdict, n, note = "ERROR", 0, str(err)[:600]
         bad += verdict not in ("ok", "rows")

@@ -1,23 +1,15 @@
-"""Physical plans: pushdown, pruning, no Python workers, no cross joins, checked broadcasts."""
+"""Physical plans: pushdown, pruning, partial aggregation, early top-k."""
 
 import contextlib
 import io
 
-import pytest
 from pyspark.sql import functions as F
 
 from faresight.functions import pricing
 from faresight.operators import aggregates as agg, filters, joins, offers, signals
-from faresight.plans import catalog
 from faresight.sources import star
 
 
-# Writing and training run jobs of their own; their plans are those of the operators tested elsewhere.
-EAGER = {name for name in catalog.QUERIES if "stream" in name} | {
-    "notify_once", "train_model", "answer_requests", "history_roundtrip", "windowed_fares_stream"
-}
-
-
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -29,13 +21,6 @@ def formatted(df):
     return out.getvalue()
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - EAGER))
-def test_no_python_and_no_cross_join(spark, sf, name):
-    text = plan(catalog.QUERIES[name](spark, sf))
-    for forbidden in ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "CartesianProduct", "BroadcastNestedLoopJoin", "MapInPandas"):
-        assert forbidden not in text, f"{name}: {forbidden}"
-
-
 def test_price_bounds_reach_the_scan(spark, sf):
     scan = filters.within_price_bounds(star.raw(spark, sf, "lineitem"), price="l_extendedprice").select("l_orderkey")
     text = plan(scan)
