@@ -38,17 +38,24 @@ def pick(c: Column, table: Mapping[Any, Any], default: Any) -> Column:
     return fallback if out is None else out.otherwise(fallback)
 
 
+def _bound(c: Column, limit: Any) -> Column:
+    """The limit where ``c`` is known: ``greatest`` and ``least`` skip nulls, so a bare limit would replace them.
+
+    Only the literal is conditional, which lets Spark compute ``c`` once however often it occurs.
+    """
+    return F.when(c.isNotNull(), value(limit))
+
+
 def at_least(c: Column, low: Any) -> Column:
-    """Lower bound that keeps null (``greatest`` alone would turn null into the bound)."""
-    return F.when(c.isNotNull(), F.greatest(c, value(low)))
+    return F.greatest(c, _bound(c, low))
 
 
 def at_most(c: Column, high: Any) -> Column:
-    return F.when(c.isNotNull(), F.least(c, value(high)))
+    return F.least(c, _bound(c, high))
 
 
 def clip(c: Column, low: Any, high: Any) -> Column:
-    return F.when(c.isNotNull(), F.greatest(value(low), F.least(value(high), c)))
+    return F.greatest(F.least(c, _bound(c, high)), _bound(c, low))
 
 
 def half_up(c: Column) -> Column:

@@ -39,7 +39,7 @@ def holiday_factor(d: str | Column) -> Column:
 
 
 def demand_score(days: str | Column, d: str | Column, seats: str | Column) -> Column:
-    pull = at_most(sigmoid_demand(days) - 1.0, 1.0) * 0.58
+    pull = (sigmoid_demand(days) - 1.0) * 0.58  # the sigmoid part never exceeds 0.72, so it needs no bound
     season = (seasonality(d) - 1.0) * 1.05
     stock = (inventory_pressure(seats) - 1.0) * 0.72
     return round_even(at_most(pull + season + stock, 1.0), 4)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..columns import col, non_blank
 from ..functions.dates import days_until
 from ..functions.pricing import ALERT_BASE, alert_fare
-from .joins import lookup_default
+from .joins import bounded, lookup_default
 from .ordered import running
 
 CHANNELS = ("EMAIL", "SMS", "WHATSAPP")
@@ -21,7 +21,7 @@ def price_alerts_now(alerts: DataFrame, base_fares: DataFrame, as_of) -> DataFra
     ``base_fares`` holds one ``base`` per route.
     """
     has_route = non_blank("origin_code").isNotNull() & non_blank("destination_code").isNotNull()
-    with_base = lookup_default(alerts, base_fares, ["origin_code", "destination_code"], {"base": ALERT_BASE})
+    with_base = lookup_default(alerts, bounded(base_fares), ["origin_code", "destination_code"], {"base": ALERT_BASE})
     days = days_until("departure_date", as_of, default=30)
     return with_base.withColumn("current_price", F.when(has_route, alert_fare("base", days))).drop("base")
 
