@@ -17,7 +17,11 @@ def market_snapshot(
     keys: Sequence[str] = (*ROUTE, "departure_date", "cabin_class"),
     listing: str | Sequence[str] = "airline_code",
 ) -> DataFrame:
-    """Low, high and current fare per key; the primary airline is the one listed first."""
+    """Low, high and current fare per key; the primary airline is the one listed first.
+
+    A lowest text has no fixed width, so Spark aggregates it by sorting. Callers that only need the
+    fares drop ``airline`` and the plan becomes a hash aggregate.
+    """
     return fares.groupBy(*keys).agg(
         F.min("price").alias("market_low"),
         F.max("price").alias("market_high"),
@@ -41,7 +45,6 @@ def forecast_profile(forecast: DataFrame, keys: str | Sequence[str] = ROUTE, nea
     """
     k = names(keys)
     price = F.col("price")
-    spot = F.struct("day", "price")
     return (
         leading_points(forecast, far, k)
         .groupBy(*k)
@@ -50,8 +53,8 @@ def forecast_profile(forecast: DataFrame, keys: str | Sequence[str] = ROUTE, nea
             F.stddev_pop("price").alias("stdev"),
             (F.max("price") - F.min("price")).alias("spread"),
             F.count(F.lit(1)).alias("points"),
-            F.min(spot).getField("price").alias("first_price"),
-            F.max(spot).getField("price").alias("last_price"),
+            F.min_by("price", "day").alias("first_price"),
+            F.max_by("price", "day").alias("last_price"),
         )
     )
 
@@ -87,10 +90,9 @@ def forecast_risk_stats(
 
 def first_last_change(forecast: DataFrame, keys: str | Sequence[str] = ROUTE) -> DataFrame:
     """Percentage change from the first to the last point; 0 for a single point or a non-positive start."""
-    spot = F.struct("day", "price")
     ends = forecast.groupBy(*names(keys)).agg(
-        F.min(spot).getField("price").alias("first_price"),
-        F.max(spot).getField("price").alias("last_price"),
+        F.min_by("price", "day").alias("first_price"),
+        F.max_by("price", "day").alias("last_price"),
         F.count(F.lit(1)).alias("points"),
     )
     return ends.withColumn("change_percent", change_percent())

@@ -52,7 +52,7 @@ def demand(days: str, d: str, seats: str) -> str:
     )
 
 
-_MEAN = "CAST(sum(CAST(price AS DECIMAL(12,2))) AS DOUBLE) / count(*)"
+_MEAN = "CAST(sum(CAST(floor(price * 100 + 0.5::DOUBLE) AS BIGINT)) AS DOUBLE) / 100 / count(*)"
 
 _CABIN_OF_PRIORITY = (
     "CASE o_orderpriority WHEN '1-URGENT' THEN 'FIRST' WHEN '2-HIGH' THEN 'BUSINESS' "
@@ -136,7 +136,7 @@ TABLES = {
         SELECT *, {demand('days_until_departure', 'departure_date', 'seats_available')} AS demand_score,
                {season('departure_date')} AS seasonality_factor
         FROM (SELECT origin_code, destination_code, {_MEAN} AS current_price, max(departure_date) AS departure_date,
-                     min(airline_code) AS airline_code, CAST(count(*) % 40 AS INTEGER) AS days_until_departure,
+                     CAST(count(*) % 40 AS INTEGER) AS days_until_departure,
                      CAST(count(*) % 60 AS INTEGER) AS seats_available
               FROM bounded_history GROUP BY 1, 2)""",
     "profile_stats": """

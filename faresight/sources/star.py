@@ -7,7 +7,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import pricing
-from ..operators.aggregates import ROUTE, market_snapshot  # noqa: F401  (re-exported for queries)
+from ..operators.aggregates import ROUTE
 from ..operators.filters import within_price_bounds
 from ..operators.ordered import top_k
 
@@ -39,19 +39,26 @@ def _mapped(c: Column, table: dict[str, str], other: Column) -> Column:
 
 def price_history(spark: SparkSession, sf: str) -> DataFrame:
     line, orders = raw(spark, sf, "lineitem"), raw(spark, sf, "orders")
-    seller, buyer = raw(spark, sf, "supplier"), raw(spark, sf, "customer")
+    # Codes are composed on the dimensions, once per dimension row and not once per fare.
+    seller = raw(spark, sf, "supplier").select("s_suppkey", code("s_nationkey").alias("origin_code"))
+    buyer = raw(spark, sf, "customer").select("c_custkey", code("c_nationkey").alias("destination_code"))
+    part = raw(spark, sf, "part").select(
+        "p_partkey",
+        F.upper("p_brand").alias("airline_code"),
+        _mapped(F.col("p_type"), _CABIN, F.col("p_type")).alias("cabin_class"),
+    )
     joined = (
         line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(seller, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(buyer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(raw(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+        .join(part, F.col("l_partkey") == F.col("p_partkey"))
     )
     left = F.datediff(F.col("l_shipdate").cast("date"), F.col("o_orderdate").cast("date"))
     return joined.select(
-        code("s_nationkey").alias("origin_code"),
-        code("c_nationkey").alias("destination_code"),
-        F.upper("p_brand").alias("airline_code"),
-        _mapped(F.col("p_type"), _CABIN, F.col("p_type")).alias("cabin_class"),
+        "origin_code",
+        "destination_code",
+        "airline_code",
+        "cabin_class",
         F.col("l_extendedprice").alias("price"),
         F.col("l_shipdate").cast("date").alias("departure_date"),
         F.col("o_orderdate").cast("timestamp").alias("recorded_at"),
@@ -192,8 +199,8 @@ def alerts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _mean_price() -> Column:
-    """Mean of cents, exact in both numerator and denominator."""
-    return F.sum(F.col("price").cast("decimal(12,2)")).cast("double") / F.count(F.lit(1))
+    """Mean fare from whole cents: the sum is exact, so it does not depend on the order of rows."""
+    return F.sum(F.floor(F.col("price") * 100 + 0.5)).cast("double") / 100 / F.count(F.lit(1))
 
 
 def forecast(spark: SparkSession, sf: str) -> DataFrame:
@@ -218,7 +225,6 @@ def snapshots(spark: SparkSession, sf: str) -> DataFrame:
         .agg(
             _mean_price().alias("current_price"),
             F.max("departure_date").alias("departure_date"),
-            F.min("airline_code").alias("airline_code"),
             (F.count(F.lit(1)) % 40).cast("int").alias("days_until_departure"),
             (F.count(F.lit(1)) % 60).cast("int").alias("seats_available"),
         )
