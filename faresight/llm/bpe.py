@@ -20,12 +20,13 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from .common import prefix_hash, ragged, random_words, range_hash
 
 #: Code points that one step works on, words that a task remembers, and bytes of the longest word that is proposed for.
 STEP = 1 << 19
-MEMORY = 1 << 21
+MEMORY = 1 << 20
 SLOTS = 1 << 21
 LONGEST = 64
 
@@ -486,3 +487,22 @@ def decode(ids: Column, path: str) -> Column:
 def encoded(docs: DataFrame, path: str, text: str = "text", name: str = "ids") -> DataFrame:
     """``docs`` with the ids of its text, replacing a column of that name."""
     return docs.withColumn(name, encode(F.col(text), path))
+
+
+def round_trip(docs: DataFrame, path: str, text: str = "text", rows: int = 1000) -> DataFrame:
+    """``docs`` with its text replaced by ``ids`` and ``decoded``, both made by one worker from ``rows`` texts at a time."""
+    kept = [c for c in docs.columns if c not in (text, "ids", "decoded")]
+
+    def both(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, v = _words(path), vocabulary(path)
+        for batch in batches:
+            for at in range(0, len(batch), rows):
+                part = batch.iloc[at : at + rows]
+                ids, counts = words.texts([t if isinstance(t, str) else "" for t in part["__text"]])
+                ends = np.cumsum(counts)
+                texts = [v.decode(ids[e - n : e].astype(np.int64)).decode("utf-8", "replace") for e, n in zip(ends.tolist(), counts.tolist())]
+                yield part[kept].assign(ids=pd.Series(_split(ids, counts), dtype=object, index=part.index), decoded=pd.Series(texts, dtype=object, index=part.index))
+
+    chosen = docs.select(*kept, F.col(text).alias("__text"))
+    fields = StructType([*[docs.schema[c] for c in kept], StructField("ids", BinaryType()), StructField("decoded", StringType())])
+    return chosen.mapInPandas(both, fields)

@@ -169,9 +169,7 @@ def source_mix(spark, sf):
 
 @query("op9_bpe")
 def bpe_round_trip(spark, sf):
-    path = tokenizer_path()
-    ids = bpe.encoded(table(spark, sf, "documents").select("doc_id", "text"), path)
-    out = ids.withColumn("decoded", bpe.decode(F.col("ids"), path))
+    out = bpe.round_trip(table(spark, sf, "documents").select("doc_id", "text"), tokenizer_path())
     return out.select(
         "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
     )
