@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import work_dir
@@ -149,6 +150,43 @@ def shingles(words: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndar
     return mix(out), sizes
 
 
+#: Bits of the filter that ``trimmed`` broadcasts, whatever the input: 1 MB.
+FILTER_BITS = 1 << 23
+
+
+def trimmed(df: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` without most rows whose keys ``wanted`` lacks, so that a join that follows shuffles less.
+
+    A Bloom filter of fixed size: it may let rows through, never loses one, and the join still decides. With very many
+    keys it lets everything through.
+    """
+
+    def places(h: np.ndarray) -> np.ndarray:
+        x = h.view(np.uint64)
+        return np.stack((x, x >> np.uint64(32))) & np.uint64(FILTER_BITS - 1)
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros(FILTER_BITS, bool)
+        for b in batches:
+            seen[places(b["h"].to_numpy()).ravel()] = True
+        packed = np.packbits(seen, bitorder="little").view(np.int64)
+        at = np.flatnonzero(packed)
+        yield pd.DataFrame({"at": at, "bits": packed[at]})
+
+    hashed = wanted.select(F.xxhash64(*keys).alias("h"))
+    rows = hashed.mapInPandas(words, "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[rows["at"].to_numpy()] = rows["bits"].to_numpy()
+    shared = df.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+
+    @F.pandas_udf("boolean")
+    def maybe(h: pd.Series) -> pd.Series:
+        at = places(h.to_numpy())
+        return pd.Series((shared.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).all(axis=0))
+
+    return df.filter(maybe(F.xxhash64(*keys)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the links (a, b); the component is its smallest node.
 

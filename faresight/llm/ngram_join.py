@@ -27,11 +27,13 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import components, mix, random_words, shingles, shuffle_partitions, stored, word_hashes
+from .common import components, mix, random_words, shingles, shuffle_partitions, stored, trimmed, word_hashes
 
 PERCENT = 75
 WIDTH = 5
 BITS = 18
+#: Documents of one slice of the index, which numbers them with 16 bits.
+ROWS = 1 << 13
 
 _CLASS = random_words(2, 7)
 
@@ -97,41 +99,50 @@ def _class_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def _index(docs: DataFrame, text: str, key: str, width: int, choose: Chooser, buckets: int) -> DataFrame:
-    """Two kinds of rows, written by one scan: a node for each document, and packed (shingle, node) entries by bucket."""
+def _index(docs: DataFrame, text: str, key: str, width: int, percent: int, choose: Chooser, buckets: int) -> DataFrame:
+    """Two kinds of rows, written by one scan: a node for each document, and packed (shingle, node) entries by bucket.
+
+    A node shows the top 16 bits of its prefixes under order B (``low``) and order C (``high``).
+    """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         base = TaskContext.get().partitionId() << 33
-        for b in batches:
-            sets = shingle_sets(b["text"].tolist(), width)
-            one, two = _class_of(sets)
-            n = len(sets)
-            yield pd.DataFrame({
-                "node": base + np.arange(n, dtype=np.int64), "key": b["key"].astype("Int64"), "n": np.array([len(s) for s in sets], np.int64),
-                "one": one.view(np.int64), "two": two.view(np.int64), "bucket": pd.array([None] * n, "Int32"),
-                "shingles": pd.Series([None] * n, dtype=object), "owners": pd.Series([None] * n, dtype=object),
-            })
-            # Copies inside a batch enter the index once.
-            _, first = np.unique(np.stack((one, two)), axis=1, return_index=True)
-            kept = [i for i in first.tolist() if len(sets[i])]
-            chosen = [choose(sets[i]) for i in kept]
-            if chosen:
-                tokens = np.concatenate(chosen)
-                owners = np.repeat(np.array(kept, np.uint32), [len(c) for c in chosen])
-                at = tokens % np.uint64(buckets)
-                order = np.argsort(at, kind="stable")
-                tokens, owners, at = (tokens >> np.uint64(32)).astype(np.uint32)[order], owners[order], at[order]
-                cuts = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]))
-                m = len(cuts) - 1
+        for batch in batches:
+            for begin in range(0, len(batch), ROWS):
+                b = batch.iloc[begin : begin + ROWS]
+                sets = shingle_sets(b["text"].tolist(), width)
+                one, two = _class_of(sets)
+                n = len(sets)
+                short = [(s >> np.uint64(48)).astype(np.uint16) for s in sets]
+                p = [prefix_length(len(s), percent) if len(s) else 0 for s in short]
                 yield pd.DataFrame({
-                    "node": np.full(m, base, np.int64), "key": pd.array([None] * m, "Int64"), "n": np.zeros(m, np.int64),
-                    "one": np.zeros(m, np.int64), "two": np.zeros(m, np.int64), "bucket": pd.array(at[cuts[:-1]].astype(np.int32), "Int32"),
-                    "shingles": pd.Series([tokens[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])], dtype=object),
-                    "owners": pd.Series([owners[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])], dtype=object),
+                    "node": base + np.arange(n, dtype=np.int64), "key": b["key"].astype("Int64").array, "n": np.array([len(s) for s in sets], np.int64),
+                    "one": one.view(np.int64), "two": two.view(np.int64), "low": pd.Series([s[:k].tobytes() for s, k in zip(short, p)], dtype=object),
+                    "high": pd.Series([s[len(s) - k :].tobytes() for s, k in zip(short, p)], dtype=object), "bucket": pd.array([None] * n, "Int32"),
+                    "shingles": pd.Series([None] * n, dtype=object), "owners": pd.Series([None] * n, dtype=object),
                 })
-            base += n
-
-    schema = "node bigint, key bigint, n bigint, one bigint, two bigint, bucket int, shingles binary, owners binary"
+                # Copies inside a slice enter the index once.
+                _, first = np.unique(np.stack((one, two)), axis=1, return_index=True)
+                kept = [i for i in first.tolist() if len(sets[i])]
+                chosen = [choose(sets[i]) for i in kept]
+                if chosen:
+                    tokens = np.concatenate(chosen)
+                    owners = np.repeat(np.array(kept, np.uint16), [len(c) for c in chosen])
+                    at = tokens % np.uint64(buckets)
+                    order = np.argsort(at, kind="stable")
+                    tokens, owners, at = (tokens >> np.uint64(32)).astype(np.uint32)[order], owners[order], at[order]
+                    cuts = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]))
+                    m = len(cuts) - 1
+                    none, zero = pd.Series([None] * m, dtype=object), np.zeros(m, np.int64)
+                    yield pd.DataFrame({
+                        "node": np.full(m, base, np.int64), "key": pd.array([None] * m, "Int64"), "n": zero, "one": zero, "two": zero, "low": none, "high": none,
+                        "bucket": pd.array(at[cuts[:-1]].astype(np.int32), "Int32"),
+                        "shingles": pd.Series([tokens[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])], dtype=object),
+                        "owners": pd.Series([owners[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])], dtype=object),
+                    })
+                base += n
+
+    schema = "node bigint, key bigint, n bigint, one bigint, two bigint, low binary, high binary, bucket int, shingles binary, owners binary"
     return docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).mapInPandas(rows, schema)
 
 
@@ -140,7 +151,7 @@ def _runs(index: DataFrame) -> DataFrame:
 
     def runs(group: pd.DataFrame) -> pd.DataFrame:
         tokens = np.concatenate([np.frombuffer(x, np.uint32) for x in group["shingles"]])
-        nodes = np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64) + b for x, b in zip(group["owners"], group["node"])])
+        nodes = np.concatenate([np.frombuffer(x, np.uint16).astype(np.int64) + b for x, b in zip(group["owners"], group["node"])])
         order = np.lexsort((nodes, tokens))
         tokens, nodes = tokens[order], nodes[order]
         cut = np.concatenate(([0], np.flatnonzero(tokens[1:] != tokens[:-1]) + 1, [len(tokens)]))
@@ -156,66 +167,72 @@ def _runs(index: DataFrame) -> DataFrame:
     return packed.groupBy("bucket").applyInPandas(runs, "run bigint, node bigint").distinct()
 
 
-def _overlap_room(n: np.ndarray, low: list[np.ndarray], high: list[np.ndarray], percent: int) -> bool:
-    """Whether two sets, of which the least and largest shingles are shown, may link."""
-    common, hidden = 0, [int(n[0]), int(n[1])]
-    v = min(low[0][-1], low[1][-1])
-    shared = len(np.intersect1d(low[0], low[1], assume_unique=False))
-    u = max(high[0][0], high[1][0])
-    above = len(np.intersect1d(high[0], high[1], assume_unique=False))
-    if not shared or not above:
+def _overlap_room(n: list[int], low: list[np.ndarray], high: list[np.ndarray], percent: int) -> bool:
+    """Whether two sets, of which the least and the largest shingles are shown, may link.
+
+    Shown values are shortened, which can only make more of them equal. Shingles strictly below the lower of the two
+    ends of ``low``, and strictly above the higher of the two ends of ``high``, are all shown; the others may all be shared.
+    """
+    below, above = len(np.intersect1d(low[0], low[1])), len(np.intersect1d(high[0], high[1]))
+    if not below or not above:
         return False
-    common = shared + above
-    for i in (0, 1):
-        hidden[i] -= int((low[i] < v).sum()) + int((high[i] > u).sum())
-    most = min(common + max(0, min(hidden)), int(min(n)))
-    return 100 * most >= percent * (int(n[0]) + int(n[1]) - most)
+    # Equal shortened values inside one set count once in an intersection, so the repeats are added.
+    spare = min(len(low[0]) - len(np.unique(low[0])), len(low[1]) - len(np.unique(low[1]))) + min(len(high[0]) - len(np.unique(high[0])), len(high[1]) - len(np.unique(high[1])))
+    v, u = min(low[0][-1], low[1][-1]), max(high[0][0], high[1][0])
+    hidden = [n[i] - int((low[i] < v).sum()) - int((high[i] > u).sum()) for i in (0, 1)]
+    most = min(below + above + spare + max(0, min(hidden)), *n)
+    return 100 * most >= percent * (n[0] + n[1] - most)
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that link: short prefixes under orders B and C first, whole sets for those that pass."""
-    side = lambda c, *cols: sets.select(F.col("node").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in cols])
+def _sieve(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose prefixes under orders B and C leave room for a link."""
+    side = lambda c: nodes.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "low", "high")])
 
-    def sieve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pass_(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read = lambda x: np.frombuffer(x, np.uint16)
         for b in batches:
             keep = [
-                _overlap_room(np.array([x, y]), [np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)], [np.frombuffer(r, np.uint32), np.frombuffer(s, np.uint32)], percent)
-                for x, y, p, q, r, s in zip(b["a_n"], b["b_n"], b["a_low"], b["b_low"], b["a_high"], b["b_high"])
+                _overlap_room([x, y], [read(p), read(q)], [read(r), read(s)], percent)
+                for x, y, p, q, r, s in zip(b["n_a"].tolist(), b["n_b"].tolist(), b["low_a"], b["low_b"], b["high_a"], b["high_b"])
             ]
             yield b.loc[np.array(keep, bool), ["a", "b"]]
 
+    near = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    return near.mapInPandas(pass_, "a bigint, b bigint")
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, text: str, key: str, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose whole sets link."""
+    wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    wanted = stored(wanted.join(classes, "class").select(F.col("class").alias("node"), F.col("shown").alias("key"), "one", "two"), "wanted")
+    sets = stored(_sets(docs, text, key, wanted, width), "sets")
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("tokens").alias(f"tokens_{c}"))
+
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             keep = []
-            for p, q in zip(b["a_tokens"], b["b_tokens"]):
+            for p, q in zip(b["tokens_a"], b["tokens_b"]):
                 both = len(np.intersect1d(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), assume_unique=True))
                 keep.append(100 * both >= percent * ((len(p) + len(q)) // 8 - both))
             yield b.loc[np.array(keep, bool), ["a", "b"]]
 
-    near = pairs.join(side("a", "n", "low", "high"), "a").join(side("b", "n", "low", "high"), "b").filter(f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)")
-    left = stored(near.mapInPandas(sieve, "a bigint, b bigint"), "pairs")
-    return left.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b").mapInPandas(exact, "a bigint, b bigint")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(exact, "a bigint, b bigint").distinct()
 
 
-def _sets(docs: DataFrame, text: str, key: str, wanted: DataFrame, width: int, percent: int) -> DataFrame:
-    """Sets of the wanted classes (node, key, one, two), each from the document that stands for it."""
+def _sets(docs: DataFrame, text: str, key: str, wanted: DataFrame, width: int) -> DataFrame:
+    """(node, tokens) of the wanted classes, each from the document that stands for it; a repeated row gives a repeated set."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sets = shingle_sets(b["text"].tolist(), width)
             one, two = _class_of(sets)
             right = np.flatnonzero((one.view(np.int64) == b["one"].to_numpy()) & (two.view(np.int64) == b["two"].to_numpy()))
-            short = [(sets[i] >> np.uint64(32)).astype(np.uint32) for i in right]
-            p = [prefix_length(len(s), percent) for s in short]
-            yield pd.DataFrame({
-                "node": b["node"].to_numpy()[right], "n": np.array([len(s) for s in short], np.int64),
-                "low": pd.Series([s[:k].tobytes() for s, k in zip(short, p)], dtype=object), "high": pd.Series([s[-k:].tobytes() for s, k in zip(short, p)], dtype=object),
-                "tokens": pd.Series([sets[i].tobytes() for i in right], dtype=object),
-            })
+            yield pd.DataFrame({"node": b["node"].to_numpy()[right], "tokens": pd.Series([sets[i].tobytes() for i in right], dtype=object)})
 
     texts = docs.select(F.col(key).cast("bigint").alias("__key"), F.col(text).alias("text"))
+    texts = trimmed(texts, wanted.withColumnRenamed("key", "__key"), ["__key"])
     found = texts.join(wanted, F.col("__key").eqNullSafe(F.col("key"))).select("text", "node", "one", "two")
-    return found.mapInPandas(rows, "node bigint, n bigint, low binary, high binary, tokens binary").dropDuplicates(["node"])
+    return found.mapInPandas(rows, "node bigint, tokens binary")
 
 
 def similar_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT, width: int = WIDTH, choose: Chooser | None = None) -> DataFrame:
@@ -225,7 +242,7 @@ def similar_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     """
     spark = docs.sparkSession
     choose = choose or _by_frequency(docs, text, width, percent)
-    index = stored(_index(docs, text, key, width, choose, max(64, 4 * shuffle_partitions(spark))), "index")
+    index = stored(_index(docs, text, key, width, percent, choose, max(64, 4 * shuffle_partitions(spark))), "index")
     nodes = index.filter("bucket is null").select("node", "key", "n", "one", "two")
     # Documents with equal sets are one class, named by its first node; an empty set is a class of its own.
     empty = F.when(F.col("n") == 0, F.col("node")).otherwise(F.lit(0))
@@ -236,13 +253,15 @@ def similar_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     member = stored(nodes.join(classes.select("class", *by), by).select("node", "key", "n", "class"), "members")
 
     runs = stored(_runs(index).join(member.select("node", "class"), "node").select("run", F.col("class").alias("node")).distinct(), "runs")
-    wanted = runs.select(F.col("node").alias("class")).distinct().join(classes, "class").select(F.col("class").alias("node"), F.col("shown").alias("key"), "one", "two")
-    sets = stored(_sets(docs, text, key, wanted, width, percent), "sets")
+    shown = index.filter("bucket is null").select("node", "n", "low", "high")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return stored(_verify(stored(_sieve(pairs, shown, percent), "near"), docs, classes, text, key, width, percent), "links")
 
     first = runs.groupBy("run").agg(F.min("node").alias("a"))
     stars = runs.join(first, "run").filter("a <> node").select("a", F.col("node").alias("b")).distinct()
     stars = stored(stars, "stars")
-    links = stored(_verify(stars, sets, percent), "links")
+    links = linked(stars)
     label = components(links)
     # Members of a run that are still apart meet each other; those already together need not.
     named = runs.join(label, "node", "left").select("run", "node", F.coalesce("component", "node").alias("component"))
@@ -251,8 +270,7 @@ def similar_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     other = open_.select("run", F.col("node").alias("b"), F.col("component").alias("other"))
     rest = open_.withColumnRenamed("node", "a").join(other, "run").filter("a < b and component <> other").select("a", "b").distinct()
     rest = stored(rest.join(stars, ["a", "b"], "left_anti"), "rest")
-    more = stored(_verify(rest, sets, percent), "more")
-    label = components(links.unionByName(more))
+    label = components(links.unionByName(linked(rest)))
 
     grouped = member.join(label.withColumnRenamed("node", "class"), "class", "left").select("key", "n", F.coalesce("component", "class").alias("component"))
     least = grouped.groupBy("component").agg(F.min("key").alias("component_id"))
