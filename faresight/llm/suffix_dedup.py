@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import STEP, mix, prefix_hash, random_words, range_hash, stored
+from .common import STEP, mix, prefix_hash, random_words, range_hash, stored, trimmed
 
 SIZE = 400
 GRAM = 32
@@ -100,7 +100,7 @@ def _refined(docs: DataFrame, open_: DataFrame, size: int, run: int) -> DataFram
     """The next level: intervals of at most ``run`` starts, aligned to their anchor, of the open intervals."""
     lists = open_.groupBy("key", "print").agg(F.collect_list(F.struct("lo", "hi", "at", "weight")).alias("all"))
     lists = lists.select(F.col("key").alias("k"), F.col("print").alias("p"), *[F.col(f"all.{c}").alias(c) for c in ("lo", "hi", "at", "weight")])
-    texts = docs.join(lists, F.col("key").eqNullSafe(F.col("k")) & (F.col("print") == F.col("p"))).drop("k", "p")
+    texts = trimmed(docs, open_, ["key", "print"]).join(lists, F.col("key").eqNullSafe(F.col("k")) & (F.col("print") == F.col("p"))).drop("k", "p")
 
     def cut(lo: np.ndarray, hi: np.ndarray, at: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
         """Runs (first start, last start, anchor, weight, number of the run counted from the anchor)."""
