@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mix, random_words, shingles, shuffle_partitions, word_hashes
+from .common import mix, random_words, shingles, shuffle_partitions, slices, word_hashes
 from .ngram_join import similar_classes
 
 PERMUTATIONS = 64
@@ -108,7 +108,7 @@ def edit_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text", perm
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last: tuple | None = None
-        for batch in batches:
+        for batch in slices(batches):
             parts, ahead, keys, texts = batch["part"].to_numpy(), batch["ahead"].to_numpy(), batch["key"].tolist(), batch["text"].tolist()
             own = signatures(texts, permutations)
             if last is not None:

@@ -27,13 +27,13 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import components, mix, random_words, shingles, shuffle_partitions, stored, trimmed, word_hashes
+from .common import components, mix, random_words, shingles, shuffle_partitions, slices, stored, trimmed, word_hashes
 
 PERCENT = 75
 WIDTH = 5
 BITS = 18
 #: Documents of one slice of the index, which numbers them with 16 bits.
-ROWS = 1 << 13
+ROWS = 1 << 11
 
 _CLASS = random_words(2, 7)
 
@@ -60,7 +60,7 @@ def _counters(docs: DataFrame, text: str, width: int) -> np.ndarray:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros(1 << BITS, np.int64)
-        for b in batches:
+        for b in slices(batches, ROWS):
             x, _ = shingles(*word_hashes(b["text"].tolist()), width)
             seen += np.bincount((x >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
         at = np.flatnonzero(seen)
@@ -107,40 +107,38 @@ def _index(docs: DataFrame, text: str, key: str, width: int, percent: int, choos
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         base = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            for begin in range(0, len(batch), ROWS):
-                b = batch.iloc[begin : begin + ROWS]
-                sets = shingle_sets(b["text"].tolist(), width)
-                one, two = _class_of(sets)
-                n = len(sets)
-                short = [(s >> np.uint64(48)).astype(np.uint16) for s in sets]
-                p = [prefix_length(len(s), percent) if len(s) else 0 for s in short]
+        for b in slices(batches, ROWS):
+            sets = shingle_sets(b["text"].tolist(), width)
+            one, two = _class_of(sets)
+            n = len(sets)
+            short = [(s >> np.uint64(48)).astype(np.uint16) for s in sets]
+            p = [prefix_length(len(s), percent) if len(s) else 0 for s in short]
+            yield pd.DataFrame({
+                "node": base + np.arange(n, dtype=np.int64), "key": b["key"].astype("Int64").array, "n": np.array([len(s) for s in sets], np.int64),
+                "one": one.view(np.int64), "two": two.view(np.int64), "low": pd.Series([s[:k].tobytes() for s, k in zip(short, p)], dtype=object),
+                "high": pd.Series([s[len(s) - k :].tobytes() for s, k in zip(short, p)], dtype=object), "bucket": pd.array([None] * n, "Int32"),
+                "shingles": pd.Series([None] * n, dtype=object), "owners": pd.Series([None] * n, dtype=object),
+            })
+            # Copies inside a slice enter the index once.
+            _, first = np.unique(np.stack((one, two)), axis=1, return_index=True)
+            kept = [i for i in first.tolist() if len(sets[i])]
+            chosen = [choose(sets[i]) for i in kept]
+            if chosen:
+                tokens = np.concatenate(chosen)
+                owners = np.repeat(np.array(kept, np.uint16), [len(c) for c in chosen])
+                at = tokens % np.uint64(buckets)
+                order = np.argsort(at, kind="stable")
+                tokens, owners, at = (tokens >> np.uint64(32)).astype(np.uint32)[order], owners[order], at[order]
+                cuts = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]))
+                m = len(cuts) - 1
+                none, zero = pd.Series([None] * m, dtype=object), np.zeros(m, np.int64)
                 yield pd.DataFrame({
-                    "node": base + np.arange(n, dtype=np.int64), "key": b["key"].astype("Int64").array, "n": np.array([len(s) for s in sets], np.int64),
-                    "one": one.view(np.int64), "two": two.view(np.int64), "low": pd.Series([s[:k].tobytes() for s, k in zip(short, p)], dtype=object),
-                    "high": pd.Series([s[len(s) - k :].tobytes() for s, k in zip(short, p)], dtype=object), "bucket": pd.array([None] * n, "Int32"),
-                    "shingles": pd.Series([None] * n, dtype=object), "owners": pd.Series([None] * n, dtype=object),
+                    "node": np.full(m, base, np.int64), "key": pd.array([None] * m, "Int64"), "n": zero, "one": zero, "two": zero, "low": none, "high": none,
+                    "bucket": pd.array(at[cuts[:-1]].astype(np.int32), "Int32"),
+                    "shingles": pd.Series([tokens[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])], dtype=object),
+                    "owners": pd.Series([owners[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])], dtype=object),
                 })
-                # Copies inside a slice enter the index once.
-                _, first = np.unique(np.stack((one, two)), axis=1, return_index=True)
-                kept = [i for i in first.tolist() if len(sets[i])]
-                chosen = [choose(sets[i]) for i in kept]
-                if chosen:
-                    tokens = np.concatenate(chosen)
-                    owners = np.repeat(np.array(kept, np.uint16), [len(c) for c in chosen])
-                    at = tokens % np.uint64(buckets)
-                    order = np.argsort(at, kind="stable")
-                    tokens, owners, at = (tokens >> np.uint64(32)).astype(np.uint32)[order], owners[order], at[order]
-                    cuts = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]))
-                    m = len(cuts) - 1
-                    none, zero = pd.Series([None] * m, dtype=object), np.zeros(m, np.int64)
-                    yield pd.DataFrame({
-                        "node": np.full(m, base, np.int64), "key": pd.array([None] * m, "Int64"), "n": zero, "one": zero, "two": zero, "low": none, "high": none,
-                        "bucket": pd.array(at[cuts[:-1]].astype(np.int32), "Int32"),
-                        "shingles": pd.Series([tokens[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])], dtype=object),
-                        "owners": pd.Series([owners[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])], dtype=object),
-                    })
-                base += n
+            base += n
 
     schema = "node bigint, key bigint, n bigint, one bigint, two bigint, low binary, high binary, bucket int, shingles binary, owners binary"
     return docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).mapInPandas(rows, schema)
@@ -223,7 +221,7 @@ def _sets(docs: DataFrame, text: str, key: str, wanted: DataFrame, width: int) -
     """(node, tokens) of the wanted classes, each from the document that stands for it; a repeated row gives a repeated set."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in slices(batches, ROWS):
             sets = shingle_sets(b["text"].tolist(), width)
             one, two = _class_of(sets)
             right = np.flatnonzero((one.view(np.int64) == b["one"].to_numpy()) & (two.view(np.int64) == b["two"].to_numpy()))

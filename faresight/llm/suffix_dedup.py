@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import STEP, mix, prefix_hash, random_words, range_hash, stored, trimmed
+from .common import STEP, mix, prefix_hash, random_words, range_hash, slices, stored, trimmed
 
 SIZE = 400
 GRAM = 32
@@ -69,7 +69,7 @@ def _anchored(docs: DataFrame, size: int) -> DataFrame:
     """Level 0: an interval of starts [lo, hi] for every anchor ``at`` of every document (key, print, text)."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in slices(batches):
             key, print_ = b["key"].astype("Int64").array, b["print"].to_numpy()
             texts = [t.encode("utf-8", "surrogatepass") for t in b["text"]]
             for data, parts in _pieces(texts, size):
@@ -111,7 +111,7 @@ def _refined(docs: DataFrame, open_: DataFrame, size: int, run: int) -> DataFram
         return np.maximum(lo, at - run * k - run + 1), np.minimum(hi, at - run * k), at, weight, k
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in slices(batches):
             keys = b["key"].astype("Int64").array
             out: list[tuple[np.ndarray, ...]] = []
             for number, (text, *cols) in enumerate(zip(b["text"], b["lo"], b["hi"], b["at"], b["weight"])):
@@ -194,7 +194,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", siz
     joined = _texts(docs, text, key).join(lists, F.col("key").eqNullSafe(F.col("k")) & (F.col("print") == F.col("p")), "left").select("key", "text", "lo", "hi")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in slices(batches):
             starts, ends, kept, sizes = [], [], [], []
             for t, lo, hi in zip(b["text"], b["lo"], b["hi"]):
                 data = t.encode("utf-8", "surrogatepass")
