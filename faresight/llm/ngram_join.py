@@ -5,7 +5,7 @@ text is one shingle, a text without words has an empty set and links with nothin
 100 * |intersection| >= percent * |union|.
 
 1. *Order A* is by corpus frequency, rarest first, from a table of ``1 << BITS`` counters over all shingles, a fixed
-   size; any order is valid, so shared counters cost candidates and never results. The prefix of a set of n is its
+   size (16 MB); any order is valid, so shared counters cost candidates and never results. The prefix of a set of n is its
    first n - ceil(percent n / 100) + 1 shingles: sets that link share one of it.
 2. Prefix shingles are packed by bucket, and a bucket's task turns them into runs: the documents that share one.
    In every run, members are compared with its first document only; links join components.
@@ -31,7 +31,10 @@ from .common import components, mix, random_words, shingles, shuffle_partitions,
 
 PERCENT = 75
 WIDTH = 5
-BITS = 18
+BITS = 21
+#: Counters of one row on their way to the driver, and rows that each first sum is spread over.
+CHUNK = 1 << 14
+FAN = 64
 #: Documents of one slice of the index, which numbers them with 16 bits.
 ROWS = 1 << 11
 
@@ -63,12 +66,24 @@ def _counters(docs: DataFrame, text: str, width: int) -> np.ndarray:
         for b in slices(batches, ROWS):
             x, _ = shingles(*word_hashes(b["text"].tolist()), width)
             seen += np.bincount((x >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
-        at = np.flatnonzero(seen)
-        yield pd.DataFrame({"at": at.astype(np.int32), "n": seen[at]})
-
-    rows = docs.select(F.col(text).alias("text")).mapInPandas(count, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << BITS, np.int64)
-    out[rows["at"].to_numpy()] = rows["n"].to_numpy()
+        parts = seen.reshape(-1, CHUNK)
+        task = TaskContext.get().partitionId()
+        for at in range(len(parts)):
+            yield pd.DataFrame({"chunk": [at], "some": [task % FAN], "counts": [parts[at].tobytes()]})
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(CHUNK, np.int64)
+        for x in group["counts"]:
+            total += np.frombuffer(x, np.int64)
+        return pd.DataFrame({"chunk": [group["chunk"].iloc[0]], "some": [0], "counts": [total.tobytes()]})
+
+    rows, schema = docs.select(F.col(text).alias("text")).mapInPandas(count, "chunk int, some int, counts binary"), "chunk int, some int, counts binary"
+    # Sums in two steps, so that no task reads a chunk of every other task.
+    for by in (["chunk", "some"], ["chunk"]):
+        rows = rows.groupBy(*by).applyInPandas(add, schema)
+    out = np.zeros((1 << BITS) // CHUNK * CHUNK, np.int64)
+    for r in rows.toLocalIterator():
+        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.int64)
     # Ranks in place of counts: 4 bytes a counter, and equal counts stay together.
     return np.unique(out, return_inverse=True)[1].astype(np.uint32)
 
