@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from faresight.llm import bpe, mixing, ngram_join, secret_scan, toxicity
 from faresight.llm.common import stored
-from faresight.llm.queries import import_on_executors, tokenizer_path
+from faresight.llm.queries import prepare, tokenizer_path
 
 
 def _with_length(docs: DataFrame) -> DataFrame:
@@ -21,13 +21,13 @@ def _with_length(docs: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the pattern grammar, learned from ``labels``, does not reject."""
-    import_on_executors(spark)
+    prepare(spark)
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group linked by a shingle Jaccard similarity of 0.75 or more."""
-    import_on_executors(spark)
+    prepare(spark)
     return ngram_join.keep_first(docs)
 
 
@@ -43,7 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, number of tokens, ids as little-endian unsigned 32-bit integers, and their hash."""
-    import_on_executors(spark)
+    prepare(spark)
     ids = bpe.encoded(docs.select("doc_id", "source", "text"), tokenizer_path())
     return ids.select("doc_id", "source", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"))
 

@@ -27,8 +27,19 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def import_on_executors(spark: SparkSession) -> None:
-    """Python workers of a local session start without the driver's module path; a cluster installs the package."""
+#: Rows of an Arrow batch while these queries run. Documents are wide, and Spark's default of 10,000 rows takes executor
+#: memory that neither side of the exchange needs. A session that has chosen its own number keeps it.
+BATCH_ROWS = 2000
+
+
+def prepare(spark: SparkSession) -> None:
+    """What the queries need of a session: small Arrow batches, and the package on the path of local Python workers.
+
+    A cluster installs the package, so the path matters only where driver and executors share this folder.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
@@ -38,7 +49,7 @@ def import_on_executors(spark: SparkSession) -> None:
 def query(name: str, oracle: str | None = None):
     def register(fn: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, sf: str) -> DataFrame:
-            import_on_executors(spark)
+            prepare(spark)
             return fn(spark, sf)
 
         QUERIES[name] = run
