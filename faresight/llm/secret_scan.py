@@ -130,14 +130,17 @@ def span_text(spans: Column) -> Column:
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", reach: int = REACH) -> DataFrame:
     """``docs`` with every reported span, overlapping ones merged, replaced by ``mark``; other texts stay as they are."""
-    found = scan_secrets(docs, text, reach)
+    # Columns go by position here, so that one of the input named spans is kept.
+    names = [f"__c{i}" for i in range(len(docs.columns))]
+    body = names[docs.columns.index(text)]
+    found = scan_secrets(docs.toDF(*names), body, reach)
     empty = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
 
     def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
+        gap = F.substring(F.col(body), (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
         out = F.concat(acc["out"], gap, F.when((s["start"] >= acc["at"]), F.lit(mark)).otherwise(F.lit("")))
         return F.struct(out.alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.length(F.col(text))))
-    clean = F.when(F.size("spans") > 0, F.aggregate("spans", empty, step, rest)).otherwise(F.col(text))
-    return found.select(*[clean.alias(c) if c == text else F.col(c) for c in docs.columns if c != "spans" or c == text])
+    rest = lambda acc: F.concat(acc["out"], F.substring(F.col(body), (acc["at"] + 1).cast("int"), F.length(F.col(body))))
+    clean = F.when(F.size("spans") > 0, F.aggregate("spans", empty, step, rest)).otherwise(F.col(body))
+    return found.select(*[(clean if n == body else F.col(n)).alias(c) for n, c in zip(names, docs.columns)])
