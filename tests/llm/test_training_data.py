@@ -312,7 +312,7 @@ def test_embeddings_by_hand(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
         (1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.3], 1), (4, [1.0, 0.0], 2), (5, [1.0, 0.0], None), (6, None, 1), (7, [0.0, 0.0], 1), (8, [nan, 1.0], 1),
-        (9, [inf, 1.0], 1), (10, [1.0, None], 1), (11, [1.0, 0.0, 0.0], 1), (12, [1.0, 0.0], 1), (13, [-1.0, 0.0], 1), (14, [], 1), (15, [0.75, 0.65], 1),
+        (9, [inf, 1.0], 1), (10, [1.0, None], 1), (11, [1.0, 0.0, 0.0], 1), (12, [1.0, 0.0], 1), (13, [-1.0, 0.0], 1), (14, [], 1), (15, [0.8, 0.6], 1),
     ]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("node", F.lit(3))
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in grid_join.cosine_components(df).collect()}
