@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,6 +12,8 @@ from ..session import work_dir
 
 #: Bytes of text that one vectorised step works on. Longer texts are cut at white space, so memory stays level.
 STEP = 1 << 20
+#: Bytes of text whose words are hashed at once.
+PIECE = 1 << 18
 
 _ODD = 0x9E3779B97F4A7C15
 _BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -61,7 +63,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse modulo 2**64, at least ``n`` of each."""
     have = _powers.get(0)
     if have is None or len(have[0]) < n:
-        size = max(n, 2 * STEP)
+        size = max(n, 2 * (STEP if n > 2 * PIECE else PIECE))
         forth = np.full(size, _BASE, np.uint64)
         back = np.full(size, _INVERSE, np.uint64)
         forth[0] = back[0] = 1
@@ -91,7 +93,7 @@ def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 def byte_steps(data: Sequence[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(joined bytes, text number of each piece's first byte) in steps of about ``STEP`` bytes.
+    """(joined bytes, text number of each piece's first byte) in steps of about ``PIECE`` bytes.
 
     Pieces end in a line feed and long texts are cut after white space, so no word crosses a piece.
     The second array has a row (start, text number) for each piece.
@@ -102,7 +104,7 @@ def byte_steps(data: Sequence[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]
     for number, text in enumerate(data):
         at = 0
         while at < len(text):
-            end = at + STEP
+            end = at + PIECE
             if end < len(text):
                 cut = max(text.rfind(c, at, end) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
                 if cut < at:
@@ -114,7 +116,7 @@ def byte_steps(data: Sequence[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]
             pieces.append(piece)
             size += len(piece) + 1
             at = end
-            if size >= STEP:
+            if size >= PIECE:
                 yield np.frombuffer(b"\n".join(pieces) + b"\n", np.uint8), np.array(owners, np.int64)
                 pieces, owners, size = [], [], 0
     if pieces:
@@ -161,11 +163,10 @@ def shingles(words: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndar
 FILTER_BITS = 1 << 23
 
 
-def trimmed(df: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``df`` without most rows whose keys ``wanted`` lacks, so that a join that follows shuffles less.
+def membership(wanted: DataFrame, keys: Sequence[str]) -> Callable[[np.ndarray], np.ndarray]:
+    """A test for tasks: which of some ``xxhash64`` values may belong to ``keys`` of ``wanted``.
 
-    A Bloom filter of fixed size: it may let rows through, never loses one, and the join still decides. With very many
-    keys it lets everything through.
+    A Bloom filter of fixed size: it may let rows through and never loses one. With very many keys it lets everything through.
     """
 
     def places(h: np.ndarray) -> np.ndarray:
@@ -184,12 +185,22 @@ def trimmed(df: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
     rows = hashed.mapInPandas(words, "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
     bits = np.zeros(FILTER_BITS // 64, np.int64)
     bits[rows["at"].to_numpy()] = rows["bits"].to_numpy()
-    shared = df.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+    shared = wanted.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+
+    def maybe(h: np.ndarray) -> np.ndarray:
+        at = places(h)
+        return (shared.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool).all(axis=0)
+
+    return maybe
+
+
+def trimmed(df: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` without most rows whose keys ``wanted`` lacks, so that a join that follows shuffles less; the join still decides."""
+    test = membership(wanted, keys)
 
     @F.pandas_udf("boolean")
     def maybe(h: pd.Series) -> pd.Series:
-        at = places(h.to_numpy())
-        return pd.Series((shared.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).all(axis=0))
+        return pd.Series(test(h.to_numpy()))
 
     return df.filter(maybe(F.xxhash64(*keys)))
 
