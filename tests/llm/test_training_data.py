@@ -216,7 +216,8 @@ def test_near_copies_equal_brute_force(spark, how):
 
 def test_near_copies_odd(spark, odd):
     kept = [r.doc_id for r in ngram_join.keep_first(odd).collect()]
-    assert sorted(k for k in kept if k is not None) == [1, 2, 3, 4, 5, 7, 8, 10, 11] and None in kept
+    # One word of 120 differs between 7 and 8: 111 of 121 shingles are common.
+    assert sorted(k for k in kept if k is not None) == [1, 2, 3, 4, 5, 7, 10, 11] and None in kept
     assert ngram_join.similar_classes(empty(odd)).count() == 0
 
 
