@@ -422,10 +422,15 @@ def similar_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
 
 
 def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each component: that with the smallest id. Of rows with one id, all stay or none.
+    """``docs`` with one row of each component: the first of those with the smallest id, or of those without id if no row has one.
 
-    Documents without words belong to no component and stay; so do those without id that stand alone.
+    Rows are told apart by a number that is stored with them, so repeated and null ids decide nothing but the order.
+    Documents without words belong to no component and stay.
     """
-    found = similar_classes(docs, text, key, percent)
-    later = found.filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("__later")).distinct()
-    return docs.join(later, F.col(key).cast("bigint") == F.col("__later"), "left_anti")
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = similar_classes(rows, text, "__row", percent).select("__row", "component_id")
+    ids = rows.select("__row", F.col(key).cast("bigint").alias("__id"))
+    order = F.struct(F.col("__id").isNull().alias("no_id"), "__id", "__row")
+    first = found.join(ids, "__row").groupBy("component_id").agg(F.min(order)["__row"].alias("__row"))
+    later = found.join(first, "__row", "left_anti").select("__row")
+    return rows.join(later, "__row", "left_anti").select(*docs.columns)

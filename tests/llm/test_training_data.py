@@ -221,6 +221,19 @@ def test_near_copies_odd(spark, odd):
     assert ngram_join.similar_classes(empty(odd)).count() == 0
 
 
+def test_near_copies_of_repeated_and_null_ids(spark):
+    base = {c: " ".join(f"{c}{i}" for i in range(80)) for c in "abcde"}
+    rows = [
+        (1, base["a"], "x"), (1, base["a"], "y"), (1, base["a"] + " end", "z"), (None, base["b"], "x"), (None, base["b"] + " end", "y"), (None, "stands alone", "x"),
+        (2, base["c"], "x"), (3, base["c"] + " end", "x"), (3, base["d"], "x"), (None, base["e"], "x"), (4, base["e"], "x"), (5, "", "x"), (5, "", "x"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+    kept = ngram_join.keep_first(df)
+    assert kept.columns == df.columns
+    want = [rows[0], rows[3], rows[5], rows[6], rows[8], *rows[10:]]
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, want))
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(1)
     for n, top in ((0, 9), (1, 50257), (511, 50257), (513, 40), (3000, 40)):
