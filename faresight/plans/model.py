@@ -155,6 +155,10 @@ def _vector(df: DataFrame) -> DataFrame:
     return assembler.transform(df)
 
 
+#: The full-size setting of ``train_fare_model``.
+FULL = {"rounds": 900, "depth": 9}
+
+
 def train_fare_model(
     features: DataFrame,
     row_keys: Sequence[str],
@@ -166,7 +170,7 @@ def train_fare_model(
 ) -> FareModel | None:
     """Boosted trees on the training share, measured on the rest; None with too few rows.
 
-    The full-size setting is 900 rounds of depth 9; the defaults are smaller.
+    The full-size setting is ``FULL``; the defaults are smaller.
     """
     spark = features.sparkSession
     if not require_rows(features, min_rows):
@@ -193,6 +197,12 @@ def train_fare_model(
     return FareModel(trees, encoders, row.asDict() if row else {})
 
 
+def held_out_metrics(features: DataFrame, model: FareModel, row_keys: Sequence[str], seed: int = 42) -> DataFrame:
+    """Metrics of ``model`` on the rows that ``train_fare_model`` kept out of training with the same keys and seed."""
+    _, test = split(apply_encoders(features, model.encoders), row_keys, seed=seed)
+    return regression_metrics(model.trees.transform(_vector(test)))
+
+
 def predict_fares(df: DataFrame, model: FareModel, out: str = "predicted") -> DataFrame:
     """Predicted fare per row; very low scores are lifted, rows without a score get the route estimate."""
     days = F.greatest(F.coalesce(F.col("days_until_dep").cast("double"), F.lit(7.0)), F.lit(0.0))

@@ -393,18 +393,16 @@ def train_test_split(spark, sf):
 def train_model(spark, sf):
     """Trains on the whole history, saves and reloads the model, and reports its hold-out metrics."""
     features = _stored_features(spark, sf)
-    fitted = model.train_fare_model(features, _KEYS, rounds=10, depth=5)
+    fitted = model.train_fare_model(features, _KEYS, **model.FULL)
     path = work_dir(spark, "model")
     fitted.save(path)
-    loaded = model.FareModel.load(spark, path)
-    scored = model.predict_fares(features, loaded)
-    return agg.regression_metrics(scored, predicted="predicted")
+    return model.held_out_metrics(features, model.FareModel.load(spark, path), _KEYS)
 
 
 @query("answer_requests", "M7 M8 M10 D10 D14 D15")
 def answer_requests(spark, sf):
     """One prediction answer per active alert's route and date, from a model trained on the whole history."""
-    fitted = model.train_fare_model(_stored_features(spark, sf), _KEYS, rounds=5, depth=5)
+    fitted = model.train_fare_model(_stored_features(spark, sf), _KEYS, **model.FULL)
     asked = star.alerts(spark, sf).filter("is_active").select(
         F.col("id").alias("request_id"), F.col("origin_code").alias("origin"), F.col("destination_code").alias("destination"),
         F.col("departure_date").cast("string").alias("departure_date"),

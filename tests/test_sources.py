@@ -7,7 +7,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from faresight.plans import model
+from faresight.plans import catalog, model
 from faresight.plans.answer import request_snapshots
 from faresight.schemas import ALLOWED, FOREIGN_KEYS, SCHEMAS
 from faresight.session import work_dir
@@ -91,6 +91,22 @@ def test_model_round_trip(spark, sf, tmp_path):
     assert [r["price"] for r in rows] == [r["price"] for r in same]
 
 
+def test_queries_train_in_full_and_measure_held_out_rows(spark, sf, monkeypatch):
+    train, asked, fitted = model.train_fare_model, [], []
+
+    def small(features, keys, rounds, depth):
+        asked.append((rounds, depth))
+        fitted.append(train(features, keys, rounds=3, depth=3))
+        return fitted[-1]
+
+    monkeypatch.setattr(model, "train_fare_model", small)
+    got = catalog.QUERIES["train_model"](spark, sf).first().asDict()
+    want = {k: v for k, v in fitted[0].metrics.items() if k != "estimators"}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
+    assert catalog.QUERIES["answer_requests"](spark, sf).count() > 0
+    assert asked == [(900, 9), (900, 9)]
+
+
 def test_too_few_rows_train_nothing(spark):
     empty = spark.createDataFrame([], "price double")
     assert model.train_fare_model(empty, ["price"]) is None
