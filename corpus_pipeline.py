@@ -37,8 +37,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The copies that the weighted mix takes, in its order."""
-    return _with_length(mixing.mixture(docs))
+    """The copies that the weighted mix takes, in its order, none of them cut; documents without words stay, once."""
+    return _with_length(mixing.mixture(docs, whole=True))
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

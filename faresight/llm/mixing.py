@@ -104,19 +104,21 @@ def _queue(df: DataFrame, kept: list[str], source: str, key: str, weights: Seque
 
 
 def mixture(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", seed: str = "mix", weights: Sequence[float] = WEIGHTS,
-            share: float = SHARE, most: int = MOST, buckets: int = BUCKETS) -> DataFrame:
+            share: float = SHARE, most: int = MOST, buckets: int = BUCKETS, whole: bool = False) -> DataFrame:
     """The mix itself: one row per copy taken, range-sorted by virtual finish time, with the columns of ``docs``.
 
-    A document taken twice is two rows; a copy that is taken in part keeps its leading words.
+    A document taken twice is two rows; a copy that is taken in part keeps its leading words. With ``whole`` that copy
+    stays whole, so a source exceeds its target by less than one document, and documents without words are taken once.
     """
     names = [f"__c{i}" for i in range(len(docs.columns))]
     named = dict(zip(docs.columns, names))
     sized = stored(_shuffled(docs.toDF(*names), named[text], named[key], seed, buckets), "mix")
     mixed = _queue(sized, names, named[source], named[key], weights, share, most)
-    taken = mixed.select("*", F.posexplode("copies").alias("__pass", "__words"))
+    copies = F.when(F.col("size") == 0, F.array(F.lit(0).cast("bigint"))).otherwise(F.col("copies")) if whole else F.col("copies")
+    taken = mixed.select("*", F.posexplode(copies).alias("__pass", "__words"))
     body = F.col(named[text])
     lead = F.array_join(F.slice(F.regexp_extract_all(body, F.lit(_PIECE), F.lit(0)), F.lit(1), F.col("__words").cast("int")), "")
-    shown = F.when(F.col("__words") < F.col("size"), lead).otherwise(body)
-    finish = F.col("finish") + F.col("__pass") * F.col("source_size") / F.col("target")
+    shown = body if whole else F.when(F.col("__words") < F.col("size"), lead).otherwise(body)
+    finish = F.col("finish") + F.col("__pass") * F.col("source_size") / F.nullif(F.col("target"), F.lit(0.0))
     out = taken.select(*[(shown if c == text else F.col(n)).alias(n) for c, n in named.items()], finish.alias("__finish"))
     return out.repartitionByRange("__finish", named[key]).sortWithinPartitions("__finish", named[key]).select(*[F.col(n).alias(c) for c, n in named.items()])

@@ -301,6 +301,16 @@ def test_mix(spark, sf, odd):
     assert mixing.mixture(odd).columns == odd.columns and mixing.mix(empty(odd)).count() == 0
 
 
+def test_mix_of_whole_documents(spark):
+    text = {i: " ".join(f"w{i}n{j}" for j in range(5 + i % 7)) for i in range(90)}
+    rows = [(i, text[i], "abc"[i % 3], len(text[i])) for i in text] + [(200, "", "a", 0), (201, None, "b", 0), (202, " \n", "d", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    plan = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    assert any(0 < n < r["size"] for r in plan.values() for n in r.copies)
+    got = sorted((r.doc_id, r.text or "") for r in corpus_pipeline.mix_sources(spark, docs, "").collect())
+    assert got == sorted((k, t or "") for k, t, *_ in rows for _ in range(max(len(plan[k].copies), plan[k]["size"] == 0)))
+
+
 def test_toxicity(spark, sf):
     sf = sf.replace("sf0.001", "sf0.1")
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
