@@ -234,6 +234,34 @@ def test_near_copies_of_repeated_and_null_ids(spark):
     assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, want))
 
 
+def edited_pairs(n):
+    """Pairs of texts of 200 words whose shingle sets have a Jaccard similarity from 0.75 to 0.85."""
+    rng, out = random.Random(12), []
+    while len(out) < n:
+        one = [f"w{rng.randint(0, 10**6)}" for _ in range(200)]
+        two = one.copy()
+        for at in rng.sample(range(200), rng.choice([4, 5, 5, 5, 6])):
+            two[at] = f"n{rng.randint(0, 10**6)}"
+        a, b = shingle_set(" ".join(one)), shingle_set(" ".join(two))
+        if 0.75 <= len(a & b) / len(a | b) <= 0.85:
+            out.append((" ".join(one), " ".join(two)))
+    return out
+
+
+def test_bands_find_edited_copies():
+    pairs = edited_pairs(3000)
+    one, two = (fingerprint.band_hashes(fingerprint.signatures([p[k] for p in pairs], fingerprint.JOINED), fingerprint.BANDS) for k in (0, 1))
+    assert (one == two).any(axis=1).all()
+    few = [fingerprint.band_hashes(fingerprint.signatures([p[k] for p in pairs], 64), 16) for k in (0, 1)]
+    assert not (few[0] == few[1]).any(axis=1).all()
+
+
+def test_near_duplicates_of_edited_copies(spark):
+    rows = [(2 * i + k, t) for i, pair in enumerate(edited_pairs(40)) for k, t in enumerate(pair)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in fingerprint.near_duplicates(df).collect()} == jaccard_parts(rows)
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(1)
     for n, top in ((0, 9), (1, 50257), (511, 50257), (513, 40), (3000, 40)):
