@@ -9,7 +9,8 @@ strongest clause; the weights of the classes are learned too, so negation or rep
 the labels say so.
 
 Learning uses labelled rows alone, at most ``LABELLED`` of them, chosen by hash. Terms for the fit of the class weights
-are learned on the other half of the rows, so that chance terms are not mistaken for good ones.
+are learned on the other half of the rows, so that chance terms are not mistaken for good ones. Only plain and targeted
+uses decide whether a term is an insult, so one that clean rows negate or report stays in.
 """
 
 from __future__ import annotations
@@ -54,13 +55,19 @@ class Model:
     base: float = 0.0
 
 
-def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
-
-
 def terms_of(text: str) -> set[str]:
-    """Words of a text and their starts."""
-    words = set(words_of(text))
+    """Words of a text and their starts, in uses that are neither negated nor reported."""
+    words = set()
+    for c in _CLAUSE.split(text.lower()):
+        negated = 0
+        for w in _WORD.findall(c):
+            if w in REPORTS:
+                break
+            if w in NEGATIONS:
+                negated = REACH + 1
+            if negated <= 0:
+                words.add(w)
+            negated -= 1
     return words | {w[:n] + "*" for w in words for n in STARTS if len(w) >= n}
 
 

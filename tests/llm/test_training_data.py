@@ -354,6 +354,15 @@ def test_grammar():
     assert g.clause(["kill", "you"])[4] == 1.0 and g.features("All is well.") == [0.0] * 6 and g.features(None) == [0.0] * 6
 
 
+def test_insults_that_clean_texts_negate_or_report(spark):
+    said = ["you are a blorp number {}", "nobody here is not a blorp on day {}", "she said blorp on day {}", "a quiet day with number {}"]
+    rows = [(i, said[i % 4].format(i), int(i % 4 == 0)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df, df.select("doc_id", "toxic"))
+    assert "blorp" in model.terms
+    assert all((r.score >= 0.5) == bool(r.toxic) for r in toxicity.score(df, model).collect())
+
+
 def test_toxicity_odd(spark, odd):
     labels = spark.createDataFrame([(4, 1), (7, 0), (None, 1), (99, None)], "doc_id long, toxic int")
     assert toxicity.score(odd, toxicity.fit(odd, labels)).select("score").count() == odd.count()
