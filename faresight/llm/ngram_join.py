@@ -349,7 +349,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, text: str, ke
 
 
 def _sets(docs: DataFrame, text: str, key: str, wanted: DataFrame, width: int) -> DataFrame:
-    """(node, tokens) of the wanted classes, each from the document that stands for it; a repeated row gives a repeated set."""
+    """(node, tokens) of the wanted classes, each once, from the document that stands for it or a repeated row of it."""
     may = membership(wanted, ["key"])
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -360,7 +360,8 @@ def _sets(docs: DataFrame, text: str, key: str, wanted: DataFrame, width: int) -
             yield pd.DataFrame({"h": b["h"], "one": one.view(np.int64), "two": two.view(np.int64), "tokens": pd.Series([s.tobytes() for s in sets], index=b.index, dtype=object)})
 
     texts = docs.select(F.xxhash64(F.col(key).cast("bigint")).alias("h"), F.col(text).alias("text"))
-    found = texts.mapInPandas(rows, "h bigint, one bigint, two bigint, tokens binary")
+    # Dealt by the columns of the join that follows, so repeats of a hot id meet as partial results only.
+    found = texts.mapInPandas(rows, "h bigint, one bigint, two bigint, tokens binary").groupBy("h", "one", "two").agg(F.first("tokens").alias("tokens"))
     return found.join(wanted.withColumn("h", F.xxhash64("key")).drop("key"), ["h", "one", "two"]).select("node", "tokens")
 
 

@@ -221,6 +221,14 @@ def test_near_copies_odd(spark, odd):
     assert ngram_join.similar_classes(empty(odd)).count() == 0
 
 
+def test_one_set_for_repeated_rows(spark):
+    texts = [" ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(61))]
+    docs = spark.createDataFrame([(k, texts[k]) for k in (0, 1) for _ in range(50)], "doc_id long, text string")
+    one, two = ngram_join._class_of(ngram_join.shingle_sets(texts))
+    wanted = spark.createDataFrame([(10 + k, k, int(one.view(np.int64)[k]), int(two.view(np.int64)[k])) for k in (0, 1)], "node long, key long, one long, two long")
+    assert sorted(r.node for r in ngram_join._sets(docs, "text", "doc_id", wanted, 5).collect()) == [10, 11]
+
+
 def test_near_copies_of_repeated_and_null_ids(spark):
     base = {c: " ".join(f"{c}{i}" for i in range(80)) for c in "abcde"}
     rows = [
@@ -296,6 +304,20 @@ def test_shards_equal_library(spark, sf, odd):
     assert token_shards.token_counts(shards, [0]).first().n == odd.count()
 
 
+def test_shards_spread_one_key(spark):
+    df = spark.createDataFrame([(k, f"{i % 7} text {i}") for k in (None, 5) for i in range(300)] + [(6, "last")], "doc_id long, text string").repartition(4)
+    folder = token_shards.shard_folder(spark)
+    token_shards.write_shards(df, queries.tokenizer_path(), folder, shard=1000)
+    shards = token_shards.read_shards(spark, folder)
+    assert shards.select("part").distinct().count() == 4
+    order = sorted((r for r in df.collect()), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text))
+    want, at = [], 0
+    for r, ids in zip(order, library_ids([r.text for r in order])):
+        want.append((r.doc_id, at, len(ids) + 1, zlib.crc32(np.array([*ids, 0], "<u4").tobytes())))
+        at += len(ids) + 1
+    assert sorted(map(tuple, token_shards.documents_of(shards).collect()), key=lambda r: r[1]) == want
+
+
 def test_words_equal_library():
     rng = random.Random(5)
     parts = ["a", "the", " ", "  ", "\n", "\t", "'s", "'re", "'ll", "'", '"', "é", "ß", "日本", "١", "23", "\x1c", "\x85", "<|endoftext|>", "!!", "-", "aaa", "😀", "\u200d", "e\u0301", "Ⅷ", "'VE", "'ve", "\ufeff", "\r\n", "\u0000"]
