@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators over their whole tables, and SQL for those that SQL can express.
+"""Registered queries of the operators over their whole tables, and SQL for those that SQL can express.
 
 Each query calls its operator and derives the digest columns from what it returns.
 """
@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, fingerprint, grid_join, mixing, ngram_join, secret_scan, suffix_dedup, token_shards, toxicity, url_filter
+from . import bpe, fingerprint, grid_join, line_dedup, merkle, mixing, ngram_join, secret_scan, suffix_dedup, token_shards, toxicity, url_filter, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -200,3 +200,61 @@ def bpe_round_trip(spark, sf):
 )
 def embedding_duplicates(spark, sf):
     return grid_join.cosine_components(table(spark, sf, "embeddings").select("vec_id", "embedding", "label"))
+
+
+#: crc32 of a text of ASCII characters, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({0}) + 1), lambda i: ascii(substr({0}, CAST(i AS INT), 1))::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)::BIGINT[]), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT)"""
+
+
+def _manifest_sql() -> str:
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END"
+    leaf = lambda t: "sha256(" + " || ".join([*map(field, merkle.FIELDS[:4]), field(t)]) + ")"
+    id_ = "CAST(doc_id AS VARCHAR)"
+    return f"""
+    WITH RECURSIVE d AS (SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN {_CRC.format(id_)} % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf('text')} END AS later FROM documents),
+    o AS (SELECT *, row_number() OVER (ORDER BY source NULLS FIRST, doc_id NULLS FIRST, leaf) AS rid, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g,
+          row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM d),
+    t AS (SELECT g, 0 AS level, pos, n, leaf AS h FROM o
+          UNION ALL SELECT g, level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY g, level, pos // 3, n),
+    s AS (SELECT g, level AS above, h FROM t WHERE n = 1),
+    u AS (SELECT 0 AS level, g AS pos, (SELECT count(*) FROM s) AS n, h FROM s
+          UNION ALL SELECT level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY level, pos // 3, n),
+    step AS (SELECT o.rid, t.level AS k, t.pos, t.h, o.pos // CAST(3 ** t.level AS BIGINT) AS mine
+             FROM o JOIN t ON t.g = o.g AND t.n > 1 AND t.pos // 3 = o.pos // CAST(3 ** (t.level + 1) AS BIGINT)
+             UNION ALL SELECT o.rid, s.above + u.level, u.pos, u.h, o.g // CAST(3 ** u.level AS BIGINT)
+             FROM o JOIN s ON s.g = o.g JOIN u ON u.n > 1 AND u.pos // 3 = o.g // CAST(3 ** (u.level + 1) AS BIGINT)),
+    pairs AS (SELECT rid, k, coalesce(string_agg(h, '' ORDER BY pos) FILTER (WHERE pos < mine), '') AS l, coalesce(string_agg(h, '' ORDER BY pos) FILTER (WHERE pos > mine), '') AS r FROM step GROUP BY rid, k),
+    path AS (SELECT rid, list({{'l': l, 'r': r}} ORDER BY k) AS path, string_agg(l || r, '' ORDER BY k) AS siblings FROM pairs GROUP BY rid),
+    f AS (SELECT rid, 1 AS i, later AS h, path FROM o LEFT JOIN path USING (rid) UNION ALL SELECT rid, i + 1, sha256(path[i].l || h || path[i].r), path FROM f WHERE i <= len(path))
+    SELECT doc_id, leaf, s.h AS subroot, root.h AS root, sha256(coalesce(siblings, '')) AS proof_sha256, f.h AS folded_root, f.h = root.h AS verified
+    FROM o JOIN s USING (g) CROSS JOIN (SELECT h FROM u WHERE n = 1) root LEFT JOIN path p ON p.rid = o.rid JOIN f ON f.rid = o.rid AND f.i = coalesce(len(p.path), 0) + 1"""
+
+
+@query("op11_merkle_manifest", _manifest_sql())
+def merkle_manifest(spark, sf):
+    docs = table(spark, sf, "documents").select(*merkle.FIELDS)
+    even = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    tampered = F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.verify(docs, tampered)
+
+
+@query(
+    "op12_line_dedup",
+    f"""
+    WITH l AS (SELECT rid, doc_id, i, lines[i] AS line, translate(trim(lines[i], {' || '.join(f'chr({c})' for c in (32, 9, 10, 11, 12, 13))}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+               FROM (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents), unnest(range(1, len(lines) + 1)) u(i)),
+    k AS (SELECT key, max(doc_id) AS keeper FROM l WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+    m AS (SELECT l.*, k.key IS NOT NULL AND doc_id <> keeper AS gone FROM l LEFT JOIN k USING (key))
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM m GROUP BY rid, doc_id
+    """,
+)
+def line_duplicates(spark, sf):
+    out = line_dedup.drop_lines(table(spark, sf, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op13_whitening")
+def embedding_whitening(spark, sf):
+    out = whitening.whiten(table(spark, sf, "embeddings").select("vec_id", "embedding"))
+    return out.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
