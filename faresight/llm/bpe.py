@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from .common import prefix_hash, ragged, random_words, range_hash
+from .common import held, prefix_hash, ragged, random_words, range_hash
 
 #: Code points that one step works on, words that a task remembers, and bytes of the longest word that is proposed for.
 STEP = 1 << 19
@@ -444,15 +444,20 @@ class Vocabulary:
         return self.flat[ragged(self.offsets[ids], self.sizes[ids])].tobytes()
 
 
-@lru_cache(2)
+def _tools(path: str) -> tuple[Vocabulary, Words]:
+    def make() -> tuple[Vocabulary, Words]:
+        v = Vocabulary(path)
+        return v, Words(v.encode_words, v.special)
+
+    return held(("bpe", path), make)
+
+
 def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+    return _tools(path)[0]
 
 
-@lru_cache(2)
 def _words(path: str) -> Words:
-    v = vocabulary(path)
-    return Words(v.encode_words, v.special)
+    return _tools(path)[1]
 
 
 def _split(ids: np.ndarray, counts: np.ndarray) -> list[bytes]:

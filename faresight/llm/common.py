@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Hashable, Iterator, Sequence
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,22 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+_held: dict[Hashable, Any] = {}
+
+
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What one kind of task keeps in its Python worker for later tasks. A worker holds one such thing; another key replaces it."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Frees what tasks of another operator left in this worker, which may go on to serve many stages."""
+    _held.clear()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts lineage and outlives executors."""
     path = work_dir(df.sparkSession, name)
@@ -31,6 +48,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def slices(batches: Iterator[pd.DataFrame], rows: int = 2048) -> Iterator[pd.DataFrame]:
     """Smaller frames from Arrow batches, so that what a step builds from texts stays small."""
+    release()
     for batch in batches:
         for at in range(0, len(batch), rows):
             yield batch.iloc[at : at + rows].reset_index(drop=True)

@@ -64,21 +64,33 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+#: Patterns of the secret kinds as the SQL reads them, written out apart from the operator's: kind, pattern, role, weak.
+_SECRETS = [
+    ("assign", r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "secret", False),
+    ("access", "AKIA[A-Z0-9]+", "identifier", False),
+    ("hex", "[0-9a-f]+", "secret", False),
+    ("id", r"""(?:[Uu][Ss][Ee][Rr][Nn][Aa][Mm][Ee]|[Uu][Ss][Ee][Rr]|[Ll][Oo][Gg][Ii][Nn]|[Cc][Ll][Ii][Ee][Nn][Tt]_[Ii][Dd]|[Aa][Cc][Cc][Oo][Uu][Nn][Tt])["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}""", "identifier", True),
+    ("key", "[A-Za-z0-9+/_-]{20,}", "secret", True),
+    ("url", r"""[a-z]+://[^\x00-\x20"'<>]+""", "endpoint", True),
+]
+_REACH = 200
+
+
 def _secret_sql() -> str:
     found = " UNION ALL ".join(
         f"""SELECT rid, {rank} AS rank, '{kind}' AS kind, {str(weak).lower()} AS weak, '{role}' AS role, h[i] AS hit,
         list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i-1], lambda x: length(x))), 0) AS s
         FROM (SELECT rid, string_split_regex(t, '{p}') AS g, regexp_extract_all(t, '{p}') AS h FROM d WHERE regexp_matches(t, '{p}')),
         unnest(range(1, len(h) + 1)) u(i)"""
-        for rank, (kind, pattern, role, weak, _) in enumerate(secret_scan.KINDS)
+        for rank, (kind, pattern, role, weak) in enumerate(_SECRETS)
         for p in [pattern.replace("'", "''")]
     )
-    assign = secret_scan.KINDS[0][1].replace("'", "''")
-    near = lambda role: f"EXISTS (SELECT 1 FROM c q WHERE q.rid = p.rid AND q.role = '{role}' AND abs(q.s - p.s) <= {secret_scan.REACH})"
+    assign = _SECRETS[0][1].replace("'", "''")
+    near = lambda role: f"EXISTS (SELECT 1 FROM c q WHERE q.rid = p.rid AND q.role = '{role}' AND abs(q.s - p.s) <= {_REACH})"
     return f"""
     WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
     m AS (SELECT *, s + length(hit) AS e FROM ({found})),
-    b AS (SELECT * FROM m WHERE NOT weak AND (kind <> 'assign' OR length(regexp_extract(hit, '{assign}', 2)) >= 8)),
+    b AS (SELECT * FROM m WHERE NOT weak AND CASE kind WHEN 'assign' THEN length(regexp_extract(hit, '{assign}', 2)) >= 8 WHEN 'access' THEN length(hit) >= 16 ELSE length(hit) >= 32 END),
     c AS (SELECT * FROM b UNION ALL SELECT * FROM m WHERE weak AND (kind <> 'key' OR (regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[a-z]')
           AND regexp_matches(hit, '[A-Z]') AND NOT EXISTS (SELECT 1 FROM b WHERE b.rid = m.rid AND b.s < m.e AND m.s < b.e)))),
     r AS (SELECT * FROM c p WHERE NOT weak OR (kind = 'id' AND {near('secret')}) OR (kind = 'key' AND {near('identifier')})

@@ -30,7 +30,8 @@ KINDS = [
     ("hex", "[0-9a-f]{32,}", "secret", False, 32),
     ("id", f"({_OWNERS}){_SIGN}[A-Za-z0-9._@-]{{3,}}", "identifier", True, 8),
     ("key", "[A-Za-z0-9+/_-]{20,}", "secret", True, 20),
-    ("url", r"""[a-z]+://[^\x00-\x20"'<>]+""", "endpoint", True, 5),
+    # Tried once a run of small letters: a match can begin only where none stands before it, and letters are not given back.
+    ("url", r"""(?<![a-z])[a-z]++://[^\x00-\x20"'<>]+""", "endpoint", True, 5),
 ]
 BASE = [k for k, _, _, weak, _ in KINDS if not weak]
 REACH = 200

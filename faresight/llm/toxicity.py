@@ -26,6 +26,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import release
+
 #: Bounds of the fitted model: labelled rows it learns from, and insult terms it keeps.
 LABELLED = 8000
 TERMS = 4096
@@ -204,6 +206,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
 
     @F.pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        release()
         grammar, weights = Grammar(model.terms), np.array(model.weights)
         for texts in batches:
             if model.bias is None:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -95,6 +96,19 @@ def test_secrets_by_hand(spark, odd):
     assert secret_scan.scan_secrets(empty(odd)).count() == 0
 
 
+@pytest.mark.parametrize("letter", ["a", "f", "A", "x:", "0"])
+def test_secrets_of_long_runs_take_linear_time(spark, letter):
+    """A run of a million letters, which every pattern could begin in the middle of."""
+    rows = [(1, letter * (1_000_000 // len(letter))), (2, "see " + letter * 100 + "https://a.b/c user: bob token=abcdefghij")]
+    start = time.perf_counter()
+    found = {r.doc_id: [(s.kind, s.start) for s in r.spans] for r in secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.perf_counter() - start < 30
+    long_, short = rows[0][1], rows[1][1]
+    assert found[1] == ([("hex", 0)] if letter in "af0" else [])
+    url = next(m.start() for m in re.finditer(r"[a-z]+://[^\x00-\x20\"'<>]+", short))
+    assert ("url", url) in found[2] and len(long_) == 1_000_000
+
+
 def test_cascade_is_exact(spark):
     keys = spark.range(5000).select(F.concat(F.lit("k"), F.col("id")).alias("key"))
     listed = keys.filter("crc32(key) % 13 = 0")
