@@ -104,13 +104,18 @@ def cheapest_offers(
 
 
 def sort_offers(offers: DataFrame, by: str = "price", offer: str = "offer_id") -> DataFrame:
-    """Order by price, by duration in minutes, or by departure; ties by offer."""
+    """Offers with their 1-based ``position`` by price, by duration in minutes, or by departure; ties by offer."""
     key = {
         "price": F.coalesce(F.col("total"), F.lit(0.0)) if "total" in offers.columns else F.lit(0.0),
         "duration": duration_minutes("duration") if "duration" in offers.columns else F.lit(0),
         "departure": F.col("departure_time") if "departure_time" in offers.columns else F.lit(0),
     }[by]
-    return offers.orderBy(key, offer)
+    return row_index(offers, [], [key, offer], out="position")
+
+
+def trips_recent_first(bookings: DataFrame, user: str = "user_id", at: str = "created_at") -> DataFrame:
+    """Bookings with their 1-based ``position`` among those of the same customer, newest first; ties by id."""
+    return row_index(bookings, user, [F.desc(at), "id"], out="position")
 
 
 def mark_best_offer(
@@ -157,14 +162,14 @@ def recent_per_user(df: DataFrame, n: int, newest: str = "created_at", id_col: s
 
 
 def downsample_series(
-    forecast: DataFrame, every: int, chunk: Column, keys: str | Sequence[str] = ("origin_code", "destination_code"),
+    forecast: DataFrame, every: int, keys: str | Sequence[str] = ("origin_code", "destination_code"),
     order: str = "day", anchor: int = 0, first: bool = True,
 ) -> DataFrame:
     """Every ``every``-th point (1-based position congruent to ``anchor``) plus the ends of each series.
 
     ``anchor=0`` gives positions 7, 14, … for weekly ticks, ``anchor=1`` positions 1, 6, … for dots.
     """
-    placed = row_index(forecast, keys, [order], chunk, out="position", total="_total")
+    placed = row_index(forecast, keys, [order], out="position", total="_total")
     pos = F.col("position")
     keep = (pos % every == anchor % every) | (pos == F.col("_total"))
     return placed.filter(keep | (pos == 1) if first else keep).drop("_total")

@@ -1,14 +1,15 @@
 """Ordered operators that hold when one key owns a large share of all rows.
 
-A plain window sends every row of a key to one task. That is the cheapest plan while keys are small,
-so the helpers count the rows per key first and keep it for all keys up to ``max_rows``. Only keys
-above that take the second way, in which they are cut along their order into *chunks*: a chunk is a
-non-null column that never decreases along the order (a day, a text prefix). Rows are windowed per
-(key, chunk), a small per-chunk summary is carried forward along the key, and the two are combined.
-Should a chunk be hot itself, for instance the day of a bulk load, those keys are cut into ranges of
-the full (key, order) tuple instead, which no repeated day or key can unbalance.
-
-All three ways give exactly the result of the plain window.
+A plain window sends every row of a key to one task. Here the table is cut into *ranges* of the full (key, order) tuple,
+which no repeated day, text or key can unbalance: a hot key simply spans many ranges. Rows are windowed per (key, range);
+one summary row per (key, range) is carried forward along the key and joined back. There are at most as many summaries as
+keys and ranges together, so the carry is small whatever the rows.
+
+Nothing is counted or collected beforehand; building a plan starts no job. Both sides of the join back read the same
+range exchange, which Spark plans once and reuses. Ranges are sampled, so a second, different cut would give wrong rows:
+every row therefore brings a checksum of its group to the join, and a group that the other side saw differently raises an
+error instead. Where a session has switched the reuse of exchanges off, or sets ``spark.faresight.storeRanges``, the cut
+is stored with a reliable checkpoint.
 """
 
 from __future__ import annotations
@@ -21,160 +22,89 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..columns import col, names
 from ..session import ensure_checkpoint_dir
 
-_CHUNK = "_chunk"
-# Rows of one key that a single task may sort. A session overrides it with this setting, a call with ``max_rows``.
-MAX_ROWS = 5_000_000
-MAX_ROWS_SETTING = "spark.faresight.maxRowsPerTask"
+_RANGE, _SUM = "_range", "_sum"
+STORE_SETTING = "spark.faresight.storeRanges"
 
 
-def day_chunk(c: str | Column) -> Column:
-    """Days since 1970; rows without a time come first, as nulls do in an ascending sort."""
-    return F.coalesce(F.unix_date(col(c).cast("date")), F.lit(-(2**31)))
-
-
-def prefix_chunk(c: str | Column, length: int = 2) -> Column:
-    return F.coalesce(F.substring(col(c).cast("string"), 1, length), F.lit(""))
-
-
-def split_hot(df: DataFrame, keys: Sequence[str], max_rows: int) -> tuple[DataFrame | None, DataFrame | None]:
-    """(rows of ordinary keys, rows of keys above ``max_rows``); None for a part that is empty.
-
-    There can be at most rows / max_rows hot keys, which bounds the list that is broadcast.
-    """
-    if not keys:
-        return (df, None) if df.count() <= max_rows else (None, df)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_rows).select(*keys)
-    hot = counts.collect()
-    if not hot:
-        return df, None
-    listed = df.sparkSession.createDataFrame(hot, counts.schema).toDF(*[f"_hot_{k}" for k in keys])
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
-    side = F.broadcast(listed)
-    return df.join(side, same, "left_anti"), df.join(side, same, "left_semi")
-
-
-def spread(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], chunk: Column, max_rows: int) -> DataFrame:
-    """``df`` with a ``_chunk`` column such that no (key, chunk) group is far above ``max_rows``.
-
-    The range cut is stored with a reliable checkpoint: range bounds are sampled, and every later
-    read must see the same assignment.
-    """
-    tagged = df.withColumn(_CHUNK, chunk)
-    counts = tagged.groupBy(*keys, _CHUNK).agg(F.count(F.lit(1)).alias("_n"))
-    largest, total = counts.agg(F.max("_n"), F.sum("_n")).first()
-    if largest is None or largest <= max_rows:
-        return tagged
+def _ranges(df: DataFrame, keys: list[str], order: Sequence[str | Column], kept: Sequence[str]) -> DataFrame:
+    """``df`` cut into ranges of (keys, order), with the range's number and a checksum of the row's ``kept`` columns."""
+    conf = df.sparkSession.conf
+    ranged = df.repartitionByRange(int(conf.get("spark.sql.shuffle.partitions")), *keys, *order).select(
+        "*", F.spark_partition_id().alias(_RANGE), F.xxhash64(*kept).alias(_SUM)
+    )
+    if conf.get("spark.sql.exchange.reuse", "true") == "true" and conf.get(STORE_SETTING, "false") != "true":
+        return ranged
     ensure_checkpoint_dir(df.sparkSession)
-    parts = max(2, -(-2 * total // max_rows))
-    ranged = df.repartitionByRange(parts, *keys, *order)
-    return ranged.withColumn(_CHUNK, F.spark_partition_id()).checkpoint()
+    return ranged.checkpoint()
 
 
-def _by_size(
+def _scan(
     df: DataFrame,
     keys: list[str],
     order: Sequence[str | Column],
-    chunk: Column,
-    max_rows: int | None,
-    plain: Callable[[DataFrame], DataFrame],
-    chunked: Callable[[DataFrame], DataFrame],
+    local: Callable[[], Mapping[str, Column]],
+    summary: Callable[[DataFrame], DataFrame],
+    results: Mapping[str, Column],
 ) -> DataFrame:
-    limit = max_rows or int(df.sparkSession.conf.get(MAX_ROWS_SETTING, str(MAX_ROWS)))
-    ordinary, hot = split_hot(df, keys, limit)
-    parts = []
-    if ordinary is not None:
-        parts.append(plain(ordinary))
-    if hot is not None:
-        parts.append(chunked(spread(hot, keys, order, chunk, limit)))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _attach(local: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
-    """Joins the per-chunk summary; null keys match each other, as they do in a window."""
-    on = [*keys, _CHUNK]
-    side = summary.withColumnsRenamed({k: f"_on_{k}" for k in on})
+    """``df`` with ``results``, which combine the per-range columns of ``local`` with the carried columns of ``summary``.
+
+    ``summary`` gets the ranges and returns keys, range, the checksum ``_seen`` of each group, and what is carried to it.
+    """
+    # Maps have no hash, so a column of maps is left out of the checksum.
+    kept = [c for c, kind in df.dtypes if "map<" not in kind and kind != "variant"]
+    cut = _ranges(df, keys, order, kept)
+    rows = cut.select(*df.columns, _RANGE, *[c.alias(n) for n, c in local().items()], F.bit_xor(_SUM).over(Window.partitionBy(*keys, _RANGE)).alias(_SUM))
+    on = [*keys, _RANGE]
+    side = summary(cut).withColumnsRenamed({k: f"_on_{k}" for k in on})
+    # Null keys match each other, as they do in a window.
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in on])
-    return local.join(side, same, "left")
+    wrong = F.raise_error(F.lit(f"ranges were cut twice; set {STORE_SETTING} to true"))
+    sound = F.col("_seen").eqNullSafe(F.col(_SUM))
+    return rows.join(side, same, "left").select(*df.columns, *[F.when(sound, c).otherwise(wrong).alias(n) for n, c in results.items()])
 
 
-def lag_values(
-    df: DataFrame,
-    keys: str | Sequence[str],
-    order: Sequence[str],
-    value: str,
-    lags: Sequence[int],
-    chunk: Column,
-    max_rows: int | None = None,
-) -> DataFrame:
+def lag_values(df: DataFrame, keys: str | Sequence[str], order: Sequence[str], value: str, lags: Sequence[int]) -> DataFrame:
     """Adds ``{value}_lag_{n}``: the value n rows earlier within the key."""
-    k = names(keys)
-    out = [f"{value}_lag_{n}" for n in lags]
+    k, reach = names(keys), max(lags)
+    within = Window.partitionBy(*k, _RANGE).orderBy(*order)
 
-    def plain(part: DataFrame) -> DataFrame:
-        w = Window.partitionBy(*k).orderBy(*order)
-        return part.select("*", *[F.lag(value, n).over(w).alias(name) for n, name in zip(lags, out)])
+    def local() -> dict[str, Column]:
+        return {"_pos": F.row_number().over(within)} | {f"_lag_{n}": F.lag(value, n).over(within) for n in lags}
 
-    def chunked(tagged: DataFrame) -> DataFrame:
-        reach = max(lags)
-        # The last rows of each chunk: the limit is applied before the shuffle, so few rows travel.
-        newest = Window.partitionBy(*k, _CHUNK).orderBy(*[F.col(c).desc() for c in order])
-        spot = F.struct((-F.col("_back")).alias("at"), F.col(value).alias("v"))
+    def summary(cut: DataFrame) -> DataFrame:
+        # The last rows of each range, and from them the last rows before it.
+        newest = Window.partitionBy(*k, _RANGE).orderBy(*[F.col(c).desc() for c in order])
+        spot = F.struct((-F.col("_back")).alias("at"), F.col("_v").alias("v"))
         tails = (
-            tagged.select(*{*k, _CHUNK, *order, value})
-            .withColumn("_back", F.row_number().over(newest))
+            cut.select(*k, _RANGE, F.col(value).alias("_v"), F.row_number().over(newest).alias("_back"), F.bit_xor(_SUM).over(Window.partitionBy(*k, _RANGE)).alias(_SUM))
             .filter(F.col("_back") <= reach)
-            .groupBy(*k, _CHUNK)
-            .agg(F.sort_array(F.collect_list(spot)).alias("_t"))
+            .groupBy(*k, _RANGE)
+            .agg(F.sort_array(F.collect_list(spot)).alias("_t"), F.first(_SUM).alias("_seen"))
         )
-        along = Window.partitionBy(*k).orderBy(_CHUNK)
+        along = Window.partitionBy(*k).orderBy(_RANGE)
         none = F.slice(F.col("_t"), 1, 0)
         earlier = F.concat(*[F.coalesce(F.lag("_t", n).over(along), none) for n in range(reach, 0, -1)])
-        carry = tails.select(*k, _CHUNK, earlier.alias("_c")).select(*k, _CHUNK, F.col("_c")["v"].alias("_carry"))
-
-        within = Window.partitionBy(*k, _CHUNK).orderBy(*order)
-        local = tagged.select(
-            "*",
-            F.row_number().over(within).alias("_pos"),
-            *[F.lag(value, n).over(within).alias(f"_lag_{n}") for n in lags],
-        )
+        return tails.select(*k, _RANGE, "_seen", earlier.alias("_c")).select(*k, _RANGE, "_seen", F.col("_c")["v"].alias("_carry"))
 
-        def lagged(n: int) -> Column:
-            back = F.least(F.col("_pos") - n - 1, F.lit(-1)).cast("int")
-            return F.when(F.col("_pos") > n, F.col(f"_lag_{n}")).otherwise(F.try_element_at("_carry", back))
+    def lagged(n: int) -> Column:
+        back = F.least(F.col("_pos") - n - 1, F.lit(-1)).cast("int")
+        return F.when(F.col("_pos") > n, F.col(f"_lag_{n}")).otherwise(F.try_element_at("_carry", back))
 
-        return _attach(local, carry, k).select(*df.columns, *[lagged(n).alias(name) for n, name in zip(lags, out)])
+    return _scan(df, k, order, local, summary, {f"{value}_lag_{n}": lagged(n) for n in lags})
 
-    return _by_size(df, k, order, chunk, max_rows, plain, chunked)
 
-
-def row_index(
-    df: DataFrame,
-    keys: str | Sequence[str],
-    order: Sequence[str | Column],
-    chunk: Column,
-    out: str = "row_index",
-    total: str | None = None,
-    max_rows: int | None = None,
-) -> DataFrame:
+def row_index(df: DataFrame, keys: str | Sequence[str], order: Sequence[str | Column], out: str = "row_index", total: str | None = None) -> DataFrame:
     """Exact 1-based position within the key (no keys: within the table), and optionally the key's row count."""
     k = names(keys)
 
-    def plain(part: DataFrame) -> DataFrame:
-        position = F.row_number().over(Window.partitionBy(*k).orderBy(*order)).cast("bigint").alias(out)
-        whole = [F.count(F.lit(1)).over(Window.partitionBy(*k)).alias(total)] if total else []
-        return part.select("*", position, *whole)
-
-    def chunked(tagged: DataFrame) -> DataFrame:
-        along = Window.partitionBy(*k).orderBy(_CHUNK)
-        counts = tagged.groupBy(*k, _CHUNK).agg(F.count(F.lit(1)).alias("_n"))
-        before = F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        whole = [F.sum("_n").over(Window.partitionBy(*k)).alias(total)] if total else []
-        summary = counts.select(*k, _CHUNK, before.alias("_before"), *whole)
-        local = tagged.withColumn("_pos", F.row_number().over(Window.partitionBy(*k, _CHUNK).orderBy(*order)))
-        position = (F.col("_pos") + F.col("_before")).alias(out)
-        return _attach(local, summary, k).select(*df.columns, position, *([total] if total else []))
+    def summary(cut: DataFrame) -> DataFrame:
+        sums = cut.groupBy(*k, _RANGE).agg(F.count(F.lit(1)).alias("_n"), F.bit_xor(_SUM).alias("_seen"))
+        before = F.sum("_n").over(Window.partitionBy(*k).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1))
+        return sums.select(*k, _RANGE, "_seen", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(*k)).alias("_whole"))
 
-    return _by_size(df, k, order, chunk, max_rows, plain, chunked)
+    within = F.row_number().over(Window.partitionBy(*k, _RANGE).orderBy(*order))
+    results = {out: F.col("_pos") + F.col("_before")} | ({total: F.col("_whole")} if total else {})
+    return _scan(df, k, order, lambda: {"_pos": within}, summary, results)
 
 
 _COMBINE = {
@@ -185,36 +115,20 @@ _COMBINE = {
 }
 
 
-def running(
-    df: DataFrame,
-    keys: str | Sequence[str],
-    order: Sequence[str],
-    chunk: Column,
-    outputs: Mapping[str, tuple[str, str | Column]],
-    max_rows: int | None = None,
-) -> DataFrame:
+def running(df: DataFrame, keys: str | Sequence[str], order: Sequence[str], outputs: Mapping[str, tuple[str, str | Column]]) -> DataFrame:
     """Running aggregates up to and including the row; ``outputs`` maps a name to (sum|count|min|max, column)."""
     k = names(keys)
+    within = Window.partitionBy(*k, _RANGE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    along = Window.partitionBy(*k).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+
+    def summary(cut: DataFrame) -> DataFrame:
+        parts = [_COMBINE[how][0](col(c)).alias(f"_p_{name}") for name, (how, c) in outputs.items()]
+        carries = [(F.sum if how == "count" else _COMBINE[how][0])(f"_p_{name}").over(along).alias(f"_b_{name}") for name, (how, _) in outputs.items()]
+        return cut.groupBy(*k, _RANGE).agg(*parts, F.bit_xor(_SUM).alias("_seen")).select(*k, _RANGE, "_seen", *carries)
 
-    def plain(part: DataFrame) -> DataFrame:
-        w = Window.partitionBy(*k).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return part.select("*", *[_COMBINE[how][0](col(c)).over(w).alias(name) for name, (how, c) in outputs.items()])
-
-    def chunked(tagged: DataFrame) -> DataFrame:
-        along = Window.partitionBy(*k).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-        within = Window.partitionBy(*k, _CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        parts, carries, local, results = [], [], [], []
-        for name, (how, c) in outputs.items():
-            agg, combine = _COMBINE[how]
-            merge = F.sum if how == "count" else agg
-            parts.append(agg(col(c)).alias(f"_p_{name}"))
-            carries.append(merge(f"_p_{name}").over(along).alias(f"_b_{name}"))
-            local.append(agg(col(c)).over(within).alias(f"_l_{name}"))
-            results.append(combine(F.col(f"_b_{name}"), F.col(f"_l_{name}")).alias(name))
-        summary = tagged.groupBy(*k, _CHUNK).agg(*parts).select(*k, _CHUNK, *carries)
-        return _attach(tagged.select("*", *local), summary, k).select(*df.columns, *results)
-
-    return _by_size(df, k, order, chunk, max_rows, plain, chunked)
+    local = {f"_l_{name}": _COMBINE[how][0](col(c)).over(within) for name, (how, c) in outputs.items()}
+    results = {name: _COMBINE[how][1](F.col(f"_b_{name}"), F.col(f"_l_{name}")) for name, (how, _) in outputs.items()}
+    return _scan(df, k, order, lambda: local, summary, results)
 
 
 def top_k(

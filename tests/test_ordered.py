@@ -30,13 +30,16 @@ def expected(fn):
     return out
 
 
-# 60 forces the range cut of the hot key, 300 its day chunks, the default leaves plain windows.
-LIMITS = [60, 300, ordered.MAX_ROWS]
+@pytest.fixture(params=["reused", "stored"])
+def way(request, spark):
+    """Both ways to cut ranges: one exchange that both sides read, and a checkpoint."""
+    spark.conf.set(ordered.STORE_SETTING, str(request.param == "stored").lower())
+    yield request.param
+    spark.conf.unset(ordered.STORE_SETTING)
 
 
-@pytest.mark.parametrize("limit", LIMITS)
-def test_lags(table, limit):
-    got = ordered.lag_values(table, "key", ["day", "id"], "v", [1, 3], F.col("day"), limit)
+def test_lags(table, way):
+    got = ordered.lag_values(table, "key", ["day", "id"], "v", [1, 3])
     want = expected(
         lambda rows: {
             r[2]: (rows[i - 1][3] if i >= 1 else None, rows[i - 3][3] if i >= 3 else None) for i, r in enumerate(rows)
@@ -46,52 +49,47 @@ def test_lags(table, limit):
     assert got.columns == [*table.columns, "v_lag_1", "v_lag_3"]
 
 
-def test_lags_across_short_chunks(spark):
-    # One row per chunk: a lag reaches several chunks back.
-    df = spark.createDataFrame([("a", d, float(d)) for d in range(6)], "key string, day int, v double")
-    got = ordered.lag_values(df, "key", ["day"], "v", [1, 3], F.col("day"), 5)
-    assert [(r["v_lag_1"], r["v_lag_3"]) for r in got.orderBy("day").collect()] == [
-        (None, None), (0.0, None), (1.0, None), (2.0, 0.0), (3.0, 1.0), (4.0, 2.0)
-    ]
+def test_lags_across_short_ranges(spark):
+    # More ranges than rows: a lag reaches several ranges back.
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        df = spark.createDataFrame([("a", d, float(d)) for d in range(6)], "key string, day int, v double").repartition(3)
+        got = ordered.lag_values(df, "key", ["day"], "v", [1, 3])
+        assert [(r["v_lag_1"], r["v_lag_3"]) for r in got.orderBy("day").collect()] == [
+            (None, None), (0.0, None), (1.0, None), (2.0, 0.0), (3.0, 1.0), (4.0, 2.0)
+        ]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
-@pytest.mark.parametrize("limit", [2, 9])
-def test_null_values_and_null_keys(spark, limit):
+def test_null_values_and_null_keys(spark, way):
     data = [("a", 0, 1.0), ("a", 1, None), ("a", 2, 3.0), (None, 0, 5.0), (None, 1, 6.0), (None, 2, 7.0), ("b", 0, 8.0)]
     df = spark.createDataFrame(data, "key string, day int, v double")
-    got = ordered.lag_values(df, "key", ["day"], "v", [1], F.col("day"), limit).collect()
+    got = ordered.lag_values(df, "key", ["day"], "v", [1]).collect()
     assert {(r["key"], r["day"]): r["v_lag_1"] for r in got} == {
         ("a", 0): None, ("a", 1): 1.0, ("a", 2): None, (None, 0): None, (None, 1): 5.0, (None, 2): 6.0, ("b", 0): None
     }
-    got = ordered.row_index(df, "key", ["day"], F.col("day"), max_rows=limit).collect()
+    got = ordered.row_index(df, "key", ["day"]).collect()
     assert {(r["key"], r["day"]): r["row_index"] for r in got} == {(k, d): d + 1 for k, d, _ in data}
+    assert ordered.row_index(df.filter("false"), "key", ["day"]).count() == 0
 
 
-def test_only_hot_keys_are_cut(table):
-    ordinary, hot = ordered.split_hot(table, ["key"], 300)
-    assert {r[0] for r in hot.select("key").distinct().collect()} == {"hot"}
-    assert ordinary.count() + hot.count() == len(ROWS) and ordinary.filter("key = 'hot'").isEmpty()
-    assert ordered.split_hot(table, ["key"], 5000)[1] is None and ordered.split_hot(table, [], 10)[0] is None
-
-
-@pytest.mark.parametrize("limit", LIMITS)
-def test_row_index(table, limit):
-    got = ordered.row_index(table, "key", ["day", "id"], F.col("day"), total="n", max_rows=limit)
+def test_row_index(table, way):
+    got = ordered.row_index(table, "key", ["day", "id"], total="n")
     want = expected(lambda rows: {r[2]: (i + 1, len(rows)) for i, r in enumerate(rows)})
     assert {r["id"]: (r["row_index"], r["n"]) for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("limit", LIMITS)
-def test_row_index_without_keys(table, limit):
-    got = ordered.row_index(table, [], [F.desc("day"), "id"], -F.col("day"), max_rows=limit)
+def test_row_index_without_keys(table, way):
+    got = ordered.row_index(table, [], [F.desc("day"), "id"])
     order = sorted(ROWS, key=lambda r: (-r[1], r[2]))
     assert {r["id"]: r["row_index"] for r in got.collect()} == {r[2]: i + 1 for i, r in enumerate(order)}
 
 
-@pytest.mark.parametrize("limit", LIMITS)
-def test_running(table, limit):
+def test_running(table, way):
     outputs = {"total": ("sum", "v"), "low": ("min", "v"), "high": ("max", "v"), "n": ("count", "v")}
-    got = ordered.running(table, "key", ["day", "id"], F.col("day"), outputs, limit)
+    got = ordered.running(table, "key", ["day", "id"], outputs)
 
     def run(rows):
         seen, out = [], {}
@@ -103,18 +101,38 @@ def test_running(table, limit):
     assert {r["id"]: (r["total"], r["low"], r["high"], r["n"]) for r in got.collect()} == expected(run)
 
 
-def test_range_cut_bounds_every_group(table):
-    cut = ordered.spread(table, ["key"], ["day", "id"], F.col("day"), 60)
-    largest = cut.groupBy("key", "_chunk").count().agg(F.max("count")).first()[0]
-    assert largest <= 90 and cut.count() == len(ROWS)
+def test_a_hot_key_is_dealt_to_many_ranges(table, spark):
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cut = ordered._ranges(table, ["key"], ["day", "id"], table.columns)
+    sizes = [r[0] for r in cut.filter("key = 'hot'").groupBy(ordered._RANGE).count().select("count").collect()]
+    assert len(sizes) >= parts // 2 and max(sizes) < 2 * len(ROWS) / parts
+
+
+def jobs(spark):
+    return spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+
+
+def test_building_a_plan_starts_no_job(table, spark):
+    before = jobs(spark)
+    for df in (
+        ordered.lag_values(table, "key", ["day", "id"], "v", [1, 3]), ordered.row_index(table, [], ["day", "id"], total="n"),
+        ordered.running(table, "key", ["day", "id"], {"n": ("count", "v")}),
+    ):
+        assert jobs(spark) == before
+        df.collect()
+        # A column that the result does not need does not part the two sides either.
+        df.select(df.columns[-1]).collect()
+        before = jobs(spark)
+        assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_task_holds_the_whole_table(table, spark):
+    """The only single partition is that of the sums, one a range."""
+    plan = ordered.row_index(table, [], ["day", "id"])._jdf.queryExecution().executedPlan().toString().split("\n")
+    at = [i for i, line in enumerate(plan) if "Exchange SinglePartition" in line]
+    assert at and all("HashAggregate" in plan[i + 1] for i in at)
 
 
 def test_top_k_trims_before_the_shuffle(table):
     plan = ordered.top_k(table, "key", ["v", "id"], 3)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and plan.index("Final") < plan.index("Exchange hashpartitioning") < plan.index("Partial")
-
-
-def test_day_chunk_of_null_sorts_first(spark):
-    df = spark.sql("select cast(null as timestamp) as t union all select timestamp '1960-01-01'")
-    values = sorted(r[0] for r in df.select(ordered.day_chunk("t")).collect())
-    assert values[0] == -(2**31) and values[1] < 0
