@@ -9,14 +9,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.filters import expire_alerts
-from ..operators.joins import match_alerts, match_payments
+from ..operators.alerts import evaluate_alerts
+from ..operators.joins import lowest_fares, match_payments
 from ..operators.ordered import top_k
 from ..sources.tables import latest_batches
+from .state import delivery_state, expiries, first_payments, first_triggers
 
 ROUTE = ("origin_code", "destination_code")
 
@@ -25,8 +26,8 @@ PAYMENT = (
 )
 
 
-def _run(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], every: str | None) -> StreamingQuery:
-    writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+def _run(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], every: str | None, mode: str = "append") -> StreamingQuery:
+    writer = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint)
     trigger = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     return trigger.start()
 
@@ -35,33 +36,52 @@ def _write_batch(df: DataFrame, path: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch}")
 
 
+def alert_state(spark: SparkSession, path: str, batch: int) -> DataFrame | None:
+    """(id, last_price, triggered_count) of all alerts checked up to a batch, or None before the first."""
+    return latest_batches(spark, f"{path}/state/{batch % 2}") if batch >= 0 else None
+
+
 def alert_stream(
     ticks: DataFrame,
-    alerts: DataFrame,
+    alerts: Callable[[], DataFrame],
     path: str,
     checkpoint: str,
     keys: Sequence[str] = ROUTE,
     every: str | None = "30 minutes",
 ) -> StreamingQuery:
-    """Checks each batch of fare ticks against the active alerts; one row per alert met in the batch.
+    """Checks each batch of fare ticks against the alerts as they are then; one row in ``path/hits`` per alert met.
 
+    ``alerts`` reads the alert table and is asked for every batch, so alerts that were added, changed or switched off since
+    count at once. What a check leaves behind, last fare and number of triggers, is written as a new version of
+    ``path/state`` next to the one it was read from: two versions are kept, a batch costs one pass over the alerts however
+    long the stream has run, and a batch that is repeated reads the version before it and writes the same again.
     Ticks are reduced to the lowest fare per key before the join, so a busy route costs one row.
     ``every=None`` handles what is available and stops.
     """
 
     def check(batch: DataFrame, batch_id: int) -> None:
-        hits = match_alerts(alerts, batch, keys)
+        known = alerts()
+        before = alert_state(batch.sparkSession, path, batch_id - 1)
+        if before is not None:
+            seen = before.select("id", F.col("last_price").alias("_last"), F.col("triggered_count").alias("_count"))
+            known = known.join(seen, "id", "left").withColumns(
+                {"last_price": F.coalesce(F.col("_last"), F.col("last_price").cast("double")), "triggered_count": F.coalesce("_count", "triggered_count")}
+            ).drop("_last", "_count")
+        priced = known.join(lowest_fares(batch, list(keys)), list(keys), "left")
+        updated, hits = evaluate_alerts(priced)
         shape = hits.select(F.col("id").alias("alert_id"), "user_id", *keys, "target_price", "current_price")
-        _write_batch(shape, path, batch_id)
+        _write_batch(shape, f"{path}/hits", batch_id)
+        state = updated.select("id", F.col("last_price").cast("double").alias("last_price"), F.col("triggered_count").cast("int").alias("triggered_count"))
+        state.write.mode("overwrite").parquet(f"{path}/state/{batch_id % 2}")
 
     return _run(ticks, checkpoint, check, every)
 
 
 def notify_once(triggers: DataFrame, horizon: str | None = None, ts: str = "ts", key: str = "alert_id") -> DataFrame:
-    """First trigger of every alert: for good, or only within ``horizon`` so that state can expire."""
-    if horizon is None:
-        return triggers.dropDuplicates([key])
-    return triggers.withWatermark(ts, horizon).dropDuplicatesWithinWatermark([key])
+    """The earliest trigger of every alert: for good on a table, or within ``horizon`` on a stream, whose state then expires."""
+    if triggers.isStreaming:
+        return first_triggers(triggers, horizon or "1 day", ts=ts, key=key)
+    return top_k(triggers, key, [ts, *[c for c in triggers.columns if c not in (ts, key)]], 1)
 
 
 def parse_payments(raw: DataFrame, body: str = "body", ts: str = "ts") -> DataFrame:
@@ -76,18 +96,17 @@ def parse_payments(raw: DataFrame, body: str = "body", ts: str = "ts") -> DataFr
 def payment_stream(
     events: DataFrame, bookings: DataFrame, path: str, checkpoint: str, every: str | None = "1 minute"
 ) -> StreamingQuery:
-    """Settles each unpaid booking once, with the first captured payment of its order."""
+    """Settles each unpaid booking once, with the first captured payment of its order: its new version, PAID, goes to ``path``.
+
+    Which orders are settled is keyed state of the stream (``state.first_payments``), so a batch costs what it brings and
+    nothing that was written before is read again.
+    """
 
     def settle(batch: DataFrame, batch_id: int) -> None:
-        settled = match_payments(batch, bookings)
-        earlier = latest_batches(batch.sparkSession, path)
-        if earlier is not None:
-            done = earlier.filter(F.col("batch_id") < batch_id).select("order_id").distinct()
-            settled = settled.join(done, "order_id", "left_anti")
-        _write_batch(settled, path, batch_id)
+        settled = match_payments(batch.withColumn("event", F.lit("payment.captured")), bookings)
+        _write_batch(settled.withColumns({"payment_status": F.lit("PAID"), "paid_at": F.col("paid_at")}), path, batch_id)
 
-    captured = events.filter(F.col("event").isin("payment.captured", "order.paid"))
-    return _run(captured, checkpoint, settle, every)
+    return _run(first_payments(events), checkpoint, settle, every, "update")
 
 
 def retry_state(outcomes: DataFrame) -> DataFrame:
@@ -115,15 +134,18 @@ def retry_queue(queue: DataFrame, state: DataFrame) -> DataFrame:
 def retry_stream(
     outcomes: DataFrame, queue: DataFrame, path: str, checkpoint: str, every: str | None = "1 minute"
 ) -> StreamingQuery:
-    """Writes the new state of every notification touched by a batch; state is kept by the aggregate."""
-    state = retry_state(outcomes)
+    """Writes a new version of every notification touched by a batch; counts are forgotten some time after the last outcome."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         touched = queue.join(batch.select(F.col("notification_id").alias("id")), "id", "left_semi")
         _write_batch(retry_queue(touched, batch), path, batch_id)
 
-    writer = state.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
-    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+    return _run(delivery_state(outcomes), checkpoint, write, every, "update")
+
+
+def latest_versions(written: DataFrame, key: str = "id") -> DataFrame:
+    """The newest version of every row that a job wrote, by batch."""
+    return top_k(written, key, [F.desc("batch_id")], 1)
 
 
 def challenge_results(attempts: DataFrame, max_attempts: int = 5) -> DataFrame:
@@ -206,10 +228,12 @@ def fare_ingest_stream(
 
 
 def alert_expiry_stream(
-    alerts: DataFrame, as_of, path: str, checkpoint: str, every: str | None = None
+    alerts: DataFrame, path: str, checkpoint: str, every: str | None = None, lateness: str = "0 seconds", ts: str = "created_at"
 ) -> StreamingQuery:
-    """Periodic expiry over newly arrived alert rows; stops when all available rows are handled."""
-    return _run(alerts, checkpoint, lambda b, i: _write_batch(expire_alerts(b, as_of), path, i), every)
+    """Writes (id, expired_at) when an alert ends. Event time runs with the versions of alerts that arrive, by ``ts``; every alert has
+    its own timer, so one that is alive when it is read expires later.
+    """
+    return _run(expiries(alerts, lateness, ts), checkpoint, lambda b, i: _write_batch(b, path, i), every, "update")
 
 
 def windowed_fares(
