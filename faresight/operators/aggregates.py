@@ -16,8 +16,9 @@ def market_snapshot(
     fares: DataFrame,
     keys: Sequence[str] = (*ROUTE, "departure_date", "cabin_class"),
     listing: str | Sequence[str] = "airline_code",
+    seats: str | None = None,
 ) -> DataFrame:
-    """Low, high and current fare per key; the primary airline is the one listed first.
+    """Low, high and current fare per key, and the fewest ``seats`` if asked for; the primary airline is the one listed first.
 
     A lowest text has no fixed width, so Spark aggregates it by sorting. Callers that only need the
     fares drop ``airline`` and the plan becomes a hash aggregate.
@@ -30,6 +31,7 @@ def market_snapshot(
         if names(listing) != ["airline_code"]
         else F.min("airline_code").alias("airline"),
         F.count(F.lit(1)).alias("fares"),
+        *([F.min(seats).alias(seats)] if seats else []),
     )
 
 

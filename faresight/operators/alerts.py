@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..columns import col, non_blank
 from ..functions.dates import days_until
 from ..functions.pricing import ALERT_BASE, alert_fare
-from .joins import bounded, lookup_default
-from .ordered import running
+from ..functions.text import alert_text
+from .joins import lookup_default
+from .ordered import row_index, running
 
 CHANNELS = ("EMAIL", "SMS", "WHATSAPP")
 
@@ -21,34 +22,39 @@ def price_alerts_now(alerts: DataFrame, base_fares: DataFrame, as_of) -> DataFra
     ``base_fares`` holds one ``base`` per route.
     """
     has_route = non_blank("origin_code").isNotNull() & non_blank("destination_code").isNotNull()
-    with_base = lookup_default(alerts, bounded(base_fares), ["origin_code", "destination_code"], {"base": ALERT_BASE})
+    with_base = lookup_default(alerts, base_fares, ["origin_code", "destination_code"], {"base": ALERT_BASE})
     days = days_until("departure_date", as_of, default=30)
     return with_base.withColumn("current_price", F.when(has_route, alert_fare("base", days))).drop("base")
 
 
-def evaluate_alerts(priced: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(updated alerts, triggers) for active alerts carrying ``current_price``."""
+def check_alerts(priced: DataFrame) -> DataFrame:
+    """Alerts carrying ``current_price`` after their check, in one pass: ``last_price`` and ``triggered_count`` as updated,
+    ``is_triggered`` and the ``savings`` against the target.
+    """
     met = F.coalesce(F.col("is_active") & (F.col("current_price") <= F.col("target_price").cast("double")), F.lit(False))
     count = F.coalesce(F.col("triggered_count"), F.lit(0))
     before = F.col("last_price").cast("double") if "last_price" in priced.columns else F.lit(None).cast("double")
-    checked = priced.withColumn("is_met", met)
-    updated = checked.withColumns(
+    return priced.withColumns(
         {
+            "is_triggered": met,
             "last_price": F.coalesce(F.when(F.col("is_active"), F.col("current_price")), before),
-            "triggered_count": F.when(F.col("is_met"), count + 1).otherwise(count),
+            "triggered_count": F.when(met, count + 1).otherwise(count),
+            "savings": F.when(met, F.col("target_price").cast("double") - F.col("current_price")),
         }
-    ).drop("is_met", "current_price")
-    savings = F.col("target_price").cast("double") - F.col("current_price")
-    triggers = checked.filter("is_met").withColumn("savings", savings).drop("is_met")
-    return updated, triggers
+    )
+
+
+def evaluate_alerts(priced: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(updated alerts, triggers): the two parts of ``check_alerts``, for writers that store them apart."""
+    checked = check_alerts(priced)
+    return checked.drop("is_triggered", "current_price", "savings"), checked.filter("is_triggered").drop("is_triggered")
 
 
 def lowest_seen(
-    observations: DataFrame, order: Sequence[str], chunk: Column, keys: str | Sequence[str] = "alert_id",
-    price: str = "price",
+    observations: DataFrame, order: Sequence[str], keys: str | Sequence[str] = "alert_id", price: str = "price"
 ) -> DataFrame:
     """Running minimum fare per alert (or any other key)."""
-    return running(observations, keys, order, chunk, {"lowest_seen": ("min", price)})
+    return running(observations, keys, order, {"lowest_seen": ("min", price)})
 
 
 def _open_channels(email: str, phone: str) -> list[Column]:
@@ -75,5 +81,19 @@ def notify_channels(df: DataFrame, email: str = "contact_email", phone: str = "c
     return rows.select("*", F.col("_c.channel").alias("channel"), F.col("_c.recipient").alias("recipient")).drop("_c")
 
 
+def alert_messages(checked: DataFrame, profiles: DataFrame) -> DataFrame:
+    """One message per triggered alert whose customer can be reached, on the first usable channel.
+
+    (alert_id, user_id, channel, recipient, name, message, savings)
+    """
+    people = profiles.select(F.col("id").alias("user_id"), "full_name", "email", "phone", "notify_email", "notify_sms", "notify_whatsapp")
+    due = route_channel(checked.filter("is_triggered").join(people, "user_id")).filter(F.col("channel").isNotNull())
+    return due.select(
+        F.col("id").alias("alert_id"), "user_id", "channel", "recipient", F.coalesce("full_name", F.lit("Traveller")).alias("name"),
+        alert_text("origin_code", "destination_code", "current_price", "target_price").alias("message"), "savings",
+    )
+
+
 def alerts_by_departure(alerts: DataFrame) -> DataFrame:
-    return alerts.filter("is_active").orderBy("user_id", "departure_date", "id")
+    """Active alerts with their 1-based ``position`` by departure among those of the same customer."""
+    return row_index(alerts.filter("is_active"), "user_id", ["departure_date", "id"], out="position")

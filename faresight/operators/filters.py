@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..columns import as_date, as_ts, clip, col
-from .ordered import top_k
+from .ordered import row_index, top_k
 
 # Hour ranges of the time-of-day filter, lower bound included, upper excluded.
 DAY_PARTS = {"NIGHT": (0, 6), "MORNING": (6, 12), "AFTERNOON": (12, 18), "EVENING": (18, 24)}
@@ -17,11 +17,15 @@ def active_alerts(alerts: DataFrame) -> DataFrame:
     return alerts.filter("is_active")
 
 
+def in_price_bounds(price: str | Column = "price", low: float = 800, high: float = 60000, inclusive: bool = True) -> Column:
+    p = col(price)
+    return p.between(low, high) if inclusive else (p > low) & (p < high)
+
+
 def within_price_bounds(
     df: DataFrame, low: float = 800, high: float = 60000, inclusive: bool = True, price: str = "price"
 ) -> DataFrame:
-    p = F.col(price)
-    return df.filter(p.between(low, high) if inclusive else (p > low) & (p < high))
+    return df.filter(in_price_bounds(price, low, high, inclusive))
 
 
 def departures_on(
@@ -41,20 +45,21 @@ def departures_on(
 
 
 def departures_for(
-    flights: DataFrame, searches: DataFrame, status: str = "SCHEDULED", limit: int = 20,
+    flights: DataFrame, searches: DataFrame, status: str = "SCHEDULED", limit: int | None = 20,
     order: Sequence[str] = ("departure_time", "id"),
 ) -> DataFrame:
-    """The same for a whole table of searches (origin_code, destination_code, departure_date).
+    """The same for a whole table of searches (origin_code, destination_code, departure_date), with the ``position`` of each flight.
 
-    Flights are cut to the first ones of each route and day before they meet the searches, so that a
-    crowded day never travels whole.
+    Only flights that some search wants are ranked. With a limit each route and day is cut before the shuffle, so a crowded
+    day never travels whole; None returns all of them, numbered by ranges.
     """
     route = ["origin_code", "destination_code", "departure_date"]
     wanted = searches.select(*route).distinct()
     offered = flights.filter(F.col("status") == status).withColumn(
         "departure_date", F.col("departure_time").cast("date")
     )
-    return top_k(offered, route, list(order), limit, rank="position").join(wanted, route, "left_semi")
+    met = offered.join(wanted, route, "left_semi")
+    return row_index(met, route, list(order), out="position") if limit is None else top_k(met, route, list(order), limit, rank="position")
 
 
 def is_live_alert(as_of) -> Column:
@@ -73,13 +78,14 @@ def expire_alerts(alerts: DataFrame, as_of) -> DataFrame:
     return alerts.withColumn("is_active", F.when(ended, False).otherwise(F.col("is_active")))
 
 
-def pending_notifications(queue: DataFrame, as_of, limit: int = 200) -> DataFrame:
+def pending_notifications(queue: DataFrame, as_of, limit: int | None = 200) -> DataFrame:
+    """Due notifications, the longest waiting first; a run takes ``limit`` of them, None takes all."""
     due = queue.filter(
         (F.col("status") == "PENDING")
         & (F.col("scheduled_at") <= as_ts(as_of))
         & (F.col("retry_count") < F.col("max_retries"))
     )
-    return due.orderBy("scheduled_at", "id").limit(limit)
+    return due if limit is None else due.orderBy("scheduled_at", "id").limit(limit)
 
 
 def day_part(hour: str | Column) -> Column:
@@ -91,11 +97,11 @@ def day_part(hour: str | Column) -> Column:
     return out
 
 
-def time_of_day(offers: DataFrame, bucket: str = "ALL", departure: str = "departure_time") -> DataFrame:
-    """Offers leaving in one part of the day; ``ALL`` keeps every offer, even one without a time."""
-    if bucket == "ALL":
+def time_of_day(offers: DataFrame, *buckets: str, departure: str = "departure_time") -> DataFrame:
+    """Offers leaving in the given parts of the day, in one pass; ``ALL`` or none keeps every offer, even one without a time."""
+    if not buckets or "ALL" in buckets:
         return offers
-    return offers.filter(day_part(F.hour(F.col(departure))) == bucket)
+    return offers.filter(day_part(F.hour(F.col(departure))).isin(list(buckets)))
 
 
 def alert_records(alerts: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Join operators. Sides are hinted for broadcast only after their size was counted.
+"""Join operators. No side is hinted for broadcast, and none is counted to find out.
 
 Equi joins are left to adaptive execution: it broadcasts a side that turns out small and splits the
 partitions of a hot key. Sides that only need one row per key are aggregated before the join.
@@ -14,11 +14,6 @@ from ..columns import as_date, names
 from .ordered import top_k
 
 
-def bounded(dim: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast hint for a dimension counted to be at most ``max_rows``; beyond that a plain shuffle join."""
-    return F.broadcast(dim) if dim.limit(max_rows + 1).count() <= max_rows else dim
-
-
 def visible_rows(df: DataFrame, owners: DataFrame, owner_col: str = "user_id", owner_key: str = "id") -> DataFrame:
     """Rows owned by one of ``owners`` (profiles already restricted to the caller's identities)."""
     return df.join(owners.select(F.col(owner_key).alias(owner_col)), owner_col, "left_semi")
@@ -75,11 +70,17 @@ def lookup_default(
     )
 
 
-def supported_routes(requests: DataFrame, routes: DataFrame, keys: Sequence[str] = ("origin", "destination")) -> tuple:
-    """(known, unknown) requests by route."""
+def known_routes(requests: DataFrame, routes: DataFrame, keys: Sequence[str] = ("origin", "destination"), out: str = "is_known") -> DataFrame:
+    """All requests, flagged by whether their route is flown; one pass over either table."""
     k = list(keys)
     known = routes.select(F.col("origin_code").alias(k[0]), F.col("destination_code").alias(k[1])).distinct()
-    return requests.join(known, k, "left_semi"), requests.join(known, k, "left_anti")
+    return requests.join(known.withColumn(out, F.lit(True)), k, "left").withColumn(out, F.coalesce(F.col(out), F.lit(False)))
+
+
+def supported_routes(requests: DataFrame, routes: DataFrame, keys: Sequence[str] = ("origin", "destination")) -> tuple:
+    """(known, unknown) requests by route."""
+    flagged = known_routes(requests, routes, keys, "_known")
+    return flagged.filter("_known").drop("_known"), flagged.filter("not _known").drop("_known")
 
 
 def lowest_fares(fares: DataFrame, keys: Sequence[str]) -> DataFrame:

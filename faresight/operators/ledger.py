@@ -10,7 +10,7 @@ from ..columns import as_ts, col, non_blank
 from ..functions import text
 from .aggregates import loyalty_totals
 from .filters import visible_coupons
-from .ordered import day_chunk, row_index, running, top_k
+from .ordered import row_index, running, top_k
 
 # Lifetime spend from which a tier holds.
 TIERS = [("PLATINUM", 500000), ("GOLD", 150000), ("SILVER", 50000)]
@@ -55,7 +55,7 @@ def award_loyalty(old: DataFrame, new: DataFrame, profiles: DataFrame) -> DataFr
 def tier_progress(bookings: DataFrame, paid_at: str = "created_at") -> DataFrame:
     """Running spend of each customer over paid bookings, and the tier after each."""
     paid = bookings.filter((F.col("payment_status") == "PAID") & F.col("user_id").isNotNull())
-    out = running(paid, "user_id", [paid_at, "id"], day_chunk(paid_at), {"running_spend": ("sum", "total_price")})
+    out = running(paid, "user_id", [paid_at, "id"], {"running_spend": ("sum", "total_price")})
     return out.withColumn("tier", tier_of("running_spend"))
 
 
@@ -152,22 +152,22 @@ def apply_coupon(bookings: DataFrame, coupons: DataFrame, as_of, order: str = "c
 
     A use counts when the coupon is valid and the booking large enough. A customer's uses are
     numbered first; those within the customer's limit are then numbered per coupon, and the ones
-    beyond the remaining total get no discount. Both numberings are chunked by day.
+    beyond the remaining total get no discount. Bookings without a customer have no customer's limit to share.
     """
     valid = visible_coupons(coupons, as_of).select(
         F.col("code").alias("coupon_code"), "discount_type", "discount_value", "max_discount", "min_booking_amt",
         "usage_limit", "used_count", "per_user_limit",
     )
     asked = bookings.filter(F.col("coupon_code").isNotNull()).select(
-        "id", "coupon_code", F.coalesce(F.col("user_id").cast("string"), F.lit("")).alias("_user"), "total_price",
+        "id", "coupon_code", F.coalesce(F.concat(F.lit("u"), F.col("user_id").cast("string")), F.concat(F.lit("b"), F.col("id").cast("string"))).alias("_user"), "total_price",
         order,
     )
     fits = asked.join(valid, "coupon_code").filter(
         F.col("total_price") >= F.coalesce(F.col("min_booking_amt"), F.lit(0))
     )
-    by_user = row_index(fits, ["coupon_code", "_user"], [order, "id"], day_chunk(order), out="user_use")
+    by_user = row_index(fits, ["coupon_code", "_user"], [order, "id"], out="user_use")
     within = by_user.filter(F.col("per_user_limit").isNull() | (F.col("user_use") <= F.col("per_user_limit")))
-    placed = row_index(within, "coupon_code", [order, "id"], day_chunk(order), out="coupon_use")
+    placed = row_index(within, "coupon_code", [order, "id"], out="coupon_use")
     left = F.col("usage_limit") - F.coalesce(F.col("used_count"), F.lit(0))
     granted = placed.filter(F.col("usage_limit").isNull() | (F.col("coupon_use") <= left))
 

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..columns import as_date, as_ts, names
+from .ordered import top_k
 
 
 def upsert(
@@ -48,9 +49,11 @@ def upsert(
 
 
 def insert_missing(base: DataFrame, new: DataFrame, keys: str | Sequence[str]) -> DataFrame:
-    """Adds the new rows whose key the base lacks, one per key; existing rows stay as they are."""
+    """Adds the new rows whose key the base lacks, one per key, the least by its other columns; existing rows stay as they are."""
     k = names(keys)
-    missing = new.select(*base.columns).join(base.select(*k), k, "left_anti").dropDuplicates(k)
+    missing = new.select(*base.columns).join(base.select(*k), k, "left_anti")
+    rest = [c for c, kind in base.dtypes if c not in k and not kind.startswith(("map", "variant"))]
+    missing = top_k(missing, k, rest or k, 1)
     return base.unionByName(missing.select(*base.columns))
 
 

@@ -18,9 +18,17 @@ def reasons(rules: Rules) -> Column:
     return F.array_compact(F.array(*broken))
 
 
+def check(df: DataFrame, rules: Rules, out: str = "reject_reasons") -> DataFrame:
+    """All rows with the names of the rules they break, in one pass; valid rows have none."""
+    return df.withColumn(out, reasons(rules))
+
+
 def validate(df: DataFrame, rules: Rules, out: str = "reject_reasons") -> tuple[DataFrame, DataFrame]:
-    """(valid, rejects): together they are the input; rejects keep the names of the broken rules."""
-    flagged = df.withColumn(out, reasons(rules))
+    """(valid, rejects): together they are the input; rejects keep the names of the broken rules.
+
+    Both parts read the input. A caller that needs them together takes ``check``.
+    """
+    flagged = check(df, rules, out)
     return flagged.filter(F.size(out) == 0).drop(out), flagged.filter(F.size(out) > 0)
 
 
@@ -91,8 +99,12 @@ def passenger_rules() -> dict[str, Column]:
     return {"first_name": present_rule("first_name"), "last_name": present_rule("last_name")}
 
 
+def allowed_rules(column: str, allowed: Iterable[str]) -> dict[str, Column]:
+    return {column: F.col(column).isin(list(allowed))}
+
+
 def allowed_values(df: DataFrame, column: str, allowed: Iterable[str]) -> tuple[DataFrame, DataFrame]:
-    return validate(df, {column: F.col(column).isin(list(allowed))})
+    return validate(df, allowed_rules(column, allowed))
 
 
 def coalesce_aliases(df: DataFrame, aliases: Mapping[str, Iterable[str]]) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .filters import live_alerts, pending_notifications
-from .joins import bounded
 
 _BOOKING_COLUMNS = (
     "id booking_reference pnr status payment_status total_price base_fare taxes discount_amount currency cabin_class "
@@ -39,7 +38,7 @@ def _airport(airports: DataFrame, role: str, key: str, columns: dict[str, str])
     side = airports.select(
         F.col("iata_code").alias(key), *[F.col(c).alias(f"{role}_{out}") for c, out in columns.items()]
     )
-    return bounded(side)
+    return side
 
 
 def active_alert_details(alerts: DataFrame, profiles: DataFrame, airports: DataFrame, as_of) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import dates, pricing
 from ..functions.text import norm_code
 from ..operators.aggregates import market_snapshot
-from ..operators.joins import supported_routes
 from ..operators.quality import request_rules, validate
 from ..operators.signals import intelligence
 from .model import FareModel, current_fare_table, forecast_fares, predict_fares
@@ -16,7 +15,11 @@ REQUEST = ["request_id"]
 
 
 def request_snapshots(requests: DataFrame, fares: DataFrame, routes: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
-    """(snapshots, rejects) for a table of requests (request_id, origin, destination, departure_date text)."""
+    """(snapshots, rejects) for a table of requests (request_id, origin, destination, departure_date text).
+
+    A request is rejected for its text, for a route that is not flown (``unsupported_route``), or for a route that is flown
+    but has no usable fare (``no_fare``); none is lost.
+    """
     valid, rejects = validate(requests, request_rules())
     asked = valid.withColumns(
         {
@@ -25,18 +28,15 @@ def request_snapshots(requests: DataFrame, fares: DataFrame, routes: DataFrame,
             "departure_date": dates.parse_date_default("departure_date", as_of),
         }
     )
-    known, unknown = supported_routes(asked, routes)
-    unknown = unknown.withColumn("departure_date", F.col("departure_date").cast("string")).withColumn(
-        "reject_reasons", F.array(F.lit("unsupported_route"))
-    )
-    market = market_snapshot(fares, ["origin_code", "destination_code"])
-    seats = fares.groupBy("origin_code", "destination_code").agg(F.min("seats_available").alias("seats_available"))
-    snapshots = (
-        known.withColumnsRenamed({"origin": "origin_code", "destination": "destination_code"})
-        .join(market, ["origin_code", "destination_code"])
-        .join(seats, ["origin_code", "destination_code"])
-        .withColumnRenamed("airline", "airline_code")
-    )
+    flown = routes.select(F.col("origin_code").alias("origin"), F.col("destination_code").alias("destination"), F.lit(True).alias("is_flown")).distinct()
+    market = market_snapshot(fares, ["origin_code", "destination_code"], seats="seats_available")
+    market = market.withColumnsRenamed({"origin_code": "origin", "destination_code": "destination"})
+    met = asked.join(flown, ["origin", "destination"], "left").join(market, ["origin", "destination"], "left")
+    lost = met.filter(F.col("current_price").isNull())
+    reason = F.when(F.col("is_flown"), "no_fare").otherwise("unsupported_route")
+    unknown = lost.withColumns({"departure_date": F.col("departure_date").cast("string"), "reject_reasons": F.array(reason)})
+    snapshots = met.filter(F.col("current_price").isNotNull()).drop("is_flown")
+    snapshots = snapshots.withColumnsRenamed({"origin": "origin_code", "destination": "destination_code", "airline": "airline_code"})
     snapshots = snapshots.withColumn("days_until_departure", dates.days_until("departure_date", as_of)).withColumns(
         {
             "demand_score": pricing.demand_score("days_until_departure", "departure_date", "seats_available"),

@@ -15,10 +15,11 @@ from ..functions import dates
 from ..functions.text import hash_bucket_estimate, hash_percent, norm_code
 from ..operators.aggregates import ROUTE, regression_metrics
 from ..operators.filters import mask_unobserved, within_price_bounds
-from ..operators.joins import bounded, day_grid
-from ..operators.ordered import day_chunk, lag_values, prefix_chunk, row_index
+from ..operators.joins import day_grid
+from ..operators.observations import record_fares
+from ..operators.ordered import lag_values, row_index
 from ..operators.quality import fill_defaults
-from ..session import ensure_checkpoint_dir
+from ..session import work_dir
 from ..sources.tables import fare_history, require_rows
 
 # Model inputs in order, their defaults, and the encoded ones.
@@ -39,15 +40,9 @@ def price_changes(
     order: Sequence[str],
     keys: str | Sequence[str] = ROUTE,
     lags: Sequence[int] = (1, 3),
-    chunk: Column | None = None,
-    max_rows: int | None = None,
 ) -> DataFrame:
-    """Adds ``price_change_{n}d``: price minus the price n rows earlier of the same key, 0 at the start.
-
-    ``chunk`` cuts hot keys and defaults to the day of the first order column.
-    """
-    cut = day_chunk(order[0]) if chunk is None else chunk
-    lagged = lag_values(df, keys, order, "price", lags, cut, max_rows)
+    """Adds ``price_change_{n}d``: price minus the price n rows earlier of the same key, 0 at the start."""
+    lagged = lag_values(df, keys, order, "price", lags)
     change = {
         f"price_change_{n}d": F.coalesce(F.col("price") - F.col(f"price_lag_{n}"), F.lit(0.0)) for n in lags
     }
@@ -56,28 +51,26 @@ def price_changes(
 
 def label_index(df: DataFrame, column: str) -> DataFrame:
     """Dictionary of a text column: sorted distinct upper-cased values numbered from 1."""
-    distinct = df.select(F.upper(F.col(column).cast("string")).alias("value")).distinct()
-    distinct = distinct.filter(F.col("value").isNotNull())
-    return row_index(distinct, [], ["value"], prefix_chunk("value"), out="label")
+    return fit_encoders(df, [column]).drop("column")
 
 
 def fit_encoders(df: DataFrame, columns: Sequence[str] = CATEGORIES) -> DataFrame:
-    """Dictionaries of several columns in one table (column, value, label)."""
-    out = None
-    for c in columns:
-        part = label_index(df, c).select(F.lit(c).alias("column"), "value", F.col("label").cast("int").alias("label"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Dictionaries of several columns in one table (column, value, label), made in one pass over ``df``.
+
+    Values are numbered within their column by ranges of (column, value), so no task gathers a dictionary.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.upper(F.col(c).cast("string")).alias("value")) for c in columns]))
+    values = df.select(each.alias("_e")).select("_e.column", "_e.value").filter(F.col("value").isNotNull()).distinct()
+    return row_index(values, "column", ["value"], out="label").withColumn("label", F.col("label").cast("int"))
 
 
 def apply_encoders(
-    df: DataFrame, encoders: DataFrame, columns: Sequence[str] = CATEGORIES, checked: bool = True
+    df: DataFrame, encoders: DataFrame, columns: Sequence[str] = CATEGORIES
 ) -> DataFrame:
-    """Replaces text by its label, unseen text by 0. A dictionary is broadcast only if counted small."""
+    """Replaces text by its label, unseen text by 0. Adaptive execution broadcasts a dictionary that turns out small."""
     out = df
     for c in columns:
-        part = encoders.filter(F.col("column") == c).select(F.col("value").alias(f"_{c}"), F.col("label").alias("_label"))
-        side = bounded(part) if checked else part
+        side = encoders.filter(F.col("column") == c).select(F.col("value").alias(f"_{c}"), F.col("label").cast("int").alias("_label"))
         out = (
             out.withColumn(f"_{c}", F.upper(F.col(c).cast("string")))
             .join(side, f"_{c}", "left")
@@ -103,11 +96,14 @@ def fare_features(
 ) -> DataFrame:
     """The 16 features, the price and the weight, before category encoding. ``keep`` passes row keys on.
 
-    Lag features follow row order within the key; routes with a large share of the history are cut
-    by day so that they are spread over many tasks.
+    Calendar, season and demand come from the departure and the time of record where the table does not hold them, so
+    that training sees what scoring does. Lag features follow row order within the key; a route with a large share of
+    the history is spread over many tasks.
     """
     df = history.withColumn("price", F.col("price").cast("double"))
     df = fare_history(df)
+    if "departure_date" in df.columns and "recorded_at" in df.columns:
+        df = record_fares(df)
     df = df.withColumns({c: F.coalesce(norm_code(c), F.lit("UNKNOWN")) if c in df.columns else F.lit("UNKNOWN") for c in CATEGORIES})
     days = dates.days_until("departure_date", as_of) if "departure_date" in df.columns else F.lit(7)
     live = F.coalesce(F.col("is_live"), F.lit(False)) if "is_live" in df.columns else F.lit(False)
@@ -120,10 +116,15 @@ def fare_features(
     return within_price_bounds(df, inclusive=False).select(*extra, *FEATURES, "price", "weight")
 
 
+def is_test(keys: Sequence[str], test_share: int = 20, seed: int = 42) -> Column:
+    """Whether a row is kept out of training, by a hash of its key: the same row always falls on the same side."""
+    return hash_percent(*keys, seed=seed) < test_share
+
+
 def split(df: DataFrame, keys: Sequence[str], test_share: int = 20, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(train, test) by a hash of the row key: the same row always falls on the same side."""
-    bucket = hash_percent(*keys, seed=seed)
-    return df.filter(bucket >= test_share), df.filter(bucket < test_share)
+    """(train, test) by ``is_test``. Both parts read ``df``, so it should be stored."""
+    test = is_test(keys, test_share, seed)
+    return df.filter(~test), df.filter(test)
 
 
 @dataclass
@@ -155,29 +156,39 @@ def _vector(df: DataFrame) -> DataFrame:
     return assembler.transform(df)
 
 
-#: The full-size setting of ``train_fare_model``.
-FULL = {"rounds": 900, "depth": 9}
+#: Most rounds and depth of the trees.
+ROUNDS, DEPTH = 900, 9
+#: Boosting ends with the first round that lowers the loss on the validation rows by less than this share of it.
+TOLERANCE = 0.002
+#: Per cent of the training rows that only decide when to stop.
+VALIDATION = 10
 
 
 def train_fare_model(
     features: DataFrame,
     row_keys: Sequence[str],
-    rounds: int = 40,
-    depth: int = 6,
+    rounds: int = ROUNDS,
+    depth: int = DEPTH,
     rate: float = 0.04,
     min_rows: int = 200,
     seed: int = 42,
+    tolerance: float = TOLERANCE,
 ) -> FareModel | None:
     """Boosted trees on the training share, measured on the rest; None with too few rows.
 
-    The full-size setting is ``FULL``; the defaults are smaller.
+    Up to ``rounds`` rounds, stopped by the loss on ``VALIDATION`` per cent of the training rows, which are chosen by another
+    hash of the row key and build no trees. The rows kept out for the metrics take no part in that. ``features`` are read
+    many times, so they should be stored.
     """
     spark = features.sparkSession
     if not require_rows(features, min_rows):
         return None
-    ensure_checkpoint_dir(spark)
-    encoders = fit_encoders(features).persist()
+    encoders = fit_encoders(features)
+    path = work_dir(spark, "encoders")
+    encoders.write.parquet(path)
+    encoders = spark.read.schema(encoders.schema).parquet(path)
     train, test = split(apply_encoders(features, encoders), row_keys, seed=seed)
+    train = train.withColumn("validates", hash_percent(*row_keys, seed=seed + 1) < VALIDATION)
     learner = GBTRegressor(
         labelCol="price",
         weightCol="weight",
@@ -188,13 +199,12 @@ def train_fare_model(
         subsamplingRate=0.9,
         featureSubsetStrategy="0.9",
         seed=seed,
-        cacheNodeIds=True,
-        checkpointInterval=10,
+        validationIndicatorCol="validates",
+        validationTol=tolerance,
     )
     trees = learner.fit(_vector(train))
-    scored = trees.transform(_vector(test))
-    row = regression_metrics(scored).withColumn("estimators", F.lit(rounds)).first()
-    return FareModel(trees, encoders, row.asDict() if row else {})
+    row = regression_metrics(trees.transform(_vector(test))).first()
+    return FareModel(trees, encoders, (row.asDict() if row else {}) | {"estimators": trees.getNumTrees})
 
 
 def held_out_metrics(features: DataFrame, model: FareModel, row_keys: Sequence[str], seed: int = 42) -> DataFrame:
@@ -275,20 +285,21 @@ def forecast_fares(snapshots: DataFrame, model: FareModel, as_of, days: int = 30
 
 def fallback_forecast(bases: DataFrame, as_of, base: str = "base_price", trend: str = "trend", days: int = 30) -> DataFrame:
     """Deterministic forecast from a base fare (5000 where there is none) and a trend, with a weekly wave."""
+    return day_grid(bases, days).withColumns(_fallback_point(F.col("day"), as_of, base, trend))
+
+
+def _fallback_point(day: Column, as_of, base: str = "base_price", trend: str = "trend") -> dict[str, Column]:
     slope = F.when(F.col(trend) == "RISING", 0.006).when(F.col(trend) == "FALLING", -0.004).otherwise(0.001)
     b = F.coalesce(F.nullif(F.col(base), F.lit(0.0)), F.lit(5000.0))
-    step = F.col("day") - 1
+    step = day - 1
     wave = b * 0.025 * F.sin(2 * F.pi() * (step + 3) / 7)
     fare = F.greatest(F.lit(800.0), b + b * slope * step + wave)
-    grid = day_grid(bases, days).withColumn("_fare", fare)
-    return grid.withColumns(
-        {
-            "date": F.date_add(as_date(as_of), F.col("day")),
-            "price": half_up(F.col("_fare")).cast("double"),
-            "lower": half_up(F.col("_fare") - b * 0.04).cast("double"),
-            "upper": half_up(F.col("_fare") + b * 0.04).cast("double"),
-        }
-    ).drop("_fare")
+    return {
+        "date": F.date_add(as_date(as_of), day),
+        "price": half_up(fare).cast("double"),
+        "lower": half_up(fare - b * 0.04).cast("double"),
+        "upper": half_up(fare + b * 0.04).cast("double"),
+    }
 
 
 def complete_forecast(
@@ -296,18 +307,22 @@ def complete_forecast(
 ) -> DataFrame:
     """Delivered forecasts with enough points, and the fallback for every other base (keys, base_price, trend)."""
     k = [keys] if isinstance(keys, str) else list(keys)
-    enough = forecast.groupBy(*k).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_points).select(*k)
-    shape = [*k, "day", "date", "price", "lower", "upper"]
-    given = forecast.join(enough, k, "left_semi").select(*shape)
-    made = fallback_forecast(bases.join(enough, k, "left_anti"), as_of).select(*shape)
-    return given.unionByName(made)
+    point = ["day", "date", "price", "lower", "upper"]
+    # A forecast is one short list per route, so each table is read once and a route is decided in its own row.
+    listed = forecast.groupBy(*k).agg(F.collect_list(F.struct(F.col("day").cast("int").alias("day"), *point[1:])).alias("_given"))
+    listed = listed.filter(F.size("_given") >= min_points)
+    both = bases.withColumn("_base", F.lit(True)).join(listed, k, "full")
+    made = F.transform(F.sequence(F.lit(1), F.lit(30)), lambda day: F.struct(day.alias("day"), *[c.alias(n) for n, c in _fallback_point(day, as_of).items()]))
+    rows = F.when(F.col("_given").isNotNull(), F.col("_given")).when(F.col("_base"), made)
+    return both.select(*k, F.inline(rows)).select(*k, *point)
+
+
+def current_fares(df: DataFrame, predicted: str = "predicted") -> DataFrame:
+    """Rows whose current price is the model's, where the model gave one."""
+    return df.withColumn("current_price", F.coalesce(predicted, "current_price")).drop(predicted)
 
 
 def current_fare_table(snapshots: DataFrame, predicted: DataFrame, keys: str | Sequence[str] = ROUTE) -> DataFrame:
     """Snapshots whose current price is the model's, where the model gave one."""
     k = [keys] if isinstance(keys, str) else list(keys)
-    return (
-        snapshots.join(predicted.select(*k, "predicted"), k, "left")
-        .withColumn("current_price", F.coalesce("predicted", "current_price"))
-        .drop("predicted")
-    )
+    return current_fares(snapshots.join(predicted.select(*k, "predicted"), k, "left"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, nested, pricing, text
-from ..operators import aggregates as agg, alerts as alerting, ledger, offers as search, ordered
+from ..operators import aggregates as agg, alerts as alerting, ledger, offers as search
 from ..sources import star
 from . import model
 
@@ -76,7 +76,7 @@ def first_last_change(spark, sf):
 )
 def lowest_seen(spark, sf):
     seen = star.bounded_history(spark, sf).select(*ROUTE, *star.ORDER, "price")
-    out = alerting.lowest_seen(seen, star.ORDER, ordered.day_chunk("recorded_at"), keys=ROUTE)
+    out = alerting.lowest_seen(seen, star.ORDER, keys=ROUTE)
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "departure_date", "lowest_seen")
 
 
@@ -162,7 +162,7 @@ def tier_progress(spark, sf):
 def downsample_series(spark, sf):
     series = star.bounded_history(spark, sf).select(*ROUTE, *star.ORDER)
     one = F.struct(*star.ORDER).alias("at")
-    out = search.downsample_series(series.withColumn("at", one), 7, ordered.day_chunk("recorded_at"), order="at")
+    out = search.downsample_series(series.withColumn("at", one), 7, order="at")
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "departure_date", "position")
 
 

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import nested
-from ..functions.text import duration_minutes
-from ..operators import aggregates as agg, filters, joins, ledger, merges, offers as search, ordered, quality, views
+from ..operators import aggregates as agg, alerts as alerting, filters, joins, ledger, merges, offers as search, ordered, quality, views
 from ..schemas import ALLOWED
 from ..session import work_dir
 from ..sources import star, tables
@@ -118,10 +117,8 @@ def active_alerts(spark, sf):
 )
 def price_bounds(spark, sf):
     inside = filters.within_price_bounds(star.price_history(spark, sf))
-    strict = filters.within_price_bounds(inside, inclusive=False).groupBy(*ROUTE).agg(F.count(F.lit(1)).alias("s"))
-    return (
-        inside.groupBy(*ROUTE).agg(F.count(F.lit(1)).alias("inside")).join(strict, ROUTE, "left")
-        .withColumn("strictly_inside", F.coalesce("s", F.lit(0))).drop("s")
+    return inside.groupBy(*ROUTE).agg(
+        F.count(F.lit(1)).alias("inside"), F.count_if(filters.in_price_bounds(inclusive=False)).alias("strictly_inside")
     )
 
 
@@ -180,10 +177,7 @@ def pending_notifications(spark, sf):
 def time_of_day(spark, sf):
     offers = star.offers(spark, sf)
     part = filters.day_part(F.hour("departure_time"))
-    chosen = filters.time_of_day(offers, "NIGHT")
-    for bucket in ("MORNING", "AFTERNOON"):
-        chosen = chosen.unionByName(filters.time_of_day(offers, bucket))
-    return chosen.select("offer_id", part.alias("part"))
+    return filters.time_of_day(offers, "NIGHT", "MORNING", "AFTERNOON").select("offer_id", part.alias("part"))
 
 
 def _airport_queries(spark, sf):
@@ -236,11 +230,8 @@ def validate_rejects(spark, sf):
         "price": quality.range_rule("price", 800, 60000),
         "weight": quality.positive_rule("training_weight"),
     }
-    valid, rejects = quality.validate(star.price_history(spark, sf), rules)
-    both = valid.select(F.lit("").alias("reasons")).unionByName(
-        rejects.select(F.concat_ws(",", "reject_reasons").alias("reasons"))
-    )
-    return both.groupBy("reasons").agg(F.count(F.lit(1)).alias("fares"))
+    checked = quality.check(star.price_history(spark, sf), rules)
+    return checked.groupBy(F.concat_ws(",", "reject_reasons").alias("reasons")).agg(F.count(F.lit(1)).alias("fares"))
 
 
 @query(
@@ -249,11 +240,9 @@ def validate_rejects(spark, sf):
                   count(*) AS fares FROM price_history GROUP BY 1, 2""",
 )
 def allowed_values(spark, sf):
-    good, bad = quality.allowed_values(star.price_history(spark, sf), "cabin_class", ALLOWED["cabin_class"])
-    both = good.select("cabin_class", F.lit(True).alias("is_allowed")).unionByName(
-        bad.select("cabin_class", F.lit(False).alias("is_allowed"))
-    )
-    return both.groupBy("cabin_class", "is_allowed").agg(F.count(F.lit(1)).alias("fares"))
+    checked = quality.check(star.price_history(spark, sf), quality.allowed_rules("cabin_class", ALLOWED["cabin_class"]))
+    allowed = (F.size("reject_reasons") == 0).alias("is_allowed")
+    return checked.groupBy("cabin_class", allowed).agg(F.count(F.lit(1)).alias("fares"))
 
 
 @query(
@@ -474,7 +463,7 @@ def expand_grid(spark, sf):
 def lookup_default(spark, sf):
     dim = star.airlines(spark, sf).filter("factor < 1.2")
     looked = joins.lookup_default(
-        star.price_history(spark, sf).select("airline_code"), joins.bounded(dim), "airline_code",
+        star.price_history(spark, sf).select("airline_code"), dim, "airline_code",
         {"factor": 1.0, "name": F.col("airline_code")},
     )
     return looked.groupBy("airline_code", F.round("factor", 6).alias("factor"), "name").agg(F.count(F.lit(1)).alias("fares"))
@@ -527,12 +516,12 @@ def connecting_routes(spark, sf):
 @query(
     "supported_routes", "J13", "alerts", "routes",
     sql=f"""SELECT id, EXISTS (SELECT 1 FROM routes r WHERE r.origin_code = a.origin_code
-              AND r.destination_code = a.destination_code AND flights_per_day > 60) AS is_known FROM alerts a""",
+              AND r.destination_code = a.destination_code AND r.origin_code < r.destination_code) AS is_known FROM alerts a""",
 )
 def supported_routes(spark, sf):
     asked = star.alerts(spark, sf).select("id", *ROUTE)
-    known, unknown = joins.supported_routes(asked, star.routes(spark, sf).filter("flights_per_day > 60"), ROUTE)
-    return known.select("id", F.lit(True).alias("is_known")).unionByName(unknown.select("id", F.lit(False).alias("is_known")))
+    half = star.routes(spark, sf).filter("origin_code < destination_code")
+    return joins.known_routes(asked, half, ROUTE).select("id", "is_known")
 
 
 @query(
@@ -707,11 +696,7 @@ def offers_top_k(spark, sf):
     sql="""SELECT offer_id, duration, row_number() OVER (ORDER BY seats_available * 13, offer_id) AS position FROM offers""",
 )
 def sort_offers(spark, sf):
-    ordered_offers = search.sort_offers(star.offers(spark, sf), "duration")
-    minutes = duration_minutes("duration")
-    return ordered.row_index(ordered_offers, [], [minutes, "offer_id"], minutes, out="position").select(
-        "offer_id", "duration", "position"
-    )
+    return search.sort_offers(star.offers(spark, sf), "duration").select("offer_id", "duration", "position")
 
 
 @query(
@@ -719,10 +704,7 @@ def sort_offers(spark, sf):
     sql="SELECT id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id) AS position FROM bookings",
 )
 def trips_recent_first(spark, sf):
-    back = -ordered.day_chunk("created_at")
-    return ordered.row_index(star.bookings(spark, sf), "user_id", [F.desc("created_at"), "id"], back, out="position").select(
-        "id", "user_id", "position"
-    )
+    return search.trips_recent_first(star.bookings(spark, sf)).select("id", "user_id", "position")
 
 
 @query(
@@ -731,10 +713,7 @@ def trips_recent_first(spark, sf):
            WHERE is_active""",
 )
 def alerts_by_departure(spark, sf):
-    active = filters.active_alerts(star.alerts(spark, sf))
-    return ordered.row_index(active, "user_id", ["departure_date", "id"], ordered.day_chunk("departure_date"), out="position").select(
-        "id", "user_id", "position"
-    )
+    return alerting.alerts_by_departure(star.alerts(spark, sf)).select("id", "user_id", "position")
 
 
 @query(
@@ -774,7 +753,7 @@ def top_routes(spark, sf):
 )
 def training_order(spark, sf):
     return ordered.row_index(
-        star.bounded_history(spark, sf), ROUTE, star.ORDER, ordered.day_chunk("recorded_at"), out="position"
+        star.bounded_history(spark, sf), ROUTE, star.ORDER, out="position"
     ).select("l_orderkey", "l_linenumber", "l_partkey", "position")
 
 
@@ -787,15 +766,15 @@ def training_order(spark, sf):
               coalesce(n.low, r.min_price, 0) AS min_price,
               CASE WHEN r.origin_code IS NULL THEN n.high ELSE r.max_price END AS max_price,
               CASE WHEN r.origin_code IS NOT NULL AND n.origin_code IS NOT NULL THEN '{star.AS_OF}' ELSE '1995-01-01' END AS updated
-            FROM (SELECT * FROM routes WHERE flights_per_day > 90) r FULL JOIN
-              (SELECT {R}, CASE WHEN count(*) > 55 THEN min(price) END AS low, max(price) AS high FROM bounded_history GROUP BY 1, 2) n
+            FROM (SELECT * FROM routes WHERE destination_code < 'N20') r FULL JOIN
+              (SELECT {R}, CASE WHEN origin_code < 'N15' THEN min(price) END AS low, max(price) AS high FROM bounded_history GROUP BY 1, 2) n
               ON r.origin_code = n.origin_code AND r.destination_code = n.destination_code""",
 )
 def upsert_routes(spark, sf):
     stamp = F.to_timestamp(F.lit("1995-01-01"))
-    base = star.routes(spark, sf).filter("flights_per_day > 90").select(*ROUTE, "min_price", "max_price").withColumn("updated_at", stamp)
+    base = star.routes(spark, sf).filter("destination_code < 'N20'").select(*ROUTE, "min_price", "max_price").withColumn("updated_at", stamp)
     new = star.bounded_history(spark, sf).groupBy(*ROUTE).agg(
-        F.when(F.count(F.lit(1)) > 55, F.min("price")).alias("min_price"), F.max("price").alias("max_price")
+        F.when(F.col("origin_code") < "N15", F.min("price")).alias("min_price"), F.max("price").alias("max_price")
     ).withColumn("updated_at", stamp)
     out = merges.upsert(base, new, ROUTE, update=["min_price"], keep_when_null=["min_price"], as_of=star.AS_OF)
     return out.select(
@@ -809,11 +788,11 @@ def upsert_routes(spark, sf):
     sql=f"""SELECT origin_code, destination_code, flights_per_day, min_price FROM big UNION ALL
             SELECT destination_code, origin_code, flights_per_day, min_price FROM big b WHERE NOT EXISTS
               (SELECT 1 FROM big x WHERE x.origin_code = b.destination_code AND x.destination_code = b.origin_code)""".replace(
-        "FROM big", "FROM (SELECT * FROM routes WHERE origin_code >= destination_code OR flights_per_day > 100)"
+        "FROM big", "FROM (SELECT * FROM routes WHERE origin_code >= destination_code OR origin_code < 'N08')"
     ),
 )
 def reverse_routes(spark, sf):
-    listed = star.routes(spark, sf).filter("origin_code >= destination_code or flights_per_day > 100")
+    listed = star.routes(spark, sf).filter("origin_code >= destination_code or origin_code < 'N08'")
     return merges.with_reverse_routes(listed.select(*ROUTE, "flights_per_day", "min_price"))
 
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import pricing, scores
-from ..operators import aggregates as agg, alerts as alerting, joins, ledger, merges, offers as search, signals
+from ..operators import aggregates as agg, alerts as alerting, joins, ledger, merges, observations, offers as search, signals
 from ..session import work_dir
-from ..sources import star
+from ..sources import star, tables
 from ..streaming import jobs
-from . import answer, model
+from . import answer, model, search as finding, settlement
 from .oracle_tables import demand, even, pressure, season, sigmoid
 from .registry import query
 
@@ -202,16 +202,48 @@ def enrich_offers(spark, sf):
     return out.select("offer_id", "ai_price", "recommendation", "trend")
 
 
+_SEARCHED = """(SELECT * FROM offers QUALIFY flight_number IS NULL OR row_number() OVER (PARTITION BY search_id, flight_number, departure_time ORDER BY total, offer_id) = 1)"""
+
+
+@query(
+    "search_inputs", "D16 W2", "offers",
+    sql=f"""SELECT offer_id, airline_code, days AS days_until_dep, isodow(departure_date) - 1 AS day_of_week, month(departure_date) AS month, weekofyear(departure_date) AS week_of_year,
+              coalesce(nullif(seats_available, 0), 30) AS seats_available, CASE WHEN days < 7 THEN 0.85::DOUBLE ELSE 0.5::DOUBLE END AS demand_score,
+              CASE WHEN month(departure_date) IN (4,5,10,12) THEN 1.25::DOUBLE ELSE 1.0::DOUBLE END AS seasonality_factor
+            FROM (SELECT *, greatest(date_diff('day', DATE '{star.AS_OF}', departure_date), 0) AS days FROM {_SEARCHED})""",
+)
+def search_inputs(spark, sf):
+    """Model inputs of every distinct offer of a search."""
+    return finding.offer_inputs(search.dedupe_offers(star.offers(spark, sf)), star.AS_OF).select(
+        "offer_id", "airline_code", "days_until_dep", "day_of_week", "month", "week_of_year", "seats_available", "demand_score", "seasonality_factor"
+    )
+
+
+@query(
+    "search_enrichment", "D16 M7 W2", "offers",
+    sql=f"SELECT offer_id, total, TRUE AS in_bounds, TRUE AS advised FROM {_SEARCHED}",
+)
+def search_enrichment(spark, sf):
+    """Every distinct offer with the model's fare inside its bounds and the advice that follows from it."""
+    _, fitted = _fitted(spark, sf)
+    out = finding.enriched_search(star.offers(spark, sf), fitted, star.AS_OF)
+    fare = F.greatest(F.lit(2800.0), F.least(F.lit(55000.0), F.col("predicted")))
+    advice = F.when(fare > F.col("total") * 1.12, "BOOK NOW").when(fare < F.col("total") * 0.88, "WAIT").otherwise("FAIR PRICE")
+    return out.select(
+        "offer_id", "total", (F.col("ai_price").between(2800, 55000) & (F.col("ai_price") == F.bround(fare, 0))).alias("in_bounds"), (F.col("recommendation") == advice).alias("advised")
+    )
+
+
 # -- alerts -----------------------------------------------------------------------------------------------------------
 
-_BASES = f"(SELECT {R}, floor(min(price)) + 2000 AS base FROM price_history GROUP BY 1, 2 HAVING count(*) > 90)"
+_BASES = f"(SELECT {R}, floor(min(price)) + 2000 AS base FROM price_history WHERE origin_code < 'N18' GROUP BY 1, 2)"
 _ALERT_FARE = f"""round_even(coalesce(base, 5000.0::DOUBLE) * (1.0::DOUBLE + greatest(0, (7 - greatest(date_diff('day', DATE '{star.AS_OF}', departure_date), 0)) / 7.0::DOUBLE) * 0.35::DOUBLE) / 50, 0) * 50"""
 _PRICED = f"(SELECT a.*, {_ALERT_FARE} AS fare FROM alerts a LEFT JOIN {_BASES} b USING ({R}))"
 
 
 def _bases(spark, sf):
-    lowest = star.price_history(spark, sf).groupBy(*ROUTE).agg((F.floor(F.min("price")) + 2000).cast("double").alias("base"), F.count(F.lit(1)).alias("n"))
-    return lowest.filter("n > 90").drop("n")
+    some = star.price_history(spark, sf).filter("origin_code < 'N18'")
+    return some.groupBy(*ROUTE).agg((F.floor(F.min("price")) + 2000).cast("double").alias("base"))
 
 
 @query(
@@ -229,12 +261,23 @@ def alert_fare(spark, sf):
 )
 def evaluate_alerts(spark, sf):
     priced = alerting.price_alerts_now(star.alerts(spark, sf), _bases(spark, sf), star.AS_OF)
-    updated, triggers = alerting.evaluate_alerts(priced)
-    fired = triggers.select("id", F.lit(True).alias("_fired"))
-    return updated.join(fired, "id", "left").select(
-        "id", F.coalesce("last_price", F.lit(-1.0)).alias("last_price"), "triggered_count",
-        F.coalesce("_fired", F.lit(False)).alias("is_triggered"),
-    )
+    return alerting.check_alerts(priced).select("id", F.coalesce("last_price", F.lit(-1.0)).alias("last_price"), "triggered_count", "is_triggered")
+
+
+@query(
+    "alert_messages", "D18 D19 F7", "price_history", "alerts", "profiles",
+    sql=f"""SELECT a.id AS alert_id, user_id, CASE WHEN notify_email AND email IS NOT NULL THEN 'EMAIL' WHEN notify_sms THEN 'SMS' ELSE 'WHATSAPP' END AS channel,
+              CASE WHEN notify_email AND email IS NOT NULL THEN email ELSE phone END AS recipient, full_name AS name,
+              origin_code || ' to ' || destination_code || ': now Rs.' || format('{{:,}}', CAST(round_even(fare, 0) AS BIGINT)) || ', target Rs.'
+                || format('{{:,}}', CAST(round_even(target_price, 0) AS BIGINT)) AS message, round(CAST(target_price AS DOUBLE) - fare, 4) AS savings
+            FROM {_PRICED} a JOIN profiles p ON user_id = p.id
+            WHERE is_active AND fare <= CAST(target_price AS DOUBLE) AND ((notify_email AND email IS NOT NULL) OR notify_sms OR notify_whatsapp)""",
+)
+def alert_messages(spark, sf):
+    """The alert run from alerts to message rows."""
+    priced = alerting.price_alerts_now(star.alerts(spark, sf), _bases(spark, sf), star.AS_OF)
+    out = alerting.alert_messages(alerting.check_alerts(priced), star.profiles(spark, sf))
+    return out.withColumn("savings", F.round("savings", 4))
 
 
 @query(
@@ -291,6 +334,51 @@ def confirm_bookings(spark, sf):
     )
 
 
+_SETTLED = """(SELECT b.*, e.payment_id AS new_payment_id FROM bookings b JOIN
+             (SELECT user_id AS order_id, 'pay_' || event_id AS payment_id FROM events WHERE event_type = 'purchase'
+              QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, 'pay_' || event_id) = 1) e ON id = order_id WHERE payment_status <> 'PAID')"""
+
+
+def _settlement(spark, sf):
+    events = jobs.parse_payments(star.payment_bodies(star.events(spark, sf)))
+    booked = star.bookings(spark, sf).withColumn("order_id", F.col("id").cast("string"))
+    return settlement.settle_payments(events, booked, star.profiles(spark, sf))
+
+
+@query(
+    "settled_bookings", "X3 J7 D12 U1", "bookings",
+    sql=f"""SELECT b.id, CASE WHEN s.id IS NOT NULL THEN 'CONFIRMED' ELSE b.status END AS status, CASE WHEN s.id IS NOT NULL THEN 'PAID' ELSE b.payment_status END AS payment_status,
+              coalesce(new_payment_id, '-') AS payment_id, CASE WHEN s.id IS NOT NULL THEN CAST(floor(b.total_price / 100) AS BIGINT) ELSE 0 END AS points_earned
+            FROM bookings b LEFT JOIN {_SETTLED} s USING (id)""",
+)
+def settled_bookings(spark, sf):
+    """All bookings after the captured payments of the events."""
+    return _settlement(spark, sf).bookings.select(
+        "id", "status", "payment_status", F.coalesce("payment_id", F.lit("-")).alias("payment_id"), F.coalesce("points_earned", F.lit(0)).alias("points_earned")
+    )
+
+
+@query(
+    "settled_profiles", "X3 J7 D11", "bookings", "profiles",
+    sql=f"""SELECT p.id, CAST(coalesce(points, 0) AS BIGINT) AS loyalty_points, coalesce(trips, 0) AS total_bookings, CAST(coalesce(spent, 0) AS DOUBLE) AS total_spent,
+              {_TIER.format('coalesce(spent, 0)')} AS tier FROM profiles p LEFT JOIN
+              (SELECT user_id, sum(floor(total_price / 100)) AS points, count(*) AS trips, sum(total_price) AS spent FROM {_SETTLED} GROUP BY 1) b ON p.id = user_id""",
+)
+def settled_profiles(spark, sf):
+    """All profiles after they were credited for the bookings that those payments settled."""
+    return _settlement(spark, sf).profiles.select("id", "loyalty_points", "total_bookings", F.col("total_spent").cast("double").alias("total_spent"), "tier")
+
+
+@query(
+    "settled_notifications", "X3 J7 D12 F7", "bookings", "profiles",
+    sql=f"""SELECT s.id AS booking_id, 'EMAIL' AS channel, contact_email AS recipient FROM {_SETTLED} s JOIN profiles p ON user_id = p.id WHERE notify_email AND contact_email IS NOT NULL
+            UNION ALL SELECT s.id, 'SMS', contact_phone FROM {_SETTLED} s JOIN profiles p ON user_id = p.id WHERE notify_sms AND contact_phone IS NOT NULL""",
+)
+def settled_notifications(spark, sf):
+    """Messages queued for them, one per open channel."""
+    return _settlement(spark, sf).notifications.select("booking_id", "channel", "recipient")
+
+
 @query(
     "cancel_bookings", "D13", "bookings", "profiles",
     sql=f"""SELECT id, CASE WHEN asked THEN 'CANCELLED' ELSE status END AS status, CASE WHEN NOT asked THEN payment_status WHEN payment_status = 'PAID' THEN 'REFUND_PENDING' ELSE 'VOID' END AS payment_status,
@@ -347,17 +435,32 @@ def _features(spark, sf):
     return model.fare_features(star.price_history(spark, sf), star.AS_OF, star.ORDER, keep=_KEYS)
 
 
-def _stored_features(spark, sf):
-    """Features written once to the shared folder: training reads them many times."""
-    path = work_dir(spark, "features")
-    _features(spark, sf).write.parquet(path)
-    return spark.read.parquet(path)
+#: Folders of the features and the model that a session has fitted, by application and data set.
+_FITTED: dict[tuple[str, str], str] = {}
+
+
+def _fitted(spark, sf):
+    """(stored features, model as saved and loaded); fitted once a session and data set, and shared by the queries."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _FITTED:
+        path = work_dir(spark, "model")
+        _features(spark, sf).write.parquet(f"{path}/features")
+        fitted = model.train_fare_model(spark.read.parquet(f"{path}/features"), _KEYS)
+        if fitted is None:
+            raise ValueError("too few fares to train on")
+        fitted.save(path)
+        _FITTED[key] = path
+    path = _FITTED[key]
+    return spark.read.parquet(f"{path}/features"), model.FareModel.load(spark, path)
 
 
 @query(
     "fare_features", "M1 M3 P2 P12 P16", "bounded_history",
-    sql=f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, departure_date, CAST(days AS DOUBLE) AS days_until_dep, round(1.0 / (days + 1), 8) AS urgency,
-              CASE WHEN is_live THEN CAST(least(greatest(seats_available, 1), 100) AS DOUBLE) ELSE 50 END AS seats_available, 0.5::DOUBLE AS demand_score, 12 AS hour_of_day,
+    sql=f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, departure_date, {R}, airline_code, CAST(days AS DOUBLE) AS days_until_dep, round(1.0 / (days + 1), 8) AS urgency,
+              CAST(isodow(departure_date) - 1 AS DOUBLE) AS day_of_week, CAST(month(departure_date) AS DOUBLE) AS month, CAST(weekofyear(departure_date) AS DOUBLE) AS week_of_year,
+              CAST(hour(recorded_at) AS DOUBLE) AS hour_of_day, CAST(hour(recorded_at) IN (7, 8, 9, 18, 19, 20, 21) AS DOUBLE) AS is_peak_hour,
+              CASE WHEN is_live THEN CAST(least(greatest(seats_available, 1), 100) AS DOUBLE) ELSE 50 END AS seats_available,
+              CASE WHEN is_live THEN {demand('days_until_dep', 'departure_date', 'seats_available')} ELSE 0.5::DOUBLE END AS demand_score, {season('departure_date')} AS seasonality_factor,
               round(c1, 4) AS price_change_1d, round(c3, 4) AS price_change_3d, CAST(is_live AS INTEGER) AS is_live, round(greatest(training_weight, 0.01), 6) AS weight
             FROM (SELECT *, greatest(date_diff('day', DATE '{star.AS_OF}', departure_date), 0) AS days, coalesce(price - lag(price, 1) OVER w, 0) AS c1,
                     coalesce(price - lag(price, 3) OVER w, 0) AS c3 FROM bounded_history
@@ -366,12 +469,30 @@ def _stored_features(spark, sf):
 )
 def fare_features(spark, sf):
     return _features(spark, sf).select(
-        *_KEYS, F.col("days_until_dep").cast("double").alias("days_until_dep"), F.round("urgency", 8).alias("urgency"), "seats_available", "demand_score",
-        "hour_of_day", F.round("price_change_1d", 4).alias("price_change_1d"), F.round("price_change_3d", 4).alias("price_change_3d"), "is_live",
+        *_KEYS, *ROUTE, "airline_code", F.col("days_until_dep").cast("double").alias("days_until_dep"), F.round("urgency", 8).alias("urgency"), "day_of_week", "month",
+        "week_of_year", "hour_of_day", "is_peak_hour", "seats_available", "demand_score", "seasonality_factor",
+        F.round("price_change_1d", 4).alias("price_change_1d"), F.round("price_change_3d", 4).alias("price_change_3d"), "is_live",
         F.round("weight", 6).alias("weight"),
     )
 
 
+@query(
+    "record_fares", "M1 F17 F18 F19", "price_history",
+    sql=f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, departure_date, days_until_dep, {even('1.0::DOUBLE / (days_until_dep + 1)', 4)} AS urgency,
+              isodow(departure_date) - 1 AS day_of_week, month(departure_date) AS month, weekofyear(departure_date) AS week_of_year, hour(recorded_at) AS hour_of_day,
+              CAST(hour(recorded_at) IN (7, 8, 9, 18, 19, 20, 21) AS INTEGER) AS is_peak_hour, isodow(departure_date) >= 6 AS is_weekend,
+              len(list_filter([-1, 0, 1], lambda x: strftime(departure_date + CAST(x AS INTEGER), '%m%d') IN ('0101','0126','0815','1002','1225'))) > 0 AS is_holiday,
+              {demand('days_until_dep', 'departure_date', 'seats_available')} AS demand_score, {season('departure_date')} AS seasonality_factor
+            FROM price_history""",
+)
+def record_fares(spark, sf):
+    seen = star.price_history(spark, sf).drop("days_until_dep")
+    return observations.record_fares(seen).select(
+        *_KEYS, "days_until_dep", "urgency", "day_of_week", "month", "week_of_year", "hour_of_day", "is_peak_hour", "is_weekend", "is_holiday", "demand_score",
+        "seasonality_factor",
+    )
+
+
 _HASH = """CAST((((CAST('0x' || substr(m, 1, 8) AS BIGINT) % 100 * 96 + CAST('0x' || substr(m, 9, 8) AS BIGINT)) % 100 * 96
    + CAST('0x' || substr(m, 17, 8) AS BIGINT)) % 100 * 96 + CAST('0x' || substr(m, 25, 8) AS BIGINT)) % 100 AS BIGINT)"""
 
@@ -385,34 +506,94 @@ _HASH_ROUTE = _HASH.replace("100 * 96", "10000 * 7296").replace("% 100 AS", "% 1
               (SELECT *, md5(concat_ws('|', '42', l_orderkey, l_linenumber, departure_date, l_partkey, l_suppkey)) AS m FROM price_history)""",
 )
 def train_test_split(spark, sf):
-    train, test = model.split(star.price_history(spark, sf).select(*_KEYS), _KEYS)
-    return train.withColumn("is_test", F.lit(False)).unionByName(test.withColumn("is_test", F.lit(True)))
+    return star.price_history(spark, sf).select(*_KEYS, model.is_test(_KEYS).alias("is_test"))
 
 
 @query("train_model", "M5 M6 S6 S7")
 def train_model(spark, sf):
-    """Trains on the whole history, saves and reloads the model, and reports its hold-out metrics."""
-    features = _stored_features(spark, sf)
-    fitted = model.train_fare_model(features, _KEYS, **model.FULL)
-    path = work_dir(spark, "model")
-    fitted.save(path)
-    return model.held_out_metrics(features, model.FareModel.load(spark, path), _KEYS)
+    """Hold-out metrics of the model trained on the whole history, as saved and loaded, and the rounds it stopped after."""
+    features, fitted = _fitted(spark, sf)
+    return model.held_out_metrics(features, fitted, _KEYS).withColumn("estimators", F.lit(fitted.trees.getNumTrees))
+
+
+@query(
+    "train_model_invariants", "M4 M5 M6 S6 S7", "price_history",
+    sql=f"""SELECT count(*) AS rows, count(*) FILTER (test) AS test_rows, count(*) FILTER (NOT test AND validates) AS validation_rows, TRUE AS enough,
+              TRUE AS rounds_in_bounds, TRUE AS metrics_kept, TRUE AS beats_the_mean
+            FROM (SELECT {_HASH.replace('m,', 'a,')} < 20 AS test, {_HASH.replace('m,', 'b,')} < 10 AS validates FROM
+              (SELECT md5(concat_ws('|', '42', l_orderkey, l_linenumber, departure_date, l_partkey, l_suppkey)) AS a,
+                      md5(concat_ws('|', '43', l_orderkey, l_linenumber, departure_date, l_partkey, l_suppkey)) AS b
+               FROM price_history WHERE price > 800 AND price < 60000))""",
+)
+def train_model_invariants(spark, sf):
+    """What must hold of the trained model whatever the trees: its rows, its rounds, kept metrics, and a lower error than the mean fare's."""
+    features, fitted = _fitted(spark, sf)
+    test, validates = model.hash_percent(*_KEYS, seed=42) < 20, model.hash_percent(*_KEYS, seed=43) < model.VALIDATION
+    counted = features.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(test).alias("test_rows"), F.count_if(~test & validates).alias("validation_rows"),
+        F.stddev_pop(F.when(test, F.col("price"))).alias("spread"),
+    )
+    measured = model.held_out_metrics(features, fitted, _KEYS).first().asDict()
+    kept, rounds = fitted.metrics, fitted.trees.getNumTrees
+    same = all(abs(kept[k] - v) <= 1e-9 * abs(v) for k, v in measured.items())
+    return counted.select(
+        "rows", "test_rows", "validation_rows", F.lit(tables.require_rows(features, 200)).alias("enough"),
+        F.lit(1 <= rounds <= model.ROUNDS and kept["estimators"] == rounds).alias("rounds_in_bounds"),
+        (F.lit(same) & (F.col("test_rows") == measured["samples"])).alias("metrics_kept"), (F.col("spread") > measured["rmse"]).alias("beats_the_mean"),
+    )
 
 
-@query("answer_requests", "M7 M8 M10 D10 D14 D15")
-def answer_requests(spark, sf):
-    """One prediction answer per active alert's route and date, from a model trained on the whole history."""
-    fitted = model.train_fare_model(_stored_features(spark, sf), _KEYS, **model.FULL)
+def _requests(spark, sf):
+    """One request per active alert, split into snapshots and rejects."""
     asked = star.alerts(spark, sf).filter("is_active").select(
         F.col("id").alias("request_id"), F.col("origin_code").alias("origin"), F.col("destination_code").alias("destination"),
         F.col("departure_date").cast("string").alias("departure_date"),
     )
-    snapshots, _ = answer.request_snapshots(asked, star.bounded_history(spark, sf), star.routes(spark, sf), star.AS_OF)
-    return answer.answer_requests(snapshots, fitted, star.AS_OF).select(
+    return answer.request_snapshots(asked, star.bounded_history(spark, sf), star.routes(spark, sf), star.AS_OF)
+
+
+@query("answer_requests", "M7 M8 M10 D10 D14 D15")
+def answer_requests(spark, sf):
+    """One prediction answer per active alert's route and date, from the model trained on the whole history."""
+    snapshots, _ = _requests(spark, sf)
+    return answer.answer_requests(snapshots, _fitted(spark, sf)[1], star.AS_OF).select(
         "request_id", *ROUTE, "current_price", "decision", "confidence", "trend", "prob_increase", "market_status"
     )
 
 
+@query(
+    "request_rejects", "S7 P9 J13", "price_history", "bounded_history", "alerts",
+    sql=f"""SELECT id AS request_id, CASE WHEN origin_code = destination_code THEN 'same_place' WHEN r.o IS NULL THEN 'unsupported_route' WHEN f.o IS NULL THEN 'no_fare' END AS reason
+            FROM alerts LEFT JOIN (SELECT DISTINCT origin_code AS o, destination_code AS d FROM price_history) r ON r.o = origin_code AND r.d = destination_code
+              LEFT JOIN (SELECT DISTINCT origin_code AS o, destination_code AS d FROM bounded_history) f ON f.o = origin_code AND f.d = destination_code
+            WHERE is_active AND (origin_code = destination_code OR f.o IS NULL)""",
+)
+def request_rejects(spark, sf):
+    _, rejects = _requests(spark, sf)
+    return rejects.select("request_id", F.col("reject_reasons")[0].alias("reason"))
+
+
+@query(
+    "answer_invariants", "M7 M8 D10 D14 D15", "bounded_history", "alerts",
+    sql=f"""SELECT id AS request_id, {R}, 30 AS points, TRUE AS banded, TRUE AS lifted, TRUE AS dated, TRUE AS decided
+            FROM alerts JOIN (SELECT DISTINCT {R} FROM bounded_history) USING (origin_code, destination_code) WHERE is_active AND origin_code <> destination_code""",
+)
+def answer_invariants(spark, sf):
+    """What must hold of every answered request whatever the model: thirty days in a band, no fare left at or below 0, a known decision."""
+    snapshots, _ = _requests(spark, sf)
+    _, fitted = _fitted(spark, sf)
+    days = model.forecast_fares(snapshots, fitted, star.AS_OF).groupBy("request_id").agg(
+        F.count(F.lit(1)).cast("int").alias("points"), F.bool_and((F.col("lower") <= F.greatest("price", F.lit(800.0))) & (F.col("price") <= F.col("upper"))).alias("banded"),
+        F.bool_and(F.col("price") > 0).alias("lifted"), (F.min("day") == 1).alias("from_one"), F.count_distinct("date").alias("dates"),
+    )
+    given = answer.answer_requests(snapshots, fitted, star.AS_OF).select(
+        "request_id", *ROUTE, (F.col("decision").isNotNull() & F.col("confidence").between(0, 1) & F.col("trend").isNotNull()).alias("decided")
+    )
+    return given.join(days, "request_id").select(
+        "request_id", *ROUTE, "points", "banded", "lifted", (F.col("from_one") & (F.col("dates") == F.col("points"))).alias("dated"), "decided"
+    )
+
+
 @query(
     "forecast_grid", "M8 J8", "snapshots",
     sql=f"""SELECT {R}, CAST(day AS INTEGER) AS day, DATE '{star.AS_OF}' + CAST(day AS INTEGER) AS date, greatest(date_diff('day', DATE '{star.AS_OF}' + CAST(day AS INTEGER), departure_date), 0) AS days_until_dep,
@@ -472,9 +653,8 @@ def complete_forecast(spark, sf):
     sql=f"SELECT {R}, CASE WHEN seats_available >= 10 THEN current_price * 1.1::DOUBLE ELSE current_price END AS current_price FROM snapshots",
 )
 def current_fares(spark, sf):
-    shown = star.snapshots(spark, sf)
-    predicted = shown.filter("seats_available >= 10").select(*ROUTE, (F.col("current_price") * 1.1).alias("predicted"))
-    return model.current_fare_table(shown, predicted).select(*ROUTE, "current_price")
+    predicted = F.when(F.col("seats_available") >= 10, F.col("current_price") * 1.1)
+    return model.current_fares(star.snapshots(spark, sf).withColumn("predicted", predicted)).select(*ROUTE, "current_price")
 
 
 # -- streams ----------------------------------------------------------------------------------------------------------
@@ -492,25 +672,41 @@ def _finish(stream_query):
 def alert_stream(spark, sf):
     out, mark = work_dir(spark, "alerts"), work_dir(spark, "alerts-log")
     ticks = star.fare_ticks(star.event_stream(spark, sf))
-    _finish(jobs.alert_stream(ticks, star.alerts(spark, sf), out, mark, every=None))
-    return jobs.notify_once(spark.read.parquet(out)).select("alert_id", "current_price")
+    _finish(jobs.alert_stream(ticks, lambda: star.alerts(spark, sf), out, mark, every=None))
+    return jobs.notify_once(spark.read.parquet(f"{out}/hits"), ts="batch_id").select("alert_id", "current_price")
+
+
+@query(
+    "alert_state", "X1 D18", "alerts", "ticks",
+    sql=f"""SELECT id, coalesce(CASE WHEN is_active THEN p END, CAST(last_price AS DOUBLE)) AS last_price,
+              CAST(triggered_count + CASE WHEN is_active AND p <= CAST(target_price AS DOUBLE) THEN 1 ELSE 0 END AS INTEGER) AS triggered_count
+            FROM alerts LEFT JOIN (SELECT {R}, min(price) AS p FROM ticks GROUP BY 1, 2) USING ({R})""",
+)
+def alert_state(spark, sf):
+    """What the alert job leaves behind after the one batch that the supplied events make."""
+    out, mark = work_dir(spark, "alert-state"), work_dir(spark, "alert-state-log")
+    ticks = star.fare_ticks(star.event_stream(spark, sf))
+    _finish(jobs.alert_stream(ticks, lambda: star.alerts(spark, sf), out, mark, every=None))
+    return jobs.alert_state(spark, out, 0)
 
 
 @query(
     "notify_once", "X2", "ticks",
-    sql=f"SELECT DISTINCT {R} FROM ticks",
+    sql=f"""SELECT {R}, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS at FROM ticks GROUP BY 1, 2 HAVING min(ts) < (SELECT max(ts) FROM ticks)""",
 )
 def notify_once(spark, sf):
+    """The earliest tick of every route; the very last one of the events waits for a later one."""
     out, mark = work_dir(spark, "once"), work_dir(spark, "once-log")
-    ticks = star.fare_ticks(star.event_stream(spark, sf)).withColumn("alert_id", F.concat(*ROUTE))
-    first = jobs.notify_once(ticks)
-    _finish(first.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start())
-    return spark.read.parquet(out).select(*ROUTE)
+    ticks = star.fare_ticks(star.event_stream(spark, sf)).select("ts", *ROUTE, F.concat(*ROUTE).alias("alert_id"))
+    first = jobs.notify_once(ticks, "60 days")
+    sink = first.writeStream.outputMode("update").option("checkpointLocation", mark)
+    _finish(sink.foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch_id={i}")).trigger(availableNow=True).start())
+    return spark.read.parquet(out).select(*ROUTE, F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"))
 
 
 @query(
     "payment_stream", "X3 J7", "bookings",
-    sql="""SELECT id, payment_id AS new_payment_id FROM bookings JOIN
+    sql="""SELECT id, payment_id AS new_payment_id, 'PAID' AS payment_status FROM bookings JOIN
              (SELECT user_id AS order_id, 'pay_' || event_id AS payment_id, ts FROM events WHERE event_type = 'purchase'
               QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, 'pay_' || event_id) = 1) e ON id = order_id WHERE payment_status <> 'PAID'""",
 )
@@ -519,7 +715,7 @@ def payment_stream(spark, sf):
     events = jobs.parse_payments(star.payment_bodies(star.event_stream(spark, sf)))
     booked = star.bookings(spark, sf).withColumn("order_id", F.col("id").cast("string"))
     _finish(jobs.payment_stream(events, booked, out, mark, every=None))
-    return spark.read.parquet(out).select("id", "new_payment_id")
+    return spark.read.parquet(out).select("id", "new_payment_id", "payment_status")
 
 
 _RETRY = """SELECT q.id, CASE WHEN q.status <> 'PENDING' THEN q.status WHEN coalesce(sent, 0) = 1 THEN 'SENT'
@@ -540,7 +736,7 @@ def retry_stream(spark, sf):
     out, mark = work_dir(spark, "retry"), work_dir(spark, "retry-log")
     queue = star.notification_queue(star.events(spark, sf))
     _finish(jobs.retry_stream(star.outcomes(star.event_stream(spark, sf)), queue, out, mark, every=None))
-    return spark.read.parquet(out).select("id", "status", "retry_count")
+    return jobs.latest_versions(spark.read.parquet(out)).select("id", "status", "retry_count")
 
 
 _ATTEMPTS = """SELECT challenge_id, CAST(coalesce(min(n) FILTER (is_match), count(*)) AS INTEGER) AS attempts, count(*) FILTER (is_match) > 0 AS is_used FROM
@@ -576,16 +772,18 @@ def fare_ingest_stream(spark, sf):
 
 @query(
     "alert_expiry_stream", "X7 P5", "ticks",
-    sql="""SELECT event_id AS id, NOT (ts + INTERVAL 3 DAY < TIMESTAMP '2024-01-20' OR CAST(ts AS DATE) < DATE '2024-01-20') AS is_active FROM ticks""",
+    sql="""SELECT event_id AS id, strftime(least(ts + INTERVAL 3 DAY, CAST(CAST(ts AS DATE) + 1 AS TIMESTAMP)), '%Y-%m-%d %H:%M:%S') AS expired_at
+           FROM ticks WHERE date_trunc('millisecond', least(ts + INTERVAL 3 DAY, CAST(CAST(ts AS DATE) + 1 AS TIMESTAMP))) < (SELECT max(date_trunc('millisecond', ts)) FROM ticks)""",
 )
 def alert_expiry_stream(spark, sf):
+    """Alerts that ended before the last event, each at its own time."""
     out, mark = work_dir(spark, "expiry"), work_dir(spark, "expiry-log")
     rows = star.event_stream(spark, sf).select(
         F.col("event_id").alias("id"), F.lit(True).alias("is_active"), F.col("ts").cast("date").alias("departure_date"),
-        (F.col("ts") + F.expr("INTERVAL 3 DAYS")).alias("expires_at"),
+        (F.col("ts") + F.expr("INTERVAL 3 DAYS")).alias("expires_at"), F.col("ts").alias("created_at"),
     )
-    _finish(jobs.alert_expiry_stream(rows, "2024-01-20", out, mark))
-    return spark.read.parquet(out).select("id", "is_active")
+    _finish(jobs.alert_expiry_stream(rows, out, mark))
+    return spark.read.parquet(out).select("id", F.date_format("expired_at", "yyyy-MM-dd HH:mm:ss").alias("expired_at"))
 
 
 _WINDOWED = f"""SELECT {R}, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, round(min(price), 2) AS low, round(max(price), 2) AS high, round(avg(price), 4) AS mean, count(*) AS fares
