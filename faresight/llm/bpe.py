@@ -466,7 +466,9 @@ def _split(ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
 
 
 def encode(text: Column, path: str) -> Column:
-    """Ids of a text as little-endian unsigned 32-bit integers. ``path`` must name the vocabulary on every executor."""
+    """Ids of a text as little-endian unsigned 32-bit integers; null and empty texts have none. ``path`` must name the vocabulary on
+    every executor.
+    """
 
     @F.pandas_udf("binary")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

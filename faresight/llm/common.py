@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Hashable, Iterator, Sequence
 from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import work_dir
@@ -35,8 +38,18 @@ def held(key: Hashable, make: Callable[[], Any]) -> Any:
 
 
 def release() -> None:
-    """Frees what tasks of another operator left in this worker, which may go on to serve many stages."""
+    """Frees what tasks of another operator left in this worker, which may go on to serve many stages.
+
+    What was freed goes back to the system where the C library can give it back; elsewhere it stays for later tasks.
+    """
+    if not _held:
+        return
     _held.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -182,7 +182,8 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, levels: int = 16,
     """Writes the shards of all documents, in ascending key order, to ``folder``; each document ends in the id ``end``.
 
     ``tokenizer`` names a tokenizers file that every executor can read, ``levels`` the bits of its ids. Null texts are
-    empty, null keys come first, rows with one key are ordered by text. An empty table writes no shards.
+    empty, null keys come first, rows with one key are ordered by text. An empty table writes no shards. An id that needs more
+    bits than ``levels`` ends the job with an error rather than being cut.
     """
 
     def images(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -205,6 +206,8 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, levels: int = 16,
                 ids, each = words.texts(texts[at : at + 256])
                 last = np.cumsum(each)
                 ids = np.insert(ids, last, end)
+                if len(ids) and int(ids.max()) >> levels:
+                    raise ValueError(f"token {int(ids.max())} does not fit {levels} levels; give write_shards more")
                 last += np.arange(1, len(last) + 1)
                 for k, stop, n in zip(names[at : at + 256], last.tolist(), (each + 1).tolist()):
                     if size and size + n > shard:
@@ -254,7 +257,9 @@ def documents_of(shards: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def token_counts(shards: DataFrame, tokens: list[int]) -> DataFrame:
-    """(token, n) over all shards, by rank on each image without decoding it."""
+    """(token, n) over all shards, by rank on each image without decoding it. Without shards there are no rows; a token that no
+    document holds has 0.
+    """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -332,6 +332,15 @@ def test_shards_spread_one_key(spark):
     assert sorted(map(tuple, token_shards.documents_of(shards).collect()), key=lambda r: r[1]) == want
 
 
+def test_shards_of_an_empty_table_and_of_wide_ids(spark, odd):
+    folder = token_shards.shard_folder(spark)
+    token_shards.write_shards(empty(odd), queries.tokenizer_path(), folder)
+    shards = token_shards.read_shards(spark, folder)
+    assert shards.count() == 0 and token_shards.documents_of(shards).count() == 0 and token_shards.token_counts(shards, [0]).count() == 0
+    with pytest.raises(Exception, match="does not fit 8 levels"):
+        token_shards.write_shards(odd, queries.tokenizer_path(), token_shards.shard_folder(spark), levels=8)
+
+
 def test_words_equal_library():
     rng = random.Random(5)
     parts = ["a", "the", " ", "  ", "\n", "\t", "'s", "'re", "'ll", "'", '"', "é", "ß", "日本", "١", "23", "\x1c", "\x85", "<|endoftext|>", "!!", "-", "aaa", "😀", "\u200d", "e\u0301", "Ⅷ", "'VE", "'ve", "\ufeff", "\r\n", "\u0000"]
@@ -390,6 +399,43 @@ def test_grammar():
     assert g.clause(["kill", "you"])[4] == 1.0 and g.features("All is well.") == [0.0] * 6 and g.features(None) == [0.0] * 6
 
 
+def test_each_transducer_alone():
+    report, negation, target = toxicity.report_transducer(), toxicity.negation_transducer(2), toxicity.target_transducer()
+    assert report.paths("I.Y.R.I.T.") == ["I.Y.R.r.T."] and report.paths("I.I.") == ["I.I."]
+    assert negation.paths("I.N.I.I.I.r.") == ["I.N.n.n.I.r."] and negation.paths("NI.I.I.I.") == ["Nn.n.n.I."]
+    assert target.paths("I.n.r.T.") == ["p_n_r___"] and target.paths("I.n.r.T.Y.I.") == ["y_n_r_t___y_"] and target.paths("Y.") == ["__"] and target.paths("") == [""]
+
+
+def test_composition_is_one_after_the_other():
+    rng = random.Random(3)
+    parts = [toxicity.report_transducer(), toxicity.negation_transducer(), toxicity.target_transducer()]
+    whole = toxicity.compose(toxicity.compose(parts[0], parts[1]), parts[2])
+    for _ in range(300):
+        string = "".join(rng.choice("RNITY..") for _ in range(rng.randint(0, 12)))
+        step = [string]
+        for p in parts:
+            step = [out for s in step for out in p.paths(s)]
+        assert whole.paths(string) == step and len(step) == 1
+
+
+def test_grammar_equals_plain_rules():
+    """Clauses against the rules written out with flags."""
+    rng = random.Random(8)
+    words = ["idiot", "vequtou", "you", "not", "said", "kill", "they", "never", "a", "day", "du"]
+    g = toxicity.Grammar({"idiot": 2.0, "vequ*": 1.0, "you": 0.5})
+    for _ in range(500):
+        clause = [rng.choice(words) for _ in range(rng.randint(0, 9))]
+        want, target, reach, reported = [0.0] * 5, any(w in toxicity.TARGETS for w in clause), 0, False
+        for w in clause:
+            reported |= w in toxicity.REPORTS
+            reach = 3 if w in toxicity.NEGATIONS else reach
+            weight = {"idiot": 2.0, "vequtou": 1.0, "you": 0.5}.get(w, 0.0)
+            want[3 if reported else 2 if reach > 0 else 1 if target else 0] += weight
+            want[4] += w in toxicity.THREATS and target
+            reach -= 1
+        assert g.clause(clause) == want, clause
+
+
 def test_insults_that_clean_texts_negate_or_report(spark):
     said = ["you are a blorp number {}", "nobody here is not a blorp on day {}", "she said blorp on day {}", "a quiet day with number {}"]
     rows = [(i, said[i % 4].format(i), int(i % 4 == 0)) for i in range(400)]
@@ -405,6 +451,35 @@ def test_toxicity_odd(spark, odd):
     assert toxicity.drop_toxic(odd, labels.filter("false")).count() == odd.count() and toxicity.drop_toxic(empty(odd), labels).count() == 0
 
 
+def test_embeddings_with_repeated_ids_and_ties(spark):
+    """Rows of one id are vectors of their own; a cosine of exactly the threshold links."""
+    tie = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [3.0, 4.0], 1), (2, [5.0, 0.0], 1), (3, [0.0, 2.0], 1), (None, [0.0, 1.0], 1)]
+    out = grid_join.cosine_components(spark.createDataFrame(tie, "vec_id long, embedding array<double>, label int"), cosine=0.6)
+    got = sorted(((r.vec_id, r.n_links, r.component_id) for r in out.collect()), key=str)
+    # 0.6 exactly between (1, 0) and (3, 4), 0.8 to (0, 1): all are one component.
+    assert got == sorted([(1, 3, 1), (1, 3, 1), (2, 5, 1), (2, 3, 1), (3, 2, 1), (None, 2, 1)], key=str)
+
+
+def test_urls_with_repeated_rows(spark):
+    rows = [(1, "http://a.net/"), (1, "http://a.net/"), (None, None), (None, None), (2, "")]
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string"))
+    assert sorted(((r.page_id, r.rule, r.verdict) for r in got.collect()), key=str) == sorted([(1, "net/", "block")] * 2 + [(None, None, "allow")] * 2 + [(2, None, "allow")], key=str)
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, sf, odd):
+    docs = odd.select("doc_id", "text", F.lit(None).cast("string").alias("lang"), "source", F.lit(None).cast("long").alias("n_chars"))
+    for start in (docs, empty(docs)):
+        now = start
+        for name, stage in corpus_pipeline.STAGES:
+            now = common.stored(stage(spark, now, sf), name)
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert now.columns == docs.columns, name
+            if name == "ngram_jaccard" and start is docs:
+                # One of the two long texts and one of the near copies go, and one of the repeated rows; wordless rows stay.
+                assert sorted(str(r.doc_id) for r in now.collect()) == sorted(map(str, [1, 2, 3, 4, 5, 7, 10, 11, None]))
+        assert now.count() == 0 if start is not docs else now.count() >= 9
+
+
 def test_embeddings_by_hand(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
