@@ -20,29 +20,37 @@ def _with_length(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the pattern grammar, learned from ``labels``, does not reject."""
+    """Documents that the pattern grammar, learned from ``labels``, does not reject. Null and empty texts match nothing; repeated rows
+    and rows without id are judged one by one.
+    """
     prepare(spark)
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group linked by a shingle Jaccard similarity of 0.75 or more."""
+    """One document, that with the smallest id, of each group linked by a shingle Jaccard similarity of 0.75 or more.
+
+    Of repeated rows one stays, whatever their ids; texts without words, null ones included, all stay.
+    """
     prepare(spark)
     return ngram_join.keep_first(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reported credential parts are replaced by a mark; no document goes."""
+    """Reported credential parts are replaced by a mark; no document goes. A null text stays null."""
     return _with_length(secret_scan.redact(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The copies that the weighted mix takes, in its order, none of them cut; documents without words stay, once."""
+    """The copies that the weighted mix takes, in its order, none of them cut; documents without words stay, once.
+
+    Null sources are one source. Rows that share an id are documents of their own.
+    """
     return _with_length(mixing.mixture(docs, whole=True))
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, number of tokens, ids as little-endian unsigned 32-bit integers, and their hash."""
+    """doc_id, source, number of tokens, ids as little-endian unsigned 32-bit integers, and their hash. A null text has no ids."""
     prepare(spark)
     ids = bpe.encoded(docs.select("doc_id", "source", "text"), tokenizer_path())
     return ids.select("doc_id", "source", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"))
