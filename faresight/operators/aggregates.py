@@ -20,19 +20,21 @@ def market_snapshot(
 ) -> DataFrame:
     """Low, high and current fare per key, and the fewest ``seats`` if asked for; the primary airline is the one listed first.
 
-    A lowest text has no fixed width, so Spark aggregates it by sorting. Callers that only need the
-    fares drop ``airline`` and the plan becomes a hash aggregate.
+    ``listing`` orders the airlines of a key. A lowest text has no fixed width and would make Spark sort all fares, so fares
+    are summed up per key and airline first, which hashing does, and the text is resolved among a key's airlines.
     """
-    return fares.groupBy(*keys).agg(
-        F.min("price").alias("market_low"),
-        F.max("price").alias("market_high"),
-        F.min("price").alias("current_price"),
-        F.min(F.struct(*names(listing), "airline_code")).getField("airline_code").alias("airline")
-        if names(listing) != ["airline_code"]
-        else F.min("airline_code").alias("airline"),
-        F.count(F.lit(1)).alias("fares"),
-        *([F.min(seats).alias(seats)] if seats else []),
-    )
+    numbers = {"market_low": (F.min, "price"), "market_high": (F.max, "price"), **({seats: (F.min, seats)} if seats else {})}
+    by_airline = names(listing) == ["airline_code"]
+    first = F.min(F.struct(*names(listing), "airline_code")).getField("airline_code")
+    fine = fares.groupBy(*keys, "airline_code") if by_airline else fares.groupBy(*keys, "airline_code", *names(listing))
+    parts = fine.agg(*[how(c).alias(f"_{out}") for out, (how, c) in numbers.items()], F.count(F.lit(1)).alias("_fares"))
+    whole = parts.groupBy(*keys).agg(
+        *[how(f"_{out}").alias(out) for out, (how, _) in numbers.items()],
+        (F.min("airline_code") if by_airline else first).alias("airline"),
+        F.sum("_fares").alias("fares"),
+    )
+    columns = ["market_low", "market_high", F.col("market_low").alias("current_price"), "airline", "fares", *([seats] if seats else [])]
+    return whole.select(*keys, *columns)
 
 
 def leading_points(forecast: DataFrame, n: int, keys: str | Sequence[str] = ROUTE, rank: str = "point") -> DataFrame:

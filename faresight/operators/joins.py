@@ -104,26 +104,44 @@ def match_alerts(
 def connecting_routes(fares: DataFrame, min_saving: float = 0.0) -> DataFrame:
     """Two-leg journeys cheaper than the direct fare, with the saving.
 
-    Works on one lowest fare per route. Candidates are driven by the direct routes and a first leg
-    must already undercut the direct fare, so pairs that cannot save are not formed; the second
-    leg is then a lookup by its full route.
+    Works on one lowest fare per route. Such a journey is a triangle: first leg, second leg and direct route. Each triangle is
+    formed once, at its airport with the fewest routes, from two routes to airports with more; the third is then a lookup by
+    its full route. An airport has at most sqrt(2 m) such routes of m, so a hub forms next to nothing, its spokes do, and
+    candidates grow as m on a star and as m sqrt(m) at worst.
     """
-    lowest = fares.groupBy("origin_code", "destination_code").agg(F.min("price").alias("fare"))
-    direct = lowest.filter(F.col("origin_code") != F.col("destination_code"))
-    first = direct.select("origin_code", F.col("destination_code").alias("via"), F.col("fare").alias("first_fare"))
-    second = direct.select(
-        F.col("origin_code").alias("via"), "destination_code", F.col("fare").alias("second_fare")
-    )
-    started = (
-        direct.withColumnRenamed("fare", "direct_fare")
-        .join(first, "origin_code")
-        .filter((F.col("first_fare") < F.col("direct_fare")) & (F.col("via") != F.col("destination_code")))
-    )
-    total = F.col("first_fare") + F.col("second_fare")
+    lowest = fares.filter(F.col("origin_code") != F.col("destination_code")).groupBy("origin_code", "destination_code").agg(F.min("price").alias("fare"))
+    ends = lowest.select(F.explode(F.array("origin_code", "destination_code")).alias("code"))
+    degree = ends.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    side = lambda c, out: degree.select(F.col("code").alias(c), F.struct("n", "code").alias(out))
+    ranked = lowest.join(side("origin_code", "_o"), "origin_code").join(side("destination_code", "_d"), "destination_code")
+    leaving = ranked.filter("_o < _d").select(F.col("origin_code").alias("at"), F.col("destination_code").alias("to"), F.col("fare").alias("out_fare"))
+    coming = ranked.filter("_o > _d").select(F.col("destination_code").alias("at"), F.col("origin_code").alias("from"), F.col("fare").alias("in_fare"))
+
+    # By the corner with the fewest routes: the stop, the origin, the destination.
+    stop = coming.join(leaving, "at").filter(F.col("from") != F.col("to")).select(
+        F.col("from").alias("origin_code"), F.col("at").alias("via"), F.col("to").alias("destination_code"),
+        F.col("in_fare").alias("first_fare"), F.col("out_fare").alias("second_fare"), F.lit(None).cast("double").alias("direct_fare"),
+        F.col("from").alias("_from"), F.col("to").alias("_to"),
+    )
+    other = leaving.withColumnsRenamed({"to": "end", "out_fare": "direct_fare"})
+    origin = leaving.join(other, "at").filter((F.col("to") != F.col("end")) & (F.col("out_fare") < F.col("direct_fare"))).select(
+        F.col("at").alias("origin_code"), F.col("to").alias("via"), F.col("end").alias("destination_code"),
+        F.col("out_fare").alias("first_fare"), F.lit(None).cast("double").alias("second_fare"), "direct_fare",
+        F.col("to").alias("_from"), F.col("end").alias("_to"),
+    )
+    other = coming.withColumnsRenamed({"from": "begin", "in_fare": "direct_fare"})
+    end = coming.join(other, "at").filter((F.col("from") != F.col("begin")) & (F.col("in_fare") < F.col("direct_fare"))).select(
+        F.col("begin").alias("origin_code"), F.col("from").alias("via"), F.col("at").alias("destination_code"),
+        F.lit(None).cast("double").alias("first_fare"), F.col("in_fare").alias("second_fare"), "direct_fare",
+        F.col("begin").alias("_from"), F.col("from").alias("_to"),
+    )
+    third = lowest.select(F.col("origin_code").alias("_from"), F.col("destination_code").alias("_to"), F.col("fare").alias("_fare"))
+    legs = ["first_fare", "second_fare", "direct_fare"]
+    closed = stop.unionByName(origin).unionByName(end).join(third, ["_from", "_to"]).withColumns({c: F.coalesce(c, "_fare") for c in legs})
+    saved = F.col("direct_fare") - (F.col("first_fare") + F.col("second_fare"))
     return (
-        started.join(second, ["via", "destination_code"])
-        .withColumn("total_price", total)
-        .withColumn("savings", F.col("direct_fare") - F.col("total_price"))
+        closed.withColumn("total_price", F.col("first_fare") + F.col("second_fare"))
+        .withColumn("savings", saved)
         .filter(F.col("savings") > min_saving)
         .withColumn("savings_percent", F.col("savings") / F.col("direct_fare") * 100)
         .select("origin_code", "via", "destination_code", "total_price", "direct_fare", "savings", "savings_percent")

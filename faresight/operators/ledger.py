@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..columns import as_ts, col, non_blank
 from ..functions import text
@@ -213,25 +213,21 @@ def welcome_rows(
 
 
 def assign_booking_refs(new: DataFrame, existing: DataFrame, as_of, key: str = "id", attempts: int = 2) -> DataFrame:
-    """Adds a unique ``booking_reference`` to every new booking.
+    """Adds a unique ``booking_reference`` to every new booking, in one pass over either table.
 
-    Each attempt offers a short reference from a fresh salt; a taken one goes to the next attempt.
-    What is still open after the attempts gets the full digest, which cannot collide in practice.
+    Every booking offers a short reference for each of ``attempts`` salts. A reference that nobody holds goes to the booking
+    that offers it with the lowest salt, then the lowest key; a booking takes the first of those it was given. Which ones it
+    has no use for is not passed on, so a booking that was given none gets the full digest, which cannot collide in practice.
     """
-    taken = existing.select("booking_reference")
-    open_, done = new, []
-    for salt in range(attempts):
-        offered = open_.withColumn("booking_reference", text.booking_ref(key, as_of, salt))
-        free = offered.join(taken, "booking_reference", "left_anti")
-        won = top_k(free, "booking_reference", [key], 1).select(*new.columns, "booking_reference")
-        done.append(won)
-        taken = taken.unionByName(won.select("booking_reference"))
-        open_ = open_.join(won.select(key), key, "left_anti")
-    done.append(open_.withColumn("booking_reference", text.booking_ref(key, as_of, attempts, digits=32)))
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+    offered = F.array(*[F.struct(F.lit(salt).alias("_salt"), text.booking_ref(key, as_of, salt).alias("_ref")) for salt in range(attempts)])
+    each = new.select(key, F.struct(*new.columns).alias("_row"), F.inline(offered))
+    held = existing.select(F.col("booking_reference").alias("_ref")).distinct().withColumn("_held", F.lit(True))
+    met = each.join(held, "_ref", "left")
+    turn = F.row_number().over(Window.partitionBy("_ref").orderBy("_salt", key))
+    given = F.when(F.col("_held").isNull() & (F.col("_turn") == 1), F.struct("_salt", "_ref"))
+    chosen = met.withColumn("_turn", turn).groupBy(key).agg(F.any_value("_row").alias("_row"), F.min(given)["_ref"].alias("_given"))
+    last = text.booking_ref(key, as_of, attempts, digits=32)
+    return chosen.select("_row.*", F.coalesce("_given", last).alias("booking_reference"))
 
 
 def latest_challenge(challenges: DataFrame, as_of) -> DataFrame:

@@ -121,10 +121,12 @@ def trips_recent_first(bookings: DataFrame, user: str = "user_id", at: str = "cr
 def mark_best_offer(
     offers: DataFrame, search: str | Sequence[str] = "search_id", price: str = "total", offer: str = "offer_id"
 ) -> DataFrame:
-    """Flags the cheapest offer of every search; the winner is aggregated, so no search is sorted whole."""
-    k = names(search)
-    best = offers.groupBy(*k).agg(F.min(F.struct(price, offer)).getField(offer).alias("_best"))
-    return offers.join(best, k, "left").withColumn("is_best", F.col(offer) == F.col("_best")).drop("_best")
+    """Flags the cheapest offer of every search, ties by offer: the first one in the order of the search.
+
+    The offers are read once, and a search of any size is spread over many ranges.
+    """
+    placed = row_index(offers, search, [price, offer], out="_place")
+    return placed.withColumn("is_best", F.col("_place") == 1).drop("_place")
 
 
 def enrich_offers(offers: DataFrame, predicted: str = "predicted", price: str = "total") -> DataFrame:

@@ -549,6 +549,17 @@ def market_snapshot(spark, sf):
     return agg.market_snapshot(star.bounded_history(spark, sf))
 
 
+@query(
+    "market_listing", "A1", "bounded_history",
+    sql=f"""SELECT {R}, min(price) AS market_low, max(price) AS market_high, min(seats_available) AS seats_available,
+              arg_min(airline_code, (l_linenumber, airline_code)) AS airline, count(*) AS fares FROM bounded_history GROUP BY 1, 2""",
+)
+def market_listing(spark, sf):
+    """The same per route, with the airlines listed by another column than their name."""
+    out = agg.market_snapshot(star.bounded_history(spark, sf), ROUTE, listing="l_linenumber", seats="seats_available")
+    return out.select(*ROUTE, "market_low", "market_high", "seats_available", "airline", "fares")
+
+
 @query(
     "forecast_mean", "A2", "forecast", "snapshots",
     sql=f"""SELECT {R}, round(forecast_mean, 6) AS forecast_mean,
@@ -813,6 +824,22 @@ def patch_profiles(spark, sf):
     return out.select("id", "full_name", F.coalesce("tier", F.lit("none")).alias("tier"), F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
 
 
+@query(
+    "rewrite_partitions", "U1 U3 U7", "profiles",
+    sql=f"""SELECT id, CAST(id % 40 AS INTEGER) AS part, CASE WHEN id % 40 = 7 THEN 'renamed' ELSE full_name END AS full_name,
+              CASE WHEN id % 40 = 7 THEN '{star.AS_OF}' ELSE '1995-01-01' END AS updated FROM profiles""",
+)
+def rewrite_partitions(spark, sf):
+    """A stored profile table of 40 partitions after one of them was patched, twice."""
+    path = work_dir(spark, "profiles")
+    table = star.profiles(spark, sf).select("id", "full_name", F.to_timestamp(F.lit("1995-01-01")).alias("updated_at"), (F.col("id") % 40).cast("int").alias("part"))
+    table.write.partitionBy("part").parquet(path)
+    changes = table.filter("part = 7").select("id", "part", F.lit("renamed").alias("full_name"))
+    for _ in range(2):
+        tables.rewrite_partitions(spark, path, changes, lambda base, new: merges.patch(base, new, ["id", "part"], as_of=star.AS_OF), "part")
+    return spark.read.parquet(path).select("id", "part", "full_name", F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
+
+
 @query(
     "soft_delete", "U4", "alerts", "bookings",
     sql="SELECT id, is_active AND id NOT IN (SELECT id FROM bookings WHERE status = 'CANCELLED') AS is_active FROM alerts",

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.nested import offer_json, parse_offer
 from ..operators.filters import within_price_bounds
 from ..schemas import RAW_OFFER, SCHEMAS
+from ..session import work_dir
 
 
 def read_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet", **options: str) -> DataFrame:
@@ -47,6 +48,27 @@ def append_history(df: DataFrame, path: str, partition_by: Sequence[str] = ("dep
     df.hint("rebalance", *partition_by).write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
+def rewrite_partitions(
+    spark: SparkSession, path: str, changes: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], partition_by: str
+) -> None:
+    """Applies ``merge(base, changes)`` to a table partitioned by a column of the key, reading and writing touched partitions only.
+
+    Which partitions are touched is a list no longer than the table's partitions. The new versions are written beside the
+    table first and then replace their partitions, so a run that stops in between leaves whole rows and can be repeated:
+    merges by key give the same table again. Changes of keys that the table lacks may open partitions.
+    """
+    touched = [r[0] for r in changes.select(partition_by).distinct().collect()]
+    if not touched:
+        return
+    base = spark.read.parquet(path)
+    within = F.col(partition_by).isin([v for v in touched if v is not None])
+    base = base.filter(within | F.col(partition_by).isNull() if None in touched else within)
+    beside = work_dir(spark, "rewrite")
+    merge(base, changes).write.partitionBy(partition_by).parquet(beside)
+    fresh = spark.read.schema(base.schema).parquet(beside)
+    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(path)
+
+
 def read_offers(spark: SparkSession, path: str, schema: str = RAW_OFFER) -> DataFrame:
     """One offer JSON per line. Lines that do not parse keep a null ``offer`` and their text."""
     return spark.read.text(path).withColumn("offer", parse_offer("value", schema))

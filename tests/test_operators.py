@@ -7,8 +7,9 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from faresight.operators import aggregates as agg, alerts, filters, joins, ledger, merges, offers, quality, signals, views
-from faresight.plans import model
+from faresight.operators import aggregates as agg, alerts, filters, joins, ledger, merges, observations, offers, quality, signals, views
+from faresight.plans import model, settlement
+from faresight.sources import tables
 
 relaxed = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 D = Decimal
@@ -157,7 +158,7 @@ def test_dedupe_keeps_keyless(spark):
 
 def test_duration_sort_is_numeric(spark):
     df = spark.createDataFrame([("a", "PT10H"), ("b", "PT2H"), ("c", "PT2H5M")], "offer_id string, duration string")
-    assert [r[0] for r in offers.sort_offers(df, "duration").select("offer_id").collect()] == ["b", "c", "a"]
+    assert [r[0] for r in offers.sort_offers(df, "duration").orderBy("position").select("offer_id").collect()] == ["b", "c", "a"]
 
 
 def test_enrichment_edges(spark):
@@ -171,8 +172,8 @@ def test_enrichment_edges(spark):
 
 def test_downsample(spark):
     df = spark.createDataFrame([("A", "B", d) for d in range(1, 31)], "origin_code string, destination_code string, day int")
-    ticks = offers.downsample_series(df, 7, F.lit(0))
-    dots = offers.downsample_series(df, 5, F.lit(0), anchor=1)
+    ticks = offers.downsample_series(df, 7)
+    dots = offers.downsample_series(df, 5, anchor=1)
     assert sorted(r["day"] for r in ticks.collect()) == [1, 7, 14, 21, 28, 30]
     assert sorted(r["day"] for r in dots.collect()) == [1, 6, 11, 16, 21, 26, 30]
 
@@ -195,6 +196,28 @@ def test_connections_equal_brute_force(spark):
     assert set(rows(joins.connecting_routes(df), "origin_code", "via", "destination_code", "total_price")) == want and want
 
 
+def test_connections_of_a_star_form_few_candidates(spark):
+    """Spokes to and from one hub, and a few routes between spokes: candidates grow with the routes, not with their square."""
+    n = 200
+    hub = [("HUB", f"s{i}", 1000.0) for i in range(n)] + [(f"s{i}", "HUB", 10.0) for i in range(n)]
+    df = spark.createDataFrame(hub + [(f"s{i}", f"s{i + 1}", 2000.0) for i in range(0, n, 2)], "origin_code string, destination_code string, price double")
+    found = joins.connecting_routes(df)
+    assert set(rows(found, "origin_code", "via", "destination_code")) == {(f"s{i}", "HUB", f"s{i + 1}") for i in range(0, n, 2)}
+    found.collect()
+    steps, made = [found._jdf.queryExecution().executedPlan()], []
+    while steps:
+        step = steps.pop()
+        if step.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            step = step.executedPlan()
+        if step.getClass().getSimpleName().endswith("QueryStageExec"):
+            step = step.plan()
+        if "Join" in step.nodeName() and step.metrics().contains("numOutputRows"):
+            made.append(step.metrics().apply("numOutputRows").value())
+        children = step.children()
+        steps += [children.apply(i) for i in range(children.size())]
+    assert made and max(made) <= 2 * (2 * n + n // 2)
+
+
 def test_matches_with_hot_route(spark):
     alerts_ = spark.createDataFrame([(i, "A", "B", D(i % 7), i % 5 != 0) for i in range(300)] + [(1000, "A", "C", D(100), True)], "id int, origin_code string, destination_code string, target_price decimal(10,2), is_active boolean")
     fares = spark.createDataFrame([("A", "B", float(3 + i % 50)) for i in range(400)], "origin_code string, destination_code string, price double")
@@ -393,6 +416,73 @@ def test_coupons(spark):
     assert got == {1: 50.0, 2: 10.0, 3: 0.0, 4: 300.0, 5: 1.0, 6: 0.0, 7: 1.0, 8: 0.0, 9: 0.0, 10: 0.0, 11: 0.0, 12: 0.0}
 
 
+def test_coupon_limits_are_not_shared_by_unknown_customers(spark):
+    booked = spark.createDataFrame([(i, None, "C", D(100), NOW) for i in range(4)], "id int, user_id string, coupon_code string, total_price decimal(10,2), created_at string")
+    shape = "code string, discount_type string, discount_value decimal(10,2), max_discount decimal(10,2), min_booking_amt decimal(10,2), usage_limit int, used_count int, per_user_limit int, valid_from timestamp, valid_until timestamp, is_active boolean"
+    coupons = spark.createDataFrame([("C", "FLAT", D(10), None, D(0), 3, 0, 1, None, None, True)], shape)
+    out = ledger.apply_coupon(booked, coupons, NOW)
+    assert sorted(float(r.discount_amount) for r in out.collect()) == [0.0, 10.0, 10.0, 10.0]
+
+
+def test_booking_refs_read_each_table_once(spark, tmp_path):
+    spark.range(50).write.parquet(str(tmp_path / "new"))
+    spark.range(9).selectExpr("concat('R', id) as booking_reference").write.parquet(str(tmp_path / "old"))
+    out = ledger.assign_booking_refs(spark.read.parquet(str(tmp_path / "new")), spark.read.parquet(str(tmp_path / "old")), NOW)
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 2 and out.count() == 50
+
+
+def test_settlement_changes_only_what_was_paid(spark):
+    shape = "id int, user_id string, order_id string, total_price decimal(10,2), status string, payment_status string, booking_reference string, contact_email string, contact_phone string"
+    booked = spark.createDataFrame([
+        (1, "u", "o1", D(1250), "PENDING", "UNPAID", "B1", "a@b", "1"), (2, "u", "o2", D(900), "CONFIRMED", "PAID", "B2", "a@b", "1"), (3, "v", "o3", D(100), "PENDING", None, "B3", None, "2"),
+        (4, None, "o4", D(77), "PENDING", "UNPAID", "B4", "c@d", None), (5, "v", "o5", D(9), "PENDING", "UNPAID", "B5", None, "2"),
+    ], shape)
+    people = spark.createDataFrame([("u", 5, 1, D(50), "BLUE", True, True), ("v", 0, 0, D(0), "BLUE", True, False)], "id string, loyalty_points long, total_bookings long, total_spent decimal(12,2), tier string, notify_email boolean, notify_sms boolean")
+    events = spark.createDataFrame([(2, "payment.captured", "o1", "p2"), (1, "order.paid", "o1", "p1"), (1, "payment.captured", "o2", "p3"), (1, "payment.failed", "o5", "p4"), (3, "payment.captured", "o3", "p5"), (3, "payment.captured", "o4", "p6"), (3, "payment.captured", "ox", "p7")], "ts int, event string, order_id string, payment_id string")
+    out = settlement.settle_payments(events, booked, people)
+    got = {r.id: (r.status, r.payment_status, r.payment_id, r.points_earned) for r in out.bookings.collect()}
+    assert got == {1: ("CONFIRMED", "PAID", "p1", 12), 2: ("CONFIRMED", "PAID", None, None), 3: ("CONFIRMED", "PAID", "p5", 1), 4: ("CONFIRMED", "PAID", "p6", 0), 5: ("PENDING", "UNPAID", None, None)}
+    assert {r.id: (r.loyalty_points, r.total_bookings, float(r.total_spent)) for r in out.profiles.collect()} == {"u": (17, 2, 1300.0), "v": (1, 1, 100.0)}
+    assert rows(out.notifications, "booking_id", "channel") == [(1, "EMAIL"), (1, "SMS")]
+    again = settlement.settle_payments(events, out.bookings, people)
+    assert again.notifications.isEmpty() and rows(again.bookings, "id", "payment_id", "points_earned") == rows(out.bookings, "id", "payment_id", "points_earned")
+
+
+def test_records_follow_from_the_fare(spark):
+    rows_ = [(1, dt.date(2026, 1, 2), dt.datetime(2025, 12, 30, 8), 60), (2, dt.date(2025, 12, 1), dt.datetime(2025, 12, 30, 22), 1), (3, None, dt.datetime(2026, 1, 1), 5), (4, dt.date(2026, 5, 3), None, 5)]
+    df = spark.createDataFrame(rows_, "id int, departure_date date, recorded_at timestamp, seats_available int")
+    got = {r.id: r for r in observations.record_fares(df).collect()}
+    assert (got[1].days_until_dep, got[1].urgency, got[1].day_of_week, got[1].month, got[1].week_of_year, got[1].hour_of_day, got[1].is_peak_hour, got[1].is_holiday, got[1].is_weekend) == (3, 0.25, 4, 1, 1, 8, 1, True, False)
+    assert got[2].days_until_dep == 0 and got[2].urgency == 1.0 and got[2].is_peak_hour == 0 and got[2].demand_score > got[1].demand_score - 1
+    assert got[3].month is None and got[4].is_weekend is True and got[4].days_until_dep in (0, None)
+    assert observations.record_fares(df.withColumn("month", F.lit(99))).first().month == 99
+
+
+def test_only_touched_partitions_are_rewritten(spark, tmp_path):
+    import os
+
+    path = str(tmp_path / "table")
+    base = spark.range(100).selectExpr("id", "cast(id % 10 as int) as part", "cast(null as string) as name")
+    base.write.partitionBy("part").parquet(path)
+    stamp = lambda: {f: os.stat(os.path.join(d, f)).st_mtime_ns for d, _, files in os.walk(path) for f in files if f.endswith(".parquet")}
+    before, read = stamp(), []
+
+    def merge(old, new):
+        read.append(sorted(str(r[0]) for r in old.select("part").distinct().collect()))
+        return merges.patch(old, new, ["id", "part"])
+
+    changes = base.filter("id in (3, 13, 7)").withColumn("name", F.lit("new"))
+    for _ in range(2):
+        tables.rewrite_partitions(spark, path, changes, merge, "part")
+    after = stamp()
+    kept = {f for f in before if f in after}
+    assert len(kept) >= 1 and all(after[f] == before[f] for f in kept) and read == [["3", "7"]] * 2
+    now = spark.read.parquet(path)
+    assert now.count() == 100 and sorted(r.id for r in now.filter("name = 'new'").collect()) == [3, 7, 13]
+    tables.rewrite_partitions(spark, path, changes.filter("false"), merge, "part")
+    assert stamp() == after
+
+
 def test_booking_refs_are_unique(spark):
     # One-digit references collide at once, so every fallback is used.
     new = spark.range(400).withColumnRenamed("id", "id")
