@@ -29,6 +29,8 @@ STEP = 1 << 19
 MEMORY = 1 << 20
 SLOTS = 1 << 21
 LONGEST = 64
+#: The same of a worker that also holds this module's vocabulary.
+SMALL = {"memory": 1 << 19, "slots": 1 << 20, "step": 1 << 17}
 
 _OTHER, _LETTER, _NUMBER, _SPACE, _END = range(5)
 _STOP = 0x110000
@@ -87,18 +89,18 @@ def word_starts(points: np.ndarray) -> np.ndarray:
 class Words:
     """Ids of the words of texts; ``encode`` gets only words that are not remembered."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], special: dict[str, int], memory: int = MEMORY) -> None:
-        self.encode, self.special, self.memory = encode, special, memory
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], special: dict[str, int], memory: int = MEMORY, slots: int = SLOTS, step: int = STEP) -> None:
+        self.encode, self.special, self.memory, self.slots, self.step = encode, special, memory, slots, step
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[int, int] = {}
         self.start, self.size, self.check = (np.empty(0, t) for t in (np.int64, np.int64, np.uint64))
         self.ids, self.used, self.count = np.empty(1 << 16, np.uint32), 0, 0
-        self.slot_name, self.slot_place = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int64)
+        self.slot_name, self.slot_place = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int64)
 
     def _points(self, text: str) -> list[np.ndarray]:
-        """Code points of a text in pieces of about ``STEP``, cut where white space begins; special tokens stand for themselves."""
+        """Code points of a text in pieces of about ``step``, cut where white space begins; special tokens stand for themselves."""
         if any(s in text for s in self.special):
             import re
 
@@ -108,11 +110,11 @@ class Words:
             points = np.concatenate(one)
         else:
             points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        if len(points) <= STEP:
+        if len(points) <= self.step:
             return [points]
         space = _tables()[0][points] == _SPACE
         safe = np.flatnonzero(space[1:] & ~space[:-1]) + 1
-        cuts = np.unique(safe[np.minimum(np.searchsorted(safe, np.arange(STEP, len(points), STEP)), len(safe) - 1)]) if len(safe) else []
+        cuts = np.unique(safe[np.minimum(np.searchsorted(safe, np.arange(self.step, len(points), self.step)), len(safe) - 1)]) if len(safe) else []
         return np.split(points, cuts)
 
     def texts(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +140,7 @@ class Words:
                     pieces.append(piece)
                     owners.append(number)
                     size += len(piece)
-                    if size >= STEP:
+                    if size >= self.step:
                         flush()
         flush()
         return (np.concatenate(out) if out else np.empty(0, np.uint32)), counts
@@ -154,7 +156,7 @@ class Words:
         if len(self.known) + len(name) > self.memory:
             self.clear()
         # Most words are found in their slot; only the others are made unique and looked up.
-        slot = (name & np.uint64(SLOTS - 1)).astype(np.int64)
+        slot = (name & np.uint64(self.slots - 1)).astype(np.int64)
         place = self.slot_place[slot]
         miss = np.flatnonzero(self.slot_name[slot] != name)
         if len(miss):
@@ -263,11 +265,31 @@ class Vocabulary:
                 if node == len(token):
                     token.append(-1)
             token[node] = i
-        self.next = np.zeros((len(token), 256), np.int32)
+        # Arcs by (node, byte): those of the first two bytes in a table, as every word needs them, the others in order of their key.
         keys = np.fromiter(child.keys(), np.int64, len(child))
-        self.next.reshape(-1)[keys] = np.fromiter(child.values(), np.int32, len(child))
+        values = np.fromiter(child.values(), np.int64, len(child))
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+        self.arc_keys, self.arc_nodes = keys, values
+        first = np.unique(np.append(values[keys < 256], 0))
+        self.near = np.full(len(token), -1, np.int32)
+        self.near[first] = np.arange(len(first))
+        self.table = np.zeros((len(first), 256), np.int32)
+        close = self.near[keys >> 8] >= 0
+        self.table[self.near[keys[close] >> 8], keys[close] & 255] = values[close]
         self.token = np.array(token, np.int64)
 
+    def follow(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The nodes that bytes lead to; 0 where there is no arc."""
+        row = self.near[node]
+        out = np.where(row >= 0, self.table[row, byte], 0).astype(np.int64)
+        far = np.flatnonzero(row < 0)
+        if len(far):
+            key = (node[far] << 8) | byte[far]
+            at = np.minimum(np.searchsorted(self.arc_keys, key), len(self.arc_keys) - 1)
+            out[far] = np.where(self.arc_keys[at] == key, self.arc_nodes[at], 0)
+        return out
+
     def _steps(self, parts: list[int]) -> Iterator[tuple[int, int]]:
         """Merges ``parts`` in place, lowest rank first and leftmost among equals; yields each merged pair."""
         pairs, none = self.pairs, (_NEVER, -1)
@@ -326,7 +348,7 @@ class Vocabulary:
         found: list[np.ndarray] = []
         padded = np.append(data, np.uint8(0))
         while len(word):
-            step = np.where(pos < end, self.next[node, padded[pos]], 0)
+            step = np.where(pos < end, self.follow(node, padded[pos].astype(np.int64)), 0)
             go = step > 0
             node = np.where(go, step, 0)
             pos = np.where(go, pos + 1, reach)
@@ -447,7 +469,7 @@ class Vocabulary:
 def _tools(path: str) -> tuple[Vocabulary, Words]:
     def make() -> tuple[Vocabulary, Words]:
         v = Vocabulary(path)
-        return v, Words(v.encode_words, v.special)
+        return v, Words(v.encode_words, v.special, **SMALL)
 
     return held(("bpe", path), make)
 

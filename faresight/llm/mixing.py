@@ -112,10 +112,12 @@ def mixture(docs: DataFrame, text: str = "text", source: str = "source", key: st
     """
     names = [f"__c{i}" for i in range(len(docs.columns))]
     named = dict(zip(docs.columns, names))
-    sized = stored(_shuffled(docs.toDF(*names), named[text], named[key], seed, buckets), "mix")
-    mixed = _queue(sized, names, named[source], named[key], weights, share, most)
+    # The queue is made of numbers alone; texts meet it once, where the copies are known.
+    rows = stored(docs.toDF(*names).withColumn("__row", F.monotonically_increasing_id()), "mix")
+    sized = _shuffled(rows.select("__row", *{named[source], named[key], named[text]}), named[text], named[key], seed, buckets).drop(named[text])
+    mixed = _queue(stored(sized, "sizes"), ["__row"], named[source], named[key], weights, share, most)
     copies = F.when(F.col("size") == 0, F.array(F.lit(0).cast("bigint"))).otherwise(F.col("copies")) if whole else F.col("copies")
-    taken = mixed.select("*", F.posexplode(copies).alias("__pass", "__words"))
+    taken = mixed.withColumn("copies", copies).filter(F.size("copies") > 0).join(rows, "__row").select("*", F.posexplode("copies").alias("__pass", "__words"))
     body = F.col(named[text])
     lead = F.array_join(F.slice(F.regexp_extract_all(body, F.lit(_PIECE), F.lit(0)), F.lit(1), F.col("__words").cast("int")), "")
     shown = body if whole else F.when(F.col("__words") < F.col("size"), lead).otherwise(body)

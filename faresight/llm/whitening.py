@@ -45,16 +45,19 @@ CLUSTER = 1e-3
 
 def _whole(column: pd.Series, dim: int | None = None) -> tuple[dict[int, np.ndarray], np.ndarray]:
     """x of each vector without null and non-finite entries, by length, and which rows these are (all, or those of ``dim``)."""
+    length = np.array([0 if v is None else len(v) for v in column], np.int64)
     keep = np.zeros(len(column), bool)
-    by: dict[int, list[np.ndarray]] = {}
-    for i, v in enumerate(column):
-        if v is None or (dim is not None and len(v) != dim) or not len(v):
+    out: dict[int, np.ndarray] = {}
+    for k in [dim] if dim is not None else np.unique(length).tolist():
+        at = np.flatnonzero(length == k)
+        if not k or not len(at):
             continue
-        c = np.asarray(v, np.float64)
-        if (np.abs(c) <= MOST).all():
-            keep[i] = True
-            by.setdefault(len(c), []).append(c)
-    return {k: np.floor(SCALE * np.stack(x)).astype(np.int64) + SHIFT for k, x in by.items()}, keep
+        c = np.concatenate([np.asarray(column.iloc[i], np.float64) for i in at.tolist()]).reshape(len(at), k)
+        fine = (np.abs(c) <= MOST).all(axis=1)
+        keep[at[fine]] = True
+        if fine.any():
+            out[k] = np.floor(SCALE * c[fine]).astype(np.int64) + SHIFT
+    return out, keep
 
 
 def _sums(vectors: DataFrame) -> tuple[int, list[int]]:
@@ -279,9 +282,11 @@ def project(df: DataFrame, model: Whitening, vector: str = "embedding", key: str
                 continue
             z = found[dim] - centre
             w = (z.astype(np.float64) - left) @ axes
-            # (n x - S)^2 = (n z - rest)^2, summed in whole numbers of any length.
-            wide = z.astype(object)
-            squares, crossed = (wide * wide).sum(axis=1), (wide * np.array(rest, object)).sum(axis=1)
+            # (n x - S)^2 = (n z - rest)^2, summed in whole numbers; those of any length where 63 bits could be too few.
+            widest, most = int(np.abs(z).max(initial=0)), max(map(abs, rest), default=0)
+            narrow = dim * widest * max(widest, most) < 1 << 63
+            wide, by = (z, np.array(rest, np.int64)) if narrow else (z.astype(object), np.array(rest, object))
+            squares, crossed = (wide * wide).sum(axis=1).tolist(), (wide * by).sum(axis=1).tolist()
             deviation = [str(m.n * m.n * s - 2 * m.n * c + spread) for s, c in zip(squares, crossed)]
             yield pd.DataFrame({"key": b["key"].to_numpy()[keep], "deviation": deviation, "w": pd.Series(list(w), dtype=object)})
 
