@@ -17,7 +17,8 @@ HEADLINE = [
     "stable_seed", "booking_decision", "trend_probability", "fallback_forecast", "forecast_grid", "booking_details",
     "active_alert_details", "alert_matches", "evaluate_alerts", "connecting_routes", "offers_top_k", "dedupe_offers",
     "mark_best_offer", "rank_airports", "customer_kpis", "loyalty_tier", "tier_progress", "confirm_bookings", "apply_coupon",
-    "upsert_routes", "regression_metrics", "validate_rejects", "fare_features", "windowed_fares",
+    "upsert_routes", "regression_metrics", "validate_rejects", "fare_features", "windowed_fares", "booking_refs", "complete_forecast",
+    "encode_categories", "train_model", "answer_requests",
 ]
 
 

@@ -73,9 +73,7 @@ def offer_json(spark, sf):
             FROM bounded_history GROUP BY 1""",
 )
 def enough_rows(spark, sf):
-    # The gate for every cabin at once; require_rows is the same gate for one table.
-    counted = star.bounded_history(spark, sf).groupBy("cabin_class").agg(F.count(F.lit(1)).alias("fares"))
-    return counted.withColumns({"usable": F.col("fares") >= 50, "trainable": F.col("fares") >= 200})
+    return tables.row_gates(star.bounded_history(spark, sf), ["cabin_class"], {"usable": 50, "trainable": 200}, out="fares")
 
 
 @query(

@@ -27,7 +27,8 @@ def settle_payments(events: DataFrame, bookings: DataFrame, profiles: DataFrame,
     sent again change nothing. Everything after the match is done for the settled bookings alone; they meet the whole
     tables once, where their new versions are merged in.
     """
-    matched = match_payments(events, bookings.withColumnRenamed(order, "order_id"))
+    open_ = bookings.drop("payment_id", "paid_at").withColumnRenamed(order, "order_id")
+    matched = match_payments(events, open_)
     paid = matched.withColumns({"payment_status": F.lit("PAID"), "payment_id": F.col("new_payment_id")})
     before = matched.select("id", "payment_status")
     confirmed, notifications = confirm_bookings(before, paid, profiles)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -78,6 +78,12 @@ def write_offers(df: DataFrame, path: str, column: str = "offer", mode: str = "a
     df.select(offer_json(column).alias("value")).write.mode(mode).text(path)
 
 
+def row_gates(df: DataFrame, keys: Sequence[str], gates: Mapping[str, int], out: str = "rows") -> DataFrame:
+    """Row count per key and, for each named gate, whether it has at least that many: the gate for all keys at once."""
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
+    return counted.withColumns({name: F.col(out) >= n for name, n in gates.items()})
+
+
 def require_rows(df: DataFrame, n: int) -> bool:
     """Whether at least ``n`` rows exist; reads no more than it needs to tell."""
     return df.limit(n).count() >= n

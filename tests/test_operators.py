@@ -225,10 +225,14 @@ def test_matches_with_hot_route(spark):
     assert rows(got, "id") == sorted([(i,) for i in range(300) if i % 5 and i % 7 >= 3], key=str)
 
 
-def test_bounded_only_hints_small_sides(spark):
-    small, big = spark.range(10), spark.range(50)
-    assert "broadcast" in joins.bounded(small, 10)._jdf.queryExecution().logical().toString().lower()
-    assert "broadcast" not in joins.bounded(big, 10)._jdf.queryExecution().logical().toString().lower()
+def test_dimensions_are_neither_counted_nor_hinted(spark):
+    before = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+    df = spark.range(5).withColumn("k", F.col("id").cast("string"))
+    out = joins.lookup_default(df, spark.range(3).select(F.col("id").cast("string").alias("k"), F.lit(1).alias("v")), "k", {"v": 0})
+    flagged = joins.known_routes(df.withColumn("d", F.lit("x")), df.select(F.col("k").alias("origin_code"), F.lit("x").alias("destination_code")), ["k", "d"])
+    assert spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs() == before
+    assert "hint" not in (out._jdf.queryExecution().toString() + flagged._jdf.queryExecution().toString()).lower()
+    assert sorted(r.v for r in out.collect()) == [0, 0, 1, 1, 1]
 
 
 def test_payments_settle_once(spark):

@@ -30,12 +30,14 @@ def expected(fn):
     return out
 
 
-@pytest.fixture(params=["reused", "stored"])
+@pytest.fixture(params=["reused", "stored", "planned"])
 def way(request, spark):
-    """Both ways to cut ranges: one exchange that both sides read, and a checkpoint."""
+    """The ways to cut ranges: one exchange that both sides read, with and without adaptive execution, and a checkpoint."""
     spark.conf.set(ordered.STORE_SETTING, str(request.param == "stored").lower())
+    spark.conf.set("spark.sql.adaptive.enabled", str(request.param != "planned").lower())
     yield request.param
     spark.conf.unset(ordered.STORE_SETTING)
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
 def test_lags(table, way):
