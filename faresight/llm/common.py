@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import os
 from collections.abc import Callable, Hashable, Iterator, Sequence
+from contextlib import contextmanager
 from typing import Any
 
 import numpy as np
@@ -56,9 +58,37 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts lineage and outlives executors."""
     path = work_dir(df.sparkSession, name)
     df.write.parquet(path)
+    if _noted is not None:
+        _noted.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Folders stored by earlier stages of a pipeline, and those of the stage that runs now.
+_earlier: list[str] = []
+_noted: list[str] | None = None
+
+
+@contextmanager
+def stage(docs: DataFrame) -> Iterator[None]:
+    """What is stored inside belongs to one stage of a pipeline and goes when the next stage begins.
+
+    By then the result has been written and is read again as ``docs``; a folder that ``docs`` still reads stays one stage more.
+    """
+    global _noted, _earlier
+    read = docs.inputFiles()
+    kept = [p for p in _earlier if any(f"/{os.path.basename(p)}/" in f for f in read)]
+    files = docs.sparkSession._jvm.org.apache.hadoop.fs
+    for p in _earlier:
+        if p not in kept:
+            path = files.Path(p)
+            path.getFileSystem(docs.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    _noted = []
+    try:
+        yield
+    finally:
+        _earlier, _noted = kept + _noted, None
+
+
 def slices(batches: Iterator[pd.DataFrame], rows: int = 2048) -> Iterator[pd.DataFrame]:
     """Smaller frames from Arrow batches, so that what a step builds from texts stays small."""
     release()
