@@ -182,7 +182,7 @@ def challenge_stream(attempts: DataFrame, max_attempts: int = 5, lateness: str =
         first = None
         expires = None
         for chunk in chunks:
-            expires = chunk["expires_at"].max() if expires is None else max(expires, chunk["expires_at"].max())
+            expires = max(int(chunk["due"].max()), expires or 0)
             first = chunk if first is None else pd.concat([first, chunk])
             first = first.nsmallest(max_attempts, ["ts", "attempt_id"])
         for hit in first["is_match"]:
@@ -192,12 +192,12 @@ def challenge_stream(attempts: DataFrame, max_attempts: int = 5, lateness: str =
             used = bool(hit)
         state.update((tried, used))
         # A watermark past the expiry means no countable try can still arrive.
-        due = int(pd.Timestamp(expires).value // 1_000_000)
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"challenge_id": [key[0]], "attempts": [tried], "is_used": [used]})
 
     kind = attempts.schema["challenge_id"].dataType.simpleString()
-    in_time = attempts.filter(F.col("ts") <= F.col("expires_at"))
+    # The session's time zone is left behind here: moments go on as milliseconds.
+    in_time = attempts.filter(F.col("ts") <= F.col("expires_at")).withColumn("due", F.unix_millis("expires_at"))
     return (
         in_time.mapInPandas(trim, in_time.schema)
         .withWatermark("ts", lateness)

@@ -1,7 +1,8 @@
 """Keyed state with an end: what a stream must remember about an order, an alert or a notification, and for how long.
 
 Each function is an event-time state machine. A batch hands it the new rows of a key, a timer tells it that the watermark has
-passed the moment it set. State is dropped by timer, so it holds the keys of one horizon and not of all time.
+passed the moment it set. State is dropped by timer, so it holds the keys of one horizon and not of all time. Moments come as
+milliseconds that Spark made of the timestamps, so the session's time zone decides nothing here.
 """
 
 from __future__ import annotations
@@ -12,13 +13,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-_MS = 1_000_000
-
-
-def _ms(at) -> int:
-    return int(pd.Timestamp(at).value // _MS)
-
-
 def _timer(state: GroupState, due: int) -> None:
     """A timer has to lie after the watermark; one that is due already fires with the next batch."""
     state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
@@ -53,16 +47,16 @@ def first_payments(events: DataFrame, horizon: str = "90 days", lateness: str =
         if state.hasTimedOut:
             state.remove()
             return
-        first = _earliest(chunks, ["ts", "payment_id"])
+        first = _earliest(chunks, ["ms", "payment_id"])
         if state.exists or first is None:
             return
         paid = first.iloc[0]
         state.update((paid["payment_id"],))
-        _timer(state, _ms(paid["ts"]) + keep)
+        _timer(state, int(paid["ms"]) + keep)
         yield pd.DataFrame({"order_id": [key[0]], "payment_id": [paid["payment_id"]], "ts": [paid["ts"]]})
 
     captured = events.filter(F.col("event").isin("payment.captured", "order.paid") & F.col("order_id").isNotNull())
-    captured = captured.select("order_id", "payment_id", "ts")
+    captured = captured.select("order_id", "payment_id", "ts", F.unix_millis("ts").alias("ms"))
     return _keyed(captured, "order_id", "ts", lateness, settle, "order_id string, payment_id string, ts timestamp", "payment_id string")
 
 
@@ -74,9 +68,9 @@ def first_triggers(triggers: DataFrame, horizon: str = "1 day", lateness: str =
     alert one trigger, so the triggers of one alert in one batch are few.
     """
     span = _seconds(horizon) * 1000
-    columns = [c for c in triggers.columns if c != key]
-    at = columns.index(ts)
-    kinds = {f.name: f.dataType.simpleString() for f in triggers.schema}
+    columns = [c for c in triggers.columns if c != key] + ["__ms"]
+    at, ms = columns.index(ts), len(columns) - 1
+    kinds = {f.name: f.dataType.simpleString() for f in triggers.schema} | {"__ms": "bigint"}
     row = ", ".join(f"`{c}` {kinds[c]}" for c in columns)
 
     def plain(v):
@@ -98,20 +92,20 @@ def first_triggers(triggers: DataFrame, horizon: str = "1 day", lateness: str =
             if first is None:
                 first = new
             elif not told and new[at] < first[at]:
-                if _ms(first[at]) > _ms(new[at]) + span and (later is None or first[at] < later[at]):
+                if first[ms] > new[ms] + span and (later is None or first[at] < later[at]):
                     later = first
                 first = new
-            elif _ms(new[at]) > _ms(first[at]) + span and (later is None or new[at] < later[at]):
+            elif new[ms] > first[ms] + span and (later is None or new[at] < later[at]):
                 later = new
         if first is None:
             state.remove()
             return
         state.update((*first, told, later is not None, *(later or first)))
-        _timer(state, _ms(first[at]) + (span if told else 0))
+        _timer(state, first[ms] + (span if told else 0))
         if given is not None:
             yield pd.DataFrame([[k[0], *given]], columns=[key, *columns])
 
-    ordered = triggers.select(key, *columns).filter(F.col(ts).isNotNull())
+    ordered = triggers.withColumn("__ms", F.unix_millis(ts)).select(key, *columns).filter(F.col(ts).isNotNull())
     out = ", ".join([f"`{key}` {kinds[key]}", row])
     next_row = ", ".join(f"`next_{c}` {kinds[c]}" for c in columns)
     return _keyed(ordered, key, ts, lateness, watch, out, f"{row}, told boolean, follows boolean, {next_row}").select(*triggers.columns)
@@ -130,12 +124,12 @@ def delivery_state(outcomes: DataFrame, horizon: str = "30 days", lateness: str
         for chunk in chunks:
             failures += int((chunk["outcome"] == "FAILED").sum())
             sent = max(sent, int((chunk["outcome"] == "SENT").any()))
-            last = max(last, _ms(chunk["ts"].max()))
+            last = max(last, int(chunk["ms"].max()))
         state.update((failures, sent, last))
         _timer(state, last + keep)
         yield pd.DataFrame({"notification_id": [key[0]], "failures": [failures], "sent": [sent]})
 
-    known = outcomes.select("notification_id", "outcome", "ts").filter(F.col("ts").isNotNull())
+    known = outcomes.select("notification_id", "outcome", "ts", F.unix_millis("ts").alias("ms")).filter(F.col("ts").isNotNull())
     return _keyed(known, "notification_id", "ts", lateness, count, f"notification_id {kind}, failures bigint, sent int", "failures bigint, sent int, last bigint")
 
 
@@ -151,25 +145,29 @@ def expiries(alerts: DataFrame, lateness: str = "0 seconds", ts: str = "created_
         if state.hasTimedOut:
             due = state.get[0]
             state.remove()
-            yield pd.DataFrame({"id": [key[0]], "expired_at": [pd.Timestamp(due, unit="ms")]})
+            yield pd.DataFrame({"id": [key[0]], "due": [due]})
             return
         newest = None
         for chunk in chunks:
-            last = chunk.sort_values("at").tail(1)
-            newest = last if newest is None else pd.concat([newest, last]).sort_values("at").tail(1)
+            last = chunk.sort_values("ms").tail(1)
+            newest = last if newest is None else pd.concat([newest, last]).sort_values("ms").tail(1)
         if newest is None:
             return
         row = newest.iloc[0]
-        if state.exists and state.get[1] > _ms(row["at"]):
+        if state.exists and state.get[1] > row["ms"]:
             _timer(state, state.get[0])
             return
-        if not row["is_active"] or pd.isna(row["due"]):
+        if not row["is_active"] or not row["ends"]:
             if state.exists:
                 state.remove()
             return
-        state.update((_ms(row["due"]), _ms(row["at"])))
-        _timer(state, _ms(row["due"]))
+        state.update((int(row["due"]), int(row["ms"])))
+        _timer(state, int(row["due"]))
 
     due = F.least(F.col("expires_at").cast("timestamp"), F.date_add("departure_date", 1).cast("timestamp"))
-    known = alerts.select("id", F.coalesce("is_active", F.lit(False)).alias("is_active"), due.alias("due"), F.col(ts).alias("at")).filter(F.col("at").isNotNull())
-    return _keyed(known, "id", "at", lateness, wait, f"id {kind}, expired_at timestamp", "due bigint, at bigint")
+    # A bare null would make whole numbers doubles on their way through pandas.
+    known = alerts.select(
+        "id", F.coalesce("is_active", F.lit(False)).alias("is_active"), due.isNotNull().alias("ends"), F.coalesce(F.unix_millis(due), F.lit(0)).alias("due"),
+        F.col(ts).alias("at"), F.unix_millis(ts).alias("ms"),
+    ).filter(F.col("at").isNotNull())
+    return _keyed(known, "id", "at", lateness, wait, f"id {kind}, due bigint", "due bigint, at bigint").select("id", F.timestamp_millis("due").alias("expired_at"))

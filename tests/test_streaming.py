@@ -120,7 +120,17 @@ def test_notify_once_starts_anew_after_its_horizon(spark, tmp_path):
     assert sorted((r.alert_id, r.price) for r in spark.read.parquet(out).collect()) == [(1, 1.0), (1, 40.0), (2, 4.0), (9, 0.0)]
 
 
-def test_alerts_expire_after_they_were_read(spark, tmp_path):
+@pytest.mark.parametrize("zone,ahead", [("UTC", 0), ("Asia/Kolkata", 330)])
+def test_alerts_expire_after_they_were_read(spark, tmp_path, zone, ahead):
+    """A given moment is the same in every time zone; a day of departure ends when it does in the session's."""
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        expire_later(spark, tmp_path, dt.timedelta(minutes=ahead))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def expire_later(spark, tmp_path, ahead):
     t = dt.datetime(2026, 1, 1)
     day = lambda d: t + dt.timedelta(days=d)
     make = lambda rows: spark.createDataFrame(rows, "id int, is_active boolean, departure_date date, expires_at timestamp, created_at timestamp")
@@ -132,7 +142,7 @@ def test_alerts_expire_after_they_were_read(spark, tmp_path):
     out = str(tmp_path / "out")
     finish(jobs.alert_expiry_stream(feed(spark, tmp_path, frames), out, str(tmp_path / "log")))
     got = {r.id: (r.expired_at, r.batch_id) for r in spark.read.parquet(out).collect()}
-    assert {k: v[0] for k, v in got.items()} == {1: day(6), 2: day(4), 5: day(0)}
+    assert {k: v[0] for k, v in got.items()} == {1: day(6), 2: day(4) - ahead, 5: day(0)}
     assert got[5][1] < got[2][1] < got[1][1]
 
 
