@@ -1,6 +1,7 @@
 """The ten training-data operators and the pipeline against brute force, the public library, round trips and SQL."""
 
 import hashlib
+import os
 import random
 import re
 import time
@@ -466,6 +467,21 @@ def test_urls_with_repeated_rows(spark):
     assert sorted(((r.page_id, r.rule, r.verdict) for r in got.collect()), key=str) == sorted([(1, "net/", "block")] * 2 + [(None, None, "allow")] * 2 + [(2, None, "allow")], key=str)
 
 
+def test_helper_tables_go_when_the_next_stage_begins(spark, tmp_path):
+    exists = lambda df: os.path.isdir(df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0])
+    one, outside = spark.range(3), common.stored(spark.range(1), "outside")
+    with common.stage(one):
+        helper, result = common.stored(spark.range(4), "helper"), common.stored(spark.range(5), "result")
+    folder = helper.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert exists(helper) and exists(result)
+    with common.stage(result):  # what the next stage reads stays
+        again = common.stored(result, "again")
+    assert not os.path.isdir(folder) and result.count() == 5 and exists(outside)
+    with common.stage(again):
+        pass
+    assert again.count() == 5 and outside.count() == 1
+
+
 def test_pipeline_on_odd_and_empty_tables(spark, sf, odd):
     docs = odd.select("doc_id", "text", F.lit(None).cast("string").alias("lang"), "source", F.lit(None).cast("long").alias("n_chars"))
     for start in (docs, empty(docs)):
