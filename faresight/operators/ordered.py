@@ -5,6 +5,10 @@ which no repeated day, text or key can unbalance: a hot key simply spans many ra
 one summary row per (key, range) is carried forward along the key and joined back. There are at most as many summaries as
 keys and ranges together, so the carry is small whatever the rows.
 
+Where all tables that a frame reads have together at most ``PLAIN_BYTES``, which Spark knows without a job, even a key that holds
+everything fits the sort of one task; keyed operators then use the plain window, which shuffles once. Work without keys is
+always cut, as a plain window over a whole table is one task at any size. Both ways give the same rows.
+
 Nothing is counted or collected beforehand; building a plan starts no job. Both sides of the join back read the same
 range exchange, which Spark plans once and reuses. Ranges are sampled, so a second, different cut would give wrong rows:
 every row therefore brings a checksum of its group to the join, and a group that the other side saw differently raises an
@@ -24,6 +28,18 @@ from ..session import ensure_checkpoint_dir
 
 _RANGE, _SUM = "_range", "_sum"
 STORE_SETTING = "spark.faresight.storeRanges"
+#: Bytes of input up to which a task may sort a key whole. A session overrides it with this setting.
+PLAIN_BYTES = 1 << 30
+PLAIN_SETTING = "spark.faresight.plainBytes"
+
+
+def _plain(df: DataFrame, keys: list[str]) -> bool:
+    """Whether a plain window will do, from the sizes of the tables that ``df`` reads; an unknown size counts as large."""
+    limit = int(df.sparkSession.conf.get(PLAIN_SETTING, str(PLAIN_BYTES)))
+    if not keys or limit <= 0:
+        return False
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())) <= limit
 
 
 def _ranges(df: DataFrame, keys: list[str], order: Sequence[str | Column], kept: Sequence[str]) -> DataFrame:
@@ -66,6 +82,9 @@ def _scan(
 def lag_values(df: DataFrame, keys: str | Sequence[str], order: Sequence[str], value: str, lags: Sequence[int]) -> DataFrame:
     """Adds ``{value}_lag_{n}``: the value n rows earlier within the key."""
     k, reach = names(keys), max(lags)
+    if _plain(df, k):
+        whole = Window.partitionBy(*k).orderBy(*order)
+        return df.select("*", *[F.lag(value, n).over(whole).alias(f"{value}_lag_{n}") for n in lags])
     within = Window.partitionBy(*k, _RANGE).orderBy(*order)
 
     def local() -> dict[str, Column]:
@@ -96,6 +115,9 @@ def lag_values(df: DataFrame, keys: str | Sequence[str], order: Sequence[str], v
 def row_index(df: DataFrame, keys: str | Sequence[str], order: Sequence[str | Column], out: str = "row_index", total: str | None = None) -> DataFrame:
     """Exact 1-based position within the key (no keys: within the table), and optionally the key's row count."""
     k = names(keys)
+    if _plain(df, k):
+        place = F.row_number().over(Window.partitionBy(*k).orderBy(*order)).cast("bigint").alias(out)
+        return df.select("*", place, *([F.count(F.lit(1)).over(Window.partitionBy(*k)).alias(total)] if total else []))
 
     def summary(cut: DataFrame) -> DataFrame:
         sums = cut.groupBy(*k, _RANGE).agg(F.count(F.lit(1)).alias("_n"), F.bit_xor(_SUM).alias("_seen"))
@@ -118,6 +140,9 @@ _COMBINE = {
 def running(df: DataFrame, keys: str | Sequence[str], order: Sequence[str], outputs: Mapping[str, tuple[str, str | Column]]) -> DataFrame:
     """Running aggregates up to and including the row; ``outputs`` maps a name to (sum|count|min|max, column)."""
     k = names(keys)
+    if _plain(df, k):
+        so_far = Window.partitionBy(*k).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select("*", *[_COMBINE[how][0](col(c)).over(so_far).alias(name) for name, (how, c) in outputs.items()])
     within = Window.partitionBy(*k, _RANGE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     along = Window.partitionBy(*k).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
 

@@ -30,12 +30,22 @@ def expected(fn):
     return out
 
 
-@pytest.fixture(params=["reused", "stored", "planned"])
+@pytest.fixture(scope="module", autouse=True)
+def ranges(spark):
+    """Ranges whatever the size, but where a test asks for plain windows."""
+    spark.conf.set(ordered.PLAIN_SETTING, "0")
+    yield
+    spark.conf.unset(ordered.PLAIN_SETTING)
+
+
+@pytest.fixture(params=["reused", "stored", "planned", "plain"])
 def way(request, spark):
     """The ways to cut ranges: one exchange that both sides read, with and without adaptive execution, and a checkpoint."""
     spark.conf.set(ordered.STORE_SETTING, str(request.param == "stored").lower())
     spark.conf.set("spark.sql.adaptive.enabled", str(request.param != "planned").lower())
+    spark.conf.set(ordered.PLAIN_SETTING, str(2**80 if request.param == "plain" else 0))
     yield request.param
+    spark.conf.set(ordered.PLAIN_SETTING, "0")
     spark.conf.unset(ordered.STORE_SETTING)
     spark.conf.set("spark.sql.adaptive.enabled", "true")
 
@@ -128,6 +138,18 @@ def test_building_a_plan_starts_no_job(table, spark):
         assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_small_inputs_use_one_plain_window(spark, tmp_path):
+    spark.createDataFrame(ROWS, "key string, day int, id int, v double").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    shuffles = lambda: ordered.row_index(df, "key", ["day", "id"])._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+    for limit, many in (("1000000000", False), ("10", True)):
+        spark.conf.set(ordered.PLAIN_SETTING, limit)
+        assert (shuffles() > 1) == many
+    spark.conf.set(ordered.PLAIN_SETTING, "1000000000")
+    assert "SinglePartition" not in ordered.row_index(df, [], ["day", "id"])._jdf.queryExecution().executedPlan().toString().split("Exchange rangepartitioning")[-1]
+    spark.conf.set(ordered.PLAIN_SETTING, "0")
+
+
 def test_no_task_holds_the_whole_table(table, spark):
     """The only single partition is that of the sums, one a range."""
     plan = ordered.row_index(table, [], ["day", "id"])._jdf.queryExecution().executedPlan().toString().split("\n")
