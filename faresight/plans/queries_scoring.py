@@ -82,7 +82,7 @@ _CABIN = "(CASE cabin_class WHEN 'PREMIUM_ECONOMY' THEN 1.5::DOUBLE WHEN 'BUSINE
 )
 def fare_estimate(spark, sf):
     base = F.when(F.col("seats_available") <= 25, 3900.0)
-    looked = joins.lookup_default(star.price_history(spark, sf), joins.bounded(star.airlines(spark, sf)), "airline_code", {"factor": 1.0})
+    looked = joins.lookup_default(star.price_history(spark, sf), star.airlines(spark, sf), "airline_code", {"factor": 1.0})
     return looked.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "departure_date",
         pricing.fare_estimate(base, "factor", "days_until_dep", "departure_date", "cabin_class").alias("fare"),
