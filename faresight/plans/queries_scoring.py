@@ -236,14 +236,19 @@ def search_enrichment(spark, sf):
 
 # -- alerts -----------------------------------------------------------------------------------------------------------
 
+_ALL_BASES = f"(SELECT {R}, floor(min(price)) + 2000 AS base FROM price_history GROUP BY 1, 2)"
 _BASES = f"(SELECT {R}, floor(min(price)) + 2000 AS base FROM price_history WHERE origin_code < 'N18' GROUP BY 1, 2)"
 _ALERT_FARE = f"""round_even(coalesce(base, 5000.0::DOUBLE) * (1.0::DOUBLE + greatest(0, (7 - greatest(date_diff('day', DATE '{star.AS_OF}', departure_date), 0)) / 7.0::DOUBLE) * 0.35::DOUBLE) / 50, 0) * 50"""
 _PRICED = f"(SELECT a.*, {_ALERT_FARE} AS fare FROM alerts a LEFT JOIN {_BASES} b USING ({R}))"
+_ALL_PRICED = f"(SELECT a.*, {_ALERT_FARE} AS fare FROM alerts a LEFT JOIN {_ALL_BASES} b USING ({R}))"
+
+
+def _all_bases(fares):
+    return fares.groupBy(*ROUTE).agg((F.floor(F.min("price")) + 2000).cast("double").alias("base"))
 
 
 def _bases(spark, sf):
-    some = star.price_history(spark, sf).filter("origin_code < 'N18'")
-    return some.groupBy(*ROUTE).agg((F.floor(F.min("price")) + 2000).cast("double").alias("base"))
+    return _all_bases(star.price_history(spark, sf).filter("origin_code < 'N18'"))
 
 
 @query(
@@ -257,10 +262,10 @@ def alert_fare(spark, sf):
     "evaluate_alerts", "D18", "price_history", "alerts",
     sql=f"""SELECT id, coalesce(CASE WHEN is_active THEN fare ELSE CAST(last_price AS DOUBLE) END, -1) AS last_price,
               triggered_count + CASE WHEN is_active AND fare <= CAST(target_price AS DOUBLE) THEN 1 ELSE 0 END AS triggered_count,
-              is_active AND fare <= CAST(target_price AS DOUBLE) AS is_triggered FROM {_PRICED}""",
+              is_active AND fare <= CAST(target_price AS DOUBLE) AS is_triggered FROM {_ALL_PRICED}""",
 )
 def evaluate_alerts(spark, sf):
-    priced = alerting.price_alerts_now(star.alerts(spark, sf), _bases(spark, sf), star.AS_OF)
+    priced = alerting.price_alerts_now(star.alerts(spark, sf), _all_bases(star.price_history(spark, sf)), star.AS_OF)
     return alerting.check_alerts(priced).select("id", F.coalesce("last_price", F.lit(-1.0)).alias("last_price"), "triggered_count", "is_triggered")
 
 

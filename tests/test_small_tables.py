@@ -39,3 +39,10 @@ def equal(spark, path, name):
 
 def test_fare_estimate_looks_airlines_up(spark, tables):
     assert equal(spark, tables, "fare_estimate") == 4
+
+
+def test_alerts_of_every_route_meet_its_fares(spark, tables):
+    """Alerts 20 and 45 leave N20, whose lowest fares are 900 and 1,500; neither may fall back to the fare of an unknown route."""
+    assert equal(spark, tables, "evaluate_alerts") == 4
+    fares = {r.id: r.last_price for r in catalog.QUERIES["evaluate_alerts"](spark, tables).collect()}
+    assert fares[20] == 3900.0 and fares[45] == 4700.0
