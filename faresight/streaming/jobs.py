@@ -17,7 +17,7 @@ from ..operators.alerts import evaluate_alerts
 from ..operators.joins import lowest_fares, match_payments
 from ..operators.ordered import top_k
 from ..sources.tables import latest_batches
-from .state import delivery_state, expiries, first_payments, first_triggers
+from .state import alert_versions, delivery_state, first_payments, first_triggers, newest_versions, seconds
 
 ROUTE = ("origin_code", "destination_code")
 
@@ -230,10 +230,37 @@ def fare_ingest_stream(
 def alert_expiry_stream(
     alerts: DataFrame, path: str, checkpoint: str, every: str | None = None, lateness: str = "0 seconds", ts: str = "created_at"
 ) -> StreamingQuery:
-    """Writes (id, expired_at) when an alert ends. Event time runs with the versions of alerts that arrive, by ``ts``; every alert has
-    its own timer, so one that is alive when it is read expires later.
+    """Writes (id, expired_at) when an alert ends. Event time runs with the versions of alerts that arrive, by ``ts``; an alert that is
+    alive when it is read expires later, and a later version of it moves its end.
+
+    The alerts that wait are a table beside the log, of which two versions are kept: a batch reads the one before it, takes the
+    newest version of every alert, and writes those that wait on and those that event time has passed. A batch costs one pass
+    over what it brings and what waits, and a batch that is repeated writes the same again.
     """
-    return _run(expiries(alerts, lateness, ts), checkpoint, lambda b, i: _write_batch(b, path, i), every, "update")
+    kind = alerts.schema["id"].dataType.simpleString()
+    held, delay = f"{checkpoint}/waiting", seconds(lateness) * 1000
+
+    def expire(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        known = lambda n: spark.read.schema(f"id {kind}, ms bigint, due bigint, ended boolean").parquet(f"{held}/{n % 2}/alerts")
+        clock, late, waiting = None, None, None
+        if batch_id > 0:
+            clock, late = spark.read.schema("clock bigint, late bigint").parquet(f"{held}/{(batch_id - 1) % 2}/clock").first()
+            waiting = known(batch_id - 1).filter(~F.col("ended"))
+        versions = alert_versions(batch, ts)
+        # Rows are late by the watermark of the batch before, as in Spark's own state.
+        versions = versions if late is None else versions.filter(F.col("at") > F.timestamp_millis(F.lit(late)))
+        seen = versions.agg(F.max("ms")).first()[0]
+        now = max((m for m in (clock, None if seen is None else seen - delay) if m is not None), default=None)
+        ended = F.lit(False) if now is None else F.col("due") < now
+        checked = newest_versions(waiting, versions).withColumn("ended", ended)
+        checked.write.mode("overwrite").partitionBy("ended").parquet(f"{held}/{batch_id % 2}/alerts")
+        moments = spark.createDataFrame([(now, clock)], "clock bigint, late bigint")
+        moments.coalesce(1).write.mode("overwrite").parquet(f"{held}/{batch_id % 2}/clock")
+        over = known(batch_id).filter("ended").select("id", F.timestamp_millis("due").alias("expired_at"))
+        _write_batch(over, path, batch_id)
+
+    return _run(alerts, checkpoint, expire, every)
 
 
 def windowed_fares(

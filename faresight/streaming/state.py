@@ -23,7 +23,7 @@ def _keyed(stream: DataFrame, key: str, ts: str, lateness: str, fn: Callable, ou
     return keyed.applyInPandasWithState(fn, out, state, "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def _seconds(interval: str) -> int:
+def seconds(interval: str) -> int:
     return int(pd.Timedelta(interval).total_seconds())
 
 
@@ -41,7 +41,7 @@ def first_payments(events: DataFrame, horizon: str = "90 days", lateness: str =
 
     An order is remembered for ``horizon`` after its payment, which is as long as the sender repeats a message.
     """
-    keep = _seconds(horizon) * 1000
+    keep = seconds(horizon) * 1000
 
     def settle(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -67,7 +67,7 @@ def first_triggers(triggers: DataFrame, horizon: str = "1 day", lateness: str =
     two triggers, the one that counts and the next that will, and goes when the horizon ends without another. A check gives an
     alert one trigger, so the triggers of one alert in one batch are few.
     """
-    span = _seconds(horizon) * 1000
+    span = seconds(horizon) * 1000
     columns = [c for c in triggers.columns if c != key] + ["__ms"]
     at, ms = columns.index(ts), len(columns) - 1
     kinds = {f.name: f.dataType.simpleString() for f in triggers.schema} | {"__ms": "bigint"}
@@ -113,7 +113,7 @@ def first_triggers(triggers: DataFrame, horizon: str = "1 day", lateness: str =
 
 def delivery_state(outcomes: DataFrame, horizon: str = "30 days", lateness: str = "1 hour") -> DataFrame:
     """(notification_id, failures, sent) after each batch that brings outcomes; forgotten ``horizon`` after the last one."""
-    keep = _seconds(horizon) * 1000
+    keep = seconds(horizon) * 1000
     kind = outcomes.schema["notification_id"].dataType.simpleString()
 
     def count(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -133,41 +133,23 @@ def delivery_state(outcomes: DataFrame, horizon: str = "30 days", lateness: str
     return _keyed(known, "notification_id", "ts", lateness, count, f"notification_id {kind}, failures bigint, sent int", "failures bigint, sent int, last bigint")
 
 
-def expiries(alerts: DataFrame, lateness: str = "0 seconds", ts: str = "created_at") -> DataFrame:
-    """(id, expired_at) once per alert, when the watermark passes the moment it ends: a timer per alert.
+def alert_versions(alerts: DataFrame, ts: str = "created_at") -> DataFrame:
+    """(id, ms, due) of every version of an alert, both moments in milliseconds; ``due`` is null where that version waits for no end.
 
-    An alert ends at ``expires_at`` or with the day of its departure, whichever comes first; a later version of
-    the alert moves its timer. One without either never ends and is not kept. Alerts that are not active are done.
+    An alert ends at ``expires_at`` or with the day of its departure, whichever comes first; one without either, or one that is
+    not active, has no end to wait for.
     """
-    kind = alerts.schema["id"].dataType.simpleString()
+    due = F.least(F.col("expires_at").cast("timestamp"), F.date_add("departure_date", 1).cast("timestamp"))
+    return alerts.filter(F.col(ts).isNotNull()).select(
+        "id", F.col(ts).alias("at"), F.unix_millis(ts).alias("ms"), F.when(F.col("is_active"), F.unix_millis(due)).alias("due")
+    )
 
-    def wait(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            due = state.get[0]
-            state.remove()
-            yield pd.DataFrame({"id": [key[0]], "due": [due]})
-            return
-        newest = None
-        for chunk in chunks:
-            last = chunk.sort_values("ms").tail(1)
-            newest = last if newest is None else pd.concat([newest, last]).sort_values("ms").tail(1)
-        if newest is None:
-            return
-        row = newest.iloc[0]
-        if state.exists and state.get[1] > row["ms"]:
-            _timer(state, state.get[0])
-            return
-        if not row["is_active"] or not row["ends"]:
-            if state.exists:
-                state.remove()
-            return
-        state.update((int(row["due"]), int(row["ms"])))
-        _timer(state, int(row["due"]))
 
-    due = F.least(F.col("expires_at").cast("timestamp"), F.date_add("departure_date", 1).cast("timestamp"))
-    # A bare null would make whole numbers doubles on their way through pandas.
-    known = alerts.select(
-        "id", F.coalesce("is_active", F.lit(False)).alias("is_active"), due.isNotNull().alias("ends"), F.coalesce(F.unix_millis(due), F.lit(0)).alias("due"),
-        F.col(ts).alias("at"), F.unix_millis(ts).alias("ms"),
-    ).filter(F.col("at").isNotNull())
-    return _keyed(known, "id", "at", lateness, wait, f"id {kind}, due bigint", "due bigint, at bigint").select("id", F.timestamp_millis("due").alias("expired_at"))
+def newest_versions(waiting: DataFrame | None, versions: DataFrame) -> DataFrame:
+    """(id, ms, due) of alerts that wait for an end, after ``versions`` were read: the newest version of an alert counts, and among
+    those of one moment the one that was read last.
+    """
+    fresh = versions.select("id", "ms", F.lit(1).alias("read"), "due")
+    both = fresh if waiting is None else waiting.select("id", "ms", F.lit(0).alias("read"), "due").unionByName(fresh)
+    newest = both.groupBy("id").agg(F.max(F.struct("ms", "read", "due")).alias("_n"))
+    return newest.select("id", "_n.ms", "_n.due").filter(F.col("due").isNotNull())

@@ -226,3 +226,21 @@ def test_ingest_appends_each_file_once(spark, tmp_path, events, parts):
 
 def test_latest_batches_before_the_first(spark, tmp_path):
     assert latest_batches(spark, str(tmp_path / "nothing")) is None
+
+
+def test_alert_versions_over_batches(spark, tmp_path):
+    """The newest version counts, a switched-off alert never ends, a late one is dropped, and no batch starts Python for a key."""
+    t = dt.datetime(2026, 1, 1)
+    day = lambda d: t + dt.timedelta(days=d)
+    make = lambda rows: spark.createDataFrame([(i, on, None, end, at) for i, on, end, at in rows], "id int, is_active boolean, departure_date date, expires_at timestamp, created_at timestamp")
+    frames = [
+        make([(1, True, day(9), day(0)), (1, True, day(3), day(1)), (2, True, day(4), day(1)), (4, True, day(8), day(1))]),
+        make([(1, True, day(20), day(0)), (2, False, day(4), day(2)), (4, True, day(2), day(2))]),  # 1 is older than what is known, 4 is cut short
+        make([(9, False, None, day(5))]), make([(9, False, None, day(6)), (5, True, day(1), day(1))]), make([(9, False, None, day(30))]),
+    ]
+    out = str(tmp_path / "out")
+    query = jobs.alert_expiry_stream(feed(spark, tmp_path, frames), out, str(tmp_path / "log"))
+    finish(query)
+    got = sorted((r.id, r.expired_at, r.batch_id) for r in spark.read.parquet(out).collect())
+    assert got == [(1, day(3), 2), (4, day(2), 2)]
+    assert not any(p.stateOperators for p in query.recentProgress)
