@@ -39,27 +39,35 @@ def search_airports(
 
     A match must share every three-letter piece of the query, so queries meet airports through an
     equi join on the query's rarest piece and the exact test runs on those candidates only. Queries
-    shorter than three letters join on their one or two letters the same way.
+    shorter than three letters join on their one or two letters the same way. Only pieces that some
+    query asks for leave the airports, so what is shuffled are candidates and not all pieces of all texts.
     ``code_prefix_only`` restricts the code to prefix matches and the airports to active ones.
     """
     dim = airports.filter("is_active") if code_prefix_only else airports
     texts = [F.col(code), *[F.col(f) for f in fields]]
-    pieces = F.flatten(F.array(*[_grams(F.lower(F.coalesce(t, F.lit(""))), n) for t in texts for n in (1, 2, 3)]))
-    index = dim.select(F.col(code), F.explode(F.array_distinct(pieces)).alias("_piece"))
+    cut = lambda t, n: F.regexp_extract_all(F.lower(F.coalesce(t, F.lit(""))), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    pieces = F.flatten(F.array(*[cut(t, n) for t in texts for n in (1, 2, 3)]))
+    # Many airports can lie in one small file; cutting them up is work for all tasks.
+    spread = dim.select(F.col(code), *[F.col(f) for f in fields]).repartition(int(dim.sparkSession.conf.get("spark.sql.shuffle.partitions")), code)
+
+    def index(wanted: DataFrame) -> DataFrame:
+        """Airports by those of their pieces that are wanted: a set that the alphabet bounds, so it goes to the airports."""
+        held = spread.select(F.col(code), F.explode(F.array_distinct(pieces)).alias("_piece"))
+        return held.join(F.broadcast(wanted.select("_piece").distinct()), "_piece", "left_semi")
 
     asked = queries.select(F.col(query), F.lower(F.trim(F.col(query))).alias("_q")).distinct()
     asked = asked.filter(F.length("_q") > 0)
     own = F.when(F.length("_q") < _GRAM, F.array("_q")).otherwise(_grams(F.col("_q")))
-    frequency = index.groupBy("_piece").agg(F.count(F.lit(1)).alias("_df"))
+    each = asked.withColumn("_piece", F.explode(own))
+    frequency = index(each).groupBy("_piece").agg(F.count(F.lit(1)).alias("_df"))
     rarest = (
-        asked.withColumn("_piece", F.explode(own))
-        .join(frequency, "_piece", "left")
+        each.join(frequency, "_piece", "left")
         .groupBy(query, "_q")
         .agg(F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), F.col("_piece"))).alias("_r"))
         .filter(F.col("_r.df") > 0)
         .select(query, "_q", F.col("_r._piece").alias("_piece"))
     )
-    pairs = rarest.join(index, "_piece").join(dim, code)
+    pairs = rarest.join(index(rarest), "_piece").join(dim, code)
     in_code = F.lower(F.col(code)).startswith(F.col("_q")) if code_prefix_only else F.contains(F.lower(F.col(code)), F.col("_q"))
     hit = in_code | _contains_any([F.col(f) for f in fields], F.col("_q"))
     return pairs.filter(hit).drop("_piece", "_q")

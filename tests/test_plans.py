@@ -70,3 +70,17 @@ def test_scoring_stays_in_generated_code(spark, sf):
         pricing.demand_score(F.col("l_linenumber"), F.col("l_shipdate").cast("date"), F.col("l_quantity").cast("int")).alias("d")
     )
     assert "*(1) Project" in plan(df)
+
+
+def test_search_shuffles_only_pieces_that_are_asked_for(spark):
+    """Pieces of the airports meet those of the queries where they are cut, before any exchange."""
+    places = spark.range(300).select(F.format_string("%05d", "id").alias("iata_code"), F.lit("gear box").alias("city"), F.lit("x").alias("name"))
+    found = offers.search_airports(places, spark.createDataFrame([("ear",), ("02",)], "query string"))
+    got = found.groupBy("query").count().collect()
+    assert {r["query"]: r["count"] for r in got} == {"ear": 300, "02": 112}
+    text = plan(found)
+    cut = [i for i, line in enumerate(text.splitlines()) if "Generate explode(array_distinct" in line]
+    assert len(cut) >= 2
+    for i in cut:
+        above = text.splitlines()[:i][::-1]
+        assert next(j for j, line in enumerate(above) if "LeftSemi" in line) < next(j for j, line in enumerate(above) if "Exchange" in line)
