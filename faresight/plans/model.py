@@ -6,6 +6,7 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -187,8 +188,10 @@ def train_fare_model(
     path = work_dir(spark, "encoders")
     encoders.write.parquet(path)
     encoders = spark.read.schema(encoders.schema).parquet(path)
-    train, test = split(apply_encoders(features, encoders), row_keys, seed=seed)
-    train = train.withColumn("validates", hash_percent(*row_keys, seed=seed + 1) < VALIDATION)
+    # Labels and hashes are found once; boosting and the metrics pass over plain numbers, in the order and parts of ``features``.
+    parts = {"is_test": is_test(row_keys, seed=seed), "validates": hash_percent(*row_keys, seed=seed + 1) < VALIDATION}
+    encoded = apply_encoders(features, encoders).withColumns(parts).select(*FEATURES, "price", "weight", *parts).persist(StorageLevel.DISK_ONLY)
+    train, test = encoded.filter(~F.col("is_test")), encoded.filter("is_test")
     learner = GBTRegressor(
         labelCol="price",
         weightCol="weight",
@@ -204,6 +207,7 @@ def train_fare_model(
     )
     trees = learner.fit(_vector(train))
     row = regression_metrics(trees.transform(_vector(test))).first()
+    encoded.unpersist()
     return FareModel(trees, encoders, (row.asDict() if row else {}) | {"estimators": trees.getNumTrees})
 
 
