@@ -14,6 +14,31 @@ from .model import FareModel, current_fare_table, forecast_fares, predict_fares
 REQUEST = ["request_id"]
 
 
+def distinct_requests(requests: DataFrame, asked: str = "asked_id") -> tuple[DataFrame, DataFrame]:
+    """(distinct, links): requests that differ in nothing but their id, once under the least of their ids, and per id the one ``asked``.
+
+    An answer follows from a request's text, so there are at most routes times dates of them however many ask. Rows of a
+    repeated or null id all stay, linked with themselves. ``requests`` are read several times, so they should be stored.
+    """
+    own = REQUEST[0]
+    text = [c for c in requests.columns if c != own]
+    odd = requests.groupBy(own).agg(F.count(F.lit(1)).alias("_n")).filter((F.col("_n") > 1) | F.col(own).isNull()).select(F.col(own).alias(asked))
+    many = requests.join(odd, F.col(own).eqNullSafe(F.col(asked)), "left_semi")
+    single = requests.filter(F.col(own).isNotNull()).join(odd, F.col(own) == F.col(asked), "left_anti")
+    first = single.groupBy(*text).agg(F.min(own).alias(asked))
+    other = first.withColumnsRenamed({c: f"_{c}" for c in text})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in text]
+    links = single.join(other, same).select(own, asked).unionByName(odd.select(F.col(asked).alias(own), asked))
+    return first.withColumnRenamed(asked, own).select(*requests.columns).unionByName(many), links
+
+
+def of_all(links: DataFrame, answers: DataFrame, asked: str = "asked_id") -> DataFrame:
+    """``answers`` of distinct requests, given to every request that is linked with one."""
+    own = REQUEST[0]
+    found = answers.withColumnRenamed(own, "_own")
+    return links.join(found, F.col(asked).eqNullSafe(F.col("_own"))).select(own, *[c for c in answers.columns if c != own])
+
+
 def request_snapshots(requests: DataFrame, fares: DataFrame, routes: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
     """(snapshots, rejects) for a table of requests (request_id, origin, destination, departure_date text).
 

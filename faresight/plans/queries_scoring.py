@@ -548,20 +548,36 @@ def train_model_invariants(spark, sf):
     )
 
 
-def _requests(spark, sf):
-    """One request per active alert, split into snapshots and rejects."""
-    asked = star.alerts(spark, sf).filter("is_active").select(
+def _asked(spark, sf):
+    """One request per active alert."""
+    return star.alerts(spark, sf).filter("is_active").select(
         F.col("id").alias("request_id"), F.col("origin_code").alias("origin"), F.col("destination_code").alias("destination"),
         F.col("departure_date").cast("string").alias("departure_date"),
     )
+
+
+def _requests(spark, sf, asked):
+    """Requests split into snapshots and rejects."""
     return answer.request_snapshots(asked, star.bounded_history(spark, sf), star.routes(spark, sf), star.AS_OF)
 
 
+def _distinct_snapshots(spark, sf):
+    """(snapshots of the distinct requests, links of all requests with them). Requests and snapshots are stored, since forecasts read
+    them more than once; dealt by id, the thirty days of a request stay in its task."""
+    path = work_dir(spark, "requests")
+    _asked(spark, sf).write.parquet(f"{path}/asked")
+    distinct, links = answer.distinct_requests(spark.read.parquet(f"{path}/asked"))
+    _requests(spark, sf, distinct)[0].write.parquet(f"{path}/snapshots")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return spark.read.parquet(f"{path}/snapshots").repartition(parts, *answer.REQUEST), links
+
+
 @query("answer_requests", "M7 M8 M10 D10 D14 D15")
 def answer_requests(spark, sf):
     """One prediction answer per active alert's route and date, from the model trained on the whole history."""
-    snapshots, _ = _requests(spark, sf)
-    return answer.answer_requests(snapshots, _fitted(spark, sf)[1], star.AS_OF).select(
+    snapshots, links = _distinct_snapshots(spark, sf)
+    answers = answer.answer_requests(snapshots, _fitted(spark, sf)[1], star.AS_OF)
+    return answer.of_all(links, answers).select(
         "request_id", *ROUTE, "current_price", "decision", "confidence", "trend", "prob_increase", "market_status"
     )
 
@@ -574,7 +590,7 @@ def answer_requests(spark, sf):
             WHERE is_active AND (origin_code = destination_code OR f.o IS NULL)""",
 )
 def request_rejects(spark, sf):
-    _, rejects = _requests(spark, sf)
+    _, rejects = _requests(spark, sf, _asked(spark, sf))
     return rejects.select("request_id", F.col("reject_reasons")[0].alias("reason"))
 
 
@@ -585,7 +601,7 @@ def request_rejects(spark, sf):
 )
 def answer_invariants(spark, sf):
     """What must hold of every answered request whatever the model: thirty days in a band, no fare left at or below 0, a known decision."""
-    snapshots, _ = _requests(spark, sf)
+    snapshots, links = _distinct_snapshots(spark, sf)
     _, fitted = _fitted(spark, sf)
     days = model.forecast_fares(snapshots, fitted, star.AS_OF).groupBy("request_id").agg(
         F.count(F.lit(1)).cast("int").alias("points"), F.bool_and((F.col("lower") <= F.greatest("price", F.lit(800.0))) & (F.col("price") <= F.col("upper"))).alias("banded"),
@@ -594,7 +610,7 @@ def answer_invariants(spark, sf):
     given = answer.answer_requests(snapshots, fitted, star.AS_OF).select(
         "request_id", *ROUTE, (F.col("decision").isNotNull() & F.col("confidence").between(0, 1) & F.col("trend").isNotNull()).alias("decided")
     )
-    return given.join(days, "request_id").select(
+    return answer.of_all(links, given.join(days, "request_id")).select(
         "request_id", *ROUTE, "points", "banded", "lifted", (F.col("from_one") & (F.col("dates") == F.col("points"))).alias("dated"), "decided"
     )
 
