@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pricing, scores
 from ..operators import aggregates as agg, alerts as alerting, joins, ledger, merges, observations, offers as search, signals
+from ..operators.filters import within_price_bounds
 from ..session import work_dir
 from ..sources import star, tables
 from ..streaming import jobs
@@ -556,18 +557,19 @@ def _asked(spark, sf):
     )
 
 
-def _requests(spark, sf, asked):
+def _requests(spark, sf, asked, history):
     """Requests split into snapshots and rejects."""
-    return answer.request_snapshots(asked, star.bounded_history(spark, sf), star.routes(spark, sf), star.AS_OF)
+    return answer.request_snapshots(asked, within_price_bounds(history), star.routes(spark, sf, history), star.AS_OF)
 
 
 def _distinct_snapshots(spark, sf):
-    """(snapshots of the distinct requests, links of all requests with them). Requests and snapshots are stored, since forecasts read
-    them more than once; dealt by id, the thirty days of a request stay in its task."""
+    """(snapshots of the distinct requests, links of all requests with them). Requests, the history's columns and snapshots are
+    stored, since they are read more than once; dealt by id, the thirty days of a request stay in its task."""
     path = work_dir(spark, "requests")
     _asked(spark, sf).write.parquet(f"{path}/asked")
     distinct, links = answer.distinct_requests(spark.read.parquet(f"{path}/asked"))
-    _requests(spark, sf, distinct)[0].write.parquet(f"{path}/snapshots")
+    star.price_history(spark, sf).select(*ROUTE, "airline_code", "price", "seats_available").write.parquet(f"{path}/history")
+    _requests(spark, sf, distinct, spark.read.parquet(f"{path}/history"))[0].write.parquet(f"{path}/snapshots")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return spark.read.parquet(f"{path}/snapshots").repartition(parts, *answer.REQUEST), links
 
@@ -590,7 +592,7 @@ def answer_requests(spark, sf):
             WHERE is_active AND (origin_code = destination_code OR f.o IS NULL)""",
 )
 def request_rejects(spark, sf):
-    _, rejects = _requests(spark, sf, _asked(spark, sf))
+    _, rejects = _requests(spark, sf, _asked(spark, sf), star.price_history(spark, sf))
     return rejects.select("request_id", F.col("reject_reasons")[0].alias("reason"))
 
 

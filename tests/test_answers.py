@@ -33,8 +33,7 @@ def test_alerts_that_ask_the_same_are_scored_once(spark, monkeypatch):
         return df.withColumn(out, F.lit(6000.0))
 
     monkeypatch.setattr(star, "alerts", lambda spark, sf: alerts)
-    monkeypatch.setattr(star, "bounded_history", lambda spark, sf: fares)
-    monkeypatch.setattr(star, "routes", lambda spark, sf: fares)
+    monkeypatch.setattr(star, "price_history", lambda spark, sf: fares)
     monkeypatch.setattr(queries_scoring, "_fitted", lambda spark, sf: (None, None))
     monkeypatch.setattr(model, "predict_fares", predict)
     monkeypatch.setattr(answer, "predict_fares", predict)
