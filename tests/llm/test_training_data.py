@@ -1,5 +1,6 @@
 """The ten training-data operators and the pipeline against brute force, the public library, round trips and SQL."""
 
+import glob
 import hashlib
 import os
 import random
@@ -15,6 +16,7 @@ from check import compare, connect
 import corpus_pipeline
 from faresight.llm import bpe, common, fingerprint, grid_join, mixing, ngram_join, queries, secret_scan, suffix_dedup, token_shards, toxicity, url_filter
 
+SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -180,6 +182,35 @@ def test_repeats_odd(spark, odd):
     assert {r.doc_id: sum(e - s for s, e in zip(r.starts, r.ends)) for r in out.collect()}[11] == 5000
 
 
+def test_repeats_leave_only_what_was_found(spark, tmp_path, monkeypatch):
+    """Tables of a level go when it is settled, shuffle files when the query that wrote them ends; a failure leaves nothing either."""
+    monkeypatch.setattr(common, "work_dir", lambda _, name: str(tmp_path / f"{name}-{random.random()}"))
+    rng = random.Random(5)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    rows = [(i, base[at : at + rng.randint(500, 900)] + "".join(rng.choice("xyz ") for _ in range(50))) for i, at in enumerate(range(0, 2000, 100))]
+    df = spark.createDataFrame([*rows, (50, None), (None, base), (0, rows[0][1])], "doc_id long, text string")
+    folders = [str(f) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def shuffled():
+        return {f for d in folders for f in glob.glob(f"{d}/*/shuffle_*.data")}
+
+    before, set_to = shuffled(), spark.conf.get(SWEEP, None)
+    out = suffix_dedup.remove_repeats(df, keep_first=False)
+    assert sorted(p.name.split("-")[0] for p in tmp_path.iterdir()) == ["found"] * 3
+    for _ in range(50):  # Spark removes the files beside its other work.
+        if not shuffled() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert spark.conf.get(SWEEP, None) == set_to
+    assert out.count() == 23 and out.filter("size(starts) > 0").count() == 22
+
+    with pytest.raises(ZeroDivisionError), common.passing(spark) as hold:
+        hold(df, "rows")
+        raise ZeroDivisionError
+    assert spark.conf.get(SWEEP, None) == set_to and not list(tmp_path.glob("rows*"))
+
+
 def test_fingerprints(spark, sf):
     got = {r.doc_id: r for r in queries.QUERIES["op4_fingerprints"](spark, sf).collect()}
     rows = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
