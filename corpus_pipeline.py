@@ -7,7 +7,7 @@ that the mix takes twice is two rows.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
+from functools import partial, wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -16,12 +16,12 @@ from faresight.llm.common import stage, stored
 from faresight.llm.queries import prepare, tokenizer_path
 
 
-def _tidy(run: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+def _tidy(run: Callable[[SparkSession, DataFrame, str], DataFrame], first: bool = False) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     """A stage whose helper tables go when the next stage begins, its result being written by then."""
 
     @wraps(run)
     def inside(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        with stage(docs):
+        with stage(docs, first):
             return run(spark, docs, sf_dir)
 
     return inside
@@ -31,7 +31,7 @@ def _with_length(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
 
 
-@_tidy
+@partial(_tidy, first=True)
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the pattern grammar, learned from ``labels``, does not reject. Null and empty texts match nothing; repeated rows
     and rows without id are judged one by one.
