@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from ..functions import pricing, scores
 from ..operators import aggregates as agg, alerts as alerting, joins, ledger, merges, observations, offers as search, signals
 from ..operators.filters import within_price_bounds
-from ..session import work_dir
+from ..session import swept, work_dir
 from ..sources import star, tables
 from ..streaming import jobs
 from . import answer, model, search as finding, settlement
@@ -441,6 +443,25 @@ def _features(spark, sf):
     return model.fare_features(star.price_history(spark, sf), star.AS_OF, star.ORDER, keep=_KEYS)
 
 
+#: Histories that are held just now, by application and data set.
+_HELD: dict[tuple[str, str], star.History] = {}
+
+
+@contextmanager
+def _history(spark, sf):
+    """``star.kept_history``, made once for all that reads it inside."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key in _HELD:
+        yield _HELD[key]
+        return
+    with star.kept_history(spark, sf) as made:
+        _HELD[key] = made
+        try:
+            yield made
+        finally:
+            del _HELD[key]
+
+
 #: Folders of the features and the model that a session has fitted, by application and data set.
 _FITTED: dict[tuple[str, str], str] = {}
 
@@ -450,7 +471,10 @@ def _fitted(spark, sf):
     key = (spark.sparkContext.applicationId, sf)
     if key not in _FITTED:
         path = work_dir(spark, "model")
-        _features(spark, sf).write.parquet(f"{path}/features")
+        # A part holds whole routes, along which the price changes are taken.
+        with _history(spark, sf) as history, swept(spark):
+            for part in history.parts:
+                model.fare_features(part, star.AS_OF, star.ORDER, keep=_KEYS).write.mode("append").parquet(f"{path}/features")
         fitted = model.train_fare_model(spark.read.parquet(f"{path}/features"), _KEYS)
         if fitted is None:
             raise ValueError("too few fares to train on")
