@@ -590,10 +590,14 @@ def _distinct_snapshots(spark, sf):
     """(snapshots of the distinct requests, links of all requests with them). Requests, the history's columns and snapshots are
     stored, since they are read more than once; dealt by id, the thirty days of a request stay in its task."""
     path = work_dir(spark, "requests")
-    _asked(spark, sf).write.parquet(f"{path}/asked")
-    distinct, links = answer.distinct_requests(spark.read.parquet(f"{path}/asked"))
-    star.price_history(spark, sf).select(*ROUTE, "airline_code", "price", "seats_available").write.parquet(f"{path}/history")
-    _requests(spark, sf, distinct, spark.read.parquet(f"{path}/history"))[0].write.parquet(f"{path}/snapshots")
+    with _history(spark, sf) as history, swept(spark):
+        _asked(spark, sf).write.parquet(f"{path}/asked")
+        distinct, links = answer.distinct_requests(spark.read.parquet(f"{path}/asked"))
+        fares = history.whole.select(*ROUTE, "airline_code", "price", "seats_available")
+        if not history.stored:
+            fares.write.parquet(f"{path}/history")
+            fares = spark.read.parquet(f"{path}/history")
+        _requests(spark, sf, distinct, fares)[0].write.parquet(f"{path}/snapshots")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return spark.read.parquet(f"{path}/snapshots").repartition(parts, *answer.REQUEST), links
 
@@ -601,8 +605,10 @@ def _distinct_snapshots(spark, sf):
 @query("answer_requests", "M7 M8 M10 D10 D14 D15")
 def answer_requests(spark, sf):
     """One prediction answer per active alert's route and date, from the model trained on the whole history."""
-    snapshots, links = _distinct_snapshots(spark, sf)
-    answers = answer.answer_requests(snapshots, _fitted(spark, sf)[1], star.AS_OF)
+    with _history(spark, sf):
+        snapshots, links = _distinct_snapshots(spark, sf)
+        _, fitted = _fitted(spark, sf)
+    answers = answer.answer_requests(snapshots, fitted, star.AS_OF)
     return answer.of_all(links, answers).select(
         "request_id", *ROUTE, "current_price", "decision", "confidence", "trend", "prob_increase", "market_status"
     )
@@ -627,8 +633,9 @@ def request_rejects(spark, sf):
 )
 def answer_invariants(spark, sf):
     """What must hold of every answered request whatever the model: thirty days in a band, no fare left at or below 0, a known decision."""
-    snapshots, links = _distinct_snapshots(spark, sf)
-    _, fitted = _fitted(spark, sf)
+    with _history(spark, sf):
+        snapshots, links = _distinct_snapshots(spark, sf)
+        _, fitted = _fitted(spark, sf)
     days = model.forecast_fares(snapshots, fitted, star.AS_OF).groupBy("request_id").agg(
         F.count(F.lit(1)).cast("int").alias("points"), F.bool_and((F.col("lower") <= F.greatest("price", F.lit(800.0))) & (F.col("price") <= F.col("upper"))).alias("banded"),
         F.bool_and(F.col("price") > 0).alias("lifted"), (F.min("day") == 1).alias("from_one"), F.count_distinct("date").alias("dates"),

@@ -115,3 +115,11 @@ def test_features_of_large_tables_are_made_in_parts(spark, tables, shares, monke
     assert len(left) > 2 and not any(left)
     assert rows(queries_scoring._fitted(spark, tables)[0]) == whole
     assert equal(spark, tables, out, "train_model_invariants") == 1
+
+
+def test_answers_read_the_stored_history(spark, tables, shares, no_trees):
+    """The snapshots are there before the result is asked for, and what made them has gone."""
+    before = shuffle_files(spark)
+    out = catalog.QUERIES["answer_invariants"](spark, tables)
+    assert not left_over(spark, before)
+    assert equal(spark, tables, out, "answer_invariants") > 20
