@@ -123,3 +123,14 @@ def test_answers_read_the_stored_history(spark, tables, shares, no_trees):
     out = catalog.QUERIES["answer_invariants"](spark, tables)
     assert not left_over(spark, before)
     assert equal(spark, tables, out, "answer_invariants") > 20
+
+
+def test_offers_are_searched_part_by_part(spark, tables, shares, no_trees):
+    """Offers without a search id compete across routes, whichever part those are in; the rows are those of one search of all."""
+    offers = star.offers(spark, tables).filter("search_id IS NULL AND flight_number IS NOT NULL AND departure_time IS NOT NULL")
+    assert offers.groupBy("flight_number", "departure_time").agg(F.count_distinct("destination_code").alias("n")).filter("n > 1").count() > 5
+    before = shuffle_files(spark)
+    out = catalog.QUERIES["search_enrichment"](spark, tables)
+    assert not left_over(spark, before) and "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    found = rows(queries_scoring._advised(star.offers(spark, tables), None))
+    assert rows(out) == found and len(found) > 100
